@@ -7,19 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import mixing
+from probity.llm import mixing, packing, token_files
+from probity.llm.shared import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Where this machine keeps the word-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written, read back and digested."""
+    path = scratch_path(spark, "tokens")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=1)
+    return token_files.document_digests(token_files.read_token_files(spark, path))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=2, with_ids=False)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to source weights 5, 2, 1."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
+    "op4_packing": op4_packing,
     "op9_mixing": op9_mixing,
 }
 
