@@ -37,6 +37,7 @@ from probity.llm.shared import materialize, word_count
 
 BLOCKS_PER_SOURCE = 1024
 BUCKET_DOCS = 2048
+BROADCAST_SOURCES = 20_000  # rows of a few dozen bytes
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,11 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
         dim.append((r["skey"], size, float(t), full, want - full * size, max(1, -(-size // BLOCKS_PER_SOURCE)), -(-r["n"] // BUCKET_DOCS)))
     sources = spark.createDataFrame(dim, "skey string, source_size long, target double, full long, rest long, block_words long, buckets long")
 
-    spread = base.join(sources, "skey").withColumn("bucket", F.pmod("h", "buckets"))
+    if len(dim) <= BROADCAST_SOURCES:  # else a shuffled join, whose hot keys Spark splits
+        sources = F.broadcast(sources)
+
+    # dealt by bucket: the join's own partitioning would do for the window, but holds a hot source in one task
+    spread = base.join(sources, "skey").withColumn("bucket", F.pmod("h", "buckets")).repartition("skey", "bucket")
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spread.groupBy("skey", "bucket").agg(F.sum("size").alias("w")).select("skey", "bucket", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("off"))
     run = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
