@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import mixing, packing, token_files
+from probity.llm import embedding_dedup, minhash, mixing, packing, token_files
 from probity.llm.shared import scratch_path
 
 
@@ -29,11 +29,21 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_digests(token_files.read_token_files(spark, path))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked at cosine 0.98."""
+    return embedding_dedup.embedding_classes(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=2, with_ids=False)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked at a Jaccard of 0.85 of their five-word shingles."""
+    return minhash.minhash_classes(_table(spark, sf_dir, "documents")).drop("node")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to source weights 5, 2, 1."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -41,7 +51,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
+    "op7_minhash": op7_minhash,
     "op9_mixing": op9_mixing,
 }
 
