@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import embedding_dedup, minhash, mixing, packing, token_files
+from probity.llm import embedding_dedup, licenses, minhash, mixing, packing, pii, prefix_forest, token_files
 from probity.llm.shared import scratch_path
 
 
@@ -22,6 +22,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in all documents, by lines, paragraphs and whole texts."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written, read back and digested."""
     path = scratch_path(spark, "tokens")
@@ -39,6 +44,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=2, with_ids=False)
 
 
+def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors to those whose id is divisible by 100."""
+    return prefix_forest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at a Jaccard of 0.85 of their five-word shingles."""
     return minhash.minhash_classes(_table(spark, sf_dir, "documents")).drop("node")
@@ -49,12 +59,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_token_files": op2_token_files,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
+    "op5_prefix_forest": op5_prefix_forest,
     "op7_minhash": op7_minhash,
     "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle_sql(0.8)}
