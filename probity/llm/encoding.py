@@ -16,8 +16,9 @@ from array import array
 
 import numpy as np
 
-#: Words kept by a worker process before it starts anew: about 250 MB.
-CACHE_WORDS = 1_000_000
+#: Words that a worker process keeps (about 90 MB), and how many of the first seen,
+#: the common ones mostly, stay when it drops the rest.
+CACHE_WORDS, CACHE_LEAST = 400_000, 120_000
 MARKS = frozenset(".,;:!?")
 
 
@@ -43,12 +44,14 @@ class WordEncoder(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.letters = _byte_letters()
         self.marks = {m: self.whole(m) for m in MARKS}
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
         self.flat, self.first, self.length = array("I"), array("q"), array("q")
 
+    def shrink(self) -> None:
+        for key in list(self)[CACHE_LEAST:]:
+            del self[key]
+        # rows are numbered in the order of their words
+        del self.flat[self.first[CACHE_LEAST] :], self.first[CACHE_LEAST:], self.length[CACHE_LEAST:]
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -77,7 +80,7 @@ class WordEncoder(dict):
     def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), each text's followed by end_id, and the texts' offsets in them."""
         if len(self) > CACHE_WORDS:
-            self.reset()
+            self.shrink()
         words: list[bytes] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
