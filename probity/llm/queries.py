@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import embedding_dedup, licenses, minhash, mixing, packing, pii, prefix_forest, token_files
+from probity.llm import embedding_dedup, licenses, minhash, mixing, packing, pii, prefix_forest, token_files, toxicity
 from probity.llm.shared import scratch_path
 
 
@@ -54,6 +54,14 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_classes(_table(spark, sf_dir, "documents")).drop("node")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt outside of the fold that is held out."""
+    docs, fold = _table(spark, sf_dir, "documents"), toxicity.fold(F.col("doc_id"))
+    net = toxicity.fit(docs, _table(spark, sf_dir, "labels"), learn=fold != 0)
+    scores = toxicity.score(docs, net)
+    return scores.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to source weights 5, 2, 1."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_prefix_forest": op5_prefix_forest,
     "op7_minhash": op7_minhash,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
