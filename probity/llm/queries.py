@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import embedding_dedup, licenses, minhash, mixing, packing, pii, prefix_forest, token_files, toxicity
+from probity.llm import context_mixing, embedding_dedup, licenses, minhash, mixing, packing, pii, prefix_forest, token_files, toxicity
 from probity.llm.shared import scratch_path
 
 
@@ -49,6 +49,11 @@ def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return context_mixing.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at a Jaccard of 0.85 of their five-word shingles."""
     return minhash.minhash_classes(_table(spark, sf_dir, "documents")).drop("node")
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
     "op5_prefix_forest": op5_prefix_forest,
+    "op6_context_mixing": op6_context_mixing,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
