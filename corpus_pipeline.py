@@ -4,18 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from probity.llm.mixing import mixed_documents
+from probity.llm import minhash, mixing, packing, pii, toxicity
+from probity.llm.queries import tokenizer_path
 from probity.llm.shared import materialize
+from probity.session import ship
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a network trained on all labels doesn't reject."""
+    ship(spark)
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, net)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    ship(spark)
+    return minhash.deduplicate(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 5, 2, 1 in whole documents."""
-    return mixed_documents(docs)
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences of 4096 tokens, with their ids."""
+    ship(spark)
+    return packing.pack(docs, tokenizer_path(), capacity=4096, end_id=2)
 
 
-STAGES = [("mix", mix)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: No stage of the whole run is expressible in SQL: models are trained inside.
+#: Models are trained inside, and hashes order documents: SQL can't express the run.
 ORACLE_SQL = None
 
 
