@@ -10,6 +10,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
@@ -20,8 +25,7 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """The vector at length one; a zero vector gives null."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)))
 
 
 def cosine(a: Column, b: Column, eps: float = 0.0) -> Column:
@@ -34,8 +38,8 @@ def argmax(a: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    exps = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(exps, lambda x: x / _sum(exps))
+    shares = lambda e: let(_sum(e), lambda s: F.transform(e, lambda x: x / s))
+    return let(a, lambda v: let(F.array_max(v), lambda m: let(F.transform(v, lambda x: F.exp(x - m)), shares)))
 
 
 def top(a: Column, k: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probity.plans import contributors, ledger
+from probity.plans import contributors, ledger, vectors
 from probity.plans.query import Query
 
-QUERIES: dict[str, Query] = {**contributors.QUERIES, **ledger.QUERIES}
+QUERIES: dict[str, Query] = {**contributors.QUERIES, **ledger.QUERIES, **vectors.QUERIES}
