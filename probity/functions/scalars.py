@@ -44,9 +44,6 @@ def status_tier(status: Column) -> Column:
 
 def file_size(n: Column) -> Column:
     """Bytes as text in units of 1024 with one decimal."""
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.concat(F.format_number(n / 1024, "0.0"), F.lit(" KB")))
-        .when(n < 1024**3, F.concat(F.format_number(n / 1024**2, "0.0"), F.lit(" MB")))
-        .otherwise(F.concat(F.format_number(n / 1024**3, "0.0"), F.lit(" GB")))
-    )
+    scaled = lambda power, unit: F.format_string(f"%.1f {unit}", n / F.lit(float(1024**power)))
+    whole = F.concat(n.cast("string"), F.lit(" B"))
+    return F.when(n < 1024, whole).when(n < 1024**2, scaled(1, "KB")).when(n < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))

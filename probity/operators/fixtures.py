@@ -50,6 +50,7 @@ def planted_pool(vectors: DataFrame) -> DataFrame:
     strange = F.zip_with("vector", _direction(F.lit(99)), lambda x, c: 0.6 * x.cast("double") - 0.8 * c)
     shaped = F.when(F.col("gt_attack") == "badnets", stamped).when(F.col("gt_attack") == "ood", strange).otherwise(in_class)
     label = F.when(F.col("gt_attack") == "badnets", 0).when(F.col("gt_attack") == "flip", 8 - F.col("label")).otherwise(F.col("label"))
-    rows = rows.select("id", "contributor", label.alias("label"), normalised(shaped).alias("vector"), "gt_attack")
+    # the vector first: it depends on the label before the attack
+    rows = rows.withColumn("vector", normalised(shaped)).withColumn("label", label).select("id", "contributor", "label", "vector", "gt_attack")
     copies = near_copies(rows.where("gt_attack = 'dup_source'").select("id", "vector")).join(rows.select(F.col("id").alias("origin"), "contributor", "label"), "origin")
     return rows.unionByName(copies.select("id", "contributor", "label", "vector", F.lit("dup").alias("gt_attack")))
