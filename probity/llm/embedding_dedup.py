@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.llm.components import connected_components, forest
+from probity.operators.graph import connected_components, forest
 from probity.llm.shared import materialize, parallelism
 
 WINDOW, KEY_BITS, BLOCK = 64, 62, 512
