@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.operators import ledger as L
+from probity.operators import signatures
 from probity.operators.ordering import dense_index
 from probity.plans.query import Query, table
 
@@ -157,6 +158,16 @@ def _sealed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sealed.agg(F.count("*").alias("n"), F.count_if(opened.cast("string") == F.col("text")).alias("opened"), F.count_if(wrong.isNull()).alias("refused"))
 
 
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' first turns signed; every seventh is changed later, every eleventh loses a byte."""
+    turns = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), F.concat_ws("|", "role", "text").cast("binary").alias("body"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    signed = signatures.sign_records(turns.repartition(n, "id"), bytes(range(32)))
+    changed = F.when(F.col("id") % 7 == 0, F.concat("body", F.lit("!").cast("binary"))).otherwise(F.col("body"))
+    short = F.when(F.col("id") % 11 == 0, F.substring("signature", 1, 63)).otherwise(F.col("signature"))
+    return signatures.verify_signatures(signed.withColumn("body", changed).withColumn("signature", short)).withColumnRenamed("id", "conv_id")
+
+
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type = 'purchase'").orderBy(F.desc("event_id")).limit(50).select("event_id", "user_id", "value")
 
@@ -181,6 +192,7 @@ QUERIES = {
     "quote_checks": Query(_quotes, "WITH e AS (SELECT *, epoch(TIMESTAMP '2024-01-15 00:00:00') - floor(epoch(ts)) AS age, json_extract_string(props, '$.k')::INT AS k FROM events) SELECT event_id, concat_ws('; ', CASE WHEN event_type = 'error' THEN 'measurement allowlisted' END, CASE WHEN user_id % 9 = 0 THEN 'not debug' END, CASE WHEN age NOT BETWEEN -5 AND 43200 THEN 'fresh' END, CASE WHEN event_id % 2 = 0 AND k >= 90 THEN 'nonce' END) AS reason FROM e", "K3 B8"),
     "allowlist_upsert": Query(_allowlist, "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts >= '2024-01-20' DESC, event_id DESC) = 1", "K5 T15"),
     "aes_gcm_roundtrip": Query(_sealed_boxes, "SELECT count(*) AS n, count(text) AS opened, count(*) AS refused FROM documents", "K8 A15 T14"),
+    "ed25519_receipts": Query(_signatures, "SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN 'malformed' WHEN conv_id % 7 = 0 THEN 'altered' ELSE 'valid' END AS verdict FROM conversations WHERE turn = 0", "J13 J12"),
     "ledger_latest": Query(_latest, "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' ORDER BY event_id DESC LIMIT 50", "F4 B11 O7"),
     "ledger_dense_index": Query(_dense, "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders", "E6"),
 }

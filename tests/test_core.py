@@ -153,3 +153,18 @@ def test_files(spark, tmp_path):
     evidence = spark.createDataFrame([("ev-1",)], "evidence_id string")
     files.write_evidence(evidence, str(tmp_path / "e"))
     assert files.read_evidence(spark, str(tmp_path / "e")).first()["evidence_id"] == "ev-1"
+
+
+def test_signatures(spark):
+    from probity.operators import signatures as S
+
+    # the first test of RFC 8032, section 7.1
+    seed = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
+    assert S.public_key(seed).hex() == "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"
+    made = S.sign(seed, b"")
+    assert made.hex().startswith("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e06522490155")
+    assert S.verdict(S.public_key(seed), b"", made) == "valid"
+    assert S.verdict(S.public_key(seed), b"x", made) == "altered"
+    assert S.verdict(S.public_key(seed), b"", made[:63]) == S.verdict(None, b"", made) == "malformed"
+    records = S.sign_records(spark.createDataFrame([(1, b"a"), (2, None)], "id long, body binary"), seed)
+    assert {r["id"]: r["verdict"] for r in S.verify_signatures(records).collect()} == {1: "valid", 2: "malformed"}
