@@ -200,7 +200,8 @@ def boost(counts: list[tuple[int, int, int]], rounds: int = 24, rate: float = 0.
 
 def train(candidates: DataFrame) -> list[Boosted]:
     """A model for each kind from rows with _wide: all rows count, as sums for each code."""
-    each = candidates.select(F.explode("_wide").alias("c")).groupBy("c.kind", "c.code").agg(F.count("*").alias("n"), F.count_if("c.base").alias("pos")).collect()
+    # outer: else Spark filters on the array's size, and computes the array for that once more
+    each = candidates.select(F.explode_outer("_wide").alias("c")).where("c is not null").groupBy("c.kind", "c.code").agg(F.count("*").alias("n"), F.count_if("c.base").alias("pos")).collect()
     return [boost([(r["code"], r["n"], r["pos"]) for r in each if r["kind"] == k]) for k in range(len(KINDS))]
 
 
