@@ -5,9 +5,11 @@ unit is normalised (A-Z lower-cased, all but a-z and 0-9 made blanks) and
 compared with the templates by 2 * common / (own + template's), over distinct
 word bigrams. Templates are pruned by size: at a coefficient of t a unit has
 between t / (2 - t) and (2 - t) / t times the template's bigrams, and by
-pigeonhole holds one of any 1 - t / (2 - t) of the template's bigrams. The rarest
-such share of each template, its anchors, selects units before any join. All of
-it is DataFrame expressions; the templates are a fixed table of a few rows.
+pigeonhole holds one of any share above 1 - t / (2 - t) of the template's bigrams.
+Such a share of each template, its anchors, lies around its longest words; texts
+and units without any of these words are left out before they are normalised, and
+units without an anchor before they are joined. All of it is DataFrame
+expressions; the templates are a fixed table of a few rows.
 
 Edge cases. Null, empty or blank texts and units of fewer than two words match
 nothing. Null doc_id is a group of its own. Rows with one doc_id are reported
@@ -17,7 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import reduce
 from math import floor
 
 from pyspark.sql import Column, DataFrame
@@ -82,25 +84,44 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(lower_ascii(text), "[^a-z0-9]+", " "))
 
 
+def _anchors(sets: dict[str, list[str]], share: float) -> tuple[list[str], list[str]]:
+    """Anchor bigrams of all templates, around each one's longest words; and words
+    one of which stands in every anchor."""
+    anchors, words = set(), set()
+    for own in sets.values():
+        need, taken = floor((1 - share) * len(own)) + 1, set()
+        for word in sorted({w for b in own for w in b.split()}, key=lambda w: (-len(w), w)):
+            if len(taken) >= need:
+                break
+            words.add(word)
+            taken |= {b for b in own if word in b.split()}
+        anchors |= taken
+    return sorted(anchors), sorted(words)
+
+
+def _once(value: Column) -> Column:
+    """The value, computed once for each row: filters above don't compute it again."""
+    return F.explode(F.array(value))
+
+
 def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """Per document and licence found: doc_id, license, units (how many of its
     distinct units match) and dice (the best coefficient)."""
     spark = docs.sparkSession
     sets = {name: _template_bigrams(text) for name, text in templates.items()}
-    rarity = Counter(b for s in sets.values() for b in s)
     share = threshold / (2 - threshold)
-    anchors = sorted({b for s in sets.values() for b in sorted(s, key=lambda b: (rarity[b], -len(b), b))[: floor((1 - share) * len(s)) + 1]})
+    anchors, words = _anchors(sets, share)
     least, most = min(map(len, sets.values())) * share, max(map(len, sets.values())) / share
     table = spark.createDataFrame([(name, s, len(s)) for name, s in sets.items()], "license string, template array<string>, m int")
+    holds = lambda c: reduce(lambda a, w: a | F.contains(c, F.lit(w)), words[1:], F.contains(c, F.lit(words[0])))
 
+    # lower() changes no letter a-z or digit of a normalised text, so no text with an anchor is lost
+    texts = docs.select("doc_id", "text", _once(F.lower("text")).alias("low")).where(holds(F.col("low")))
     lines = F.split("text", "\n")
     paragraphs = F.filter(F.split("text", "\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
-    units = docs.select("doc_id", F.explode(F.array_distinct(F.concat(lines, paragraphs, F.array("text")))).alias("unit"))
-    # a unit of the largest template's words has no more blanks than they and marks between them need
-    sized = units.withColumn("normal", normalise(F.col("unit"))).withColumn("blanks", F.length("normal") - F.length(F.translate("normal", " ", "")))
-    # distinct bigrams may be fewer than words, never more: only the lower bound prunes by words
-    sized = sized.where(F.col("blanks") >= F.lit(max(1.0, least))).where(_holds_word(anchors))
-    own = sized.select("doc_id", "unit", bigrams(F.col("normal")).alias("own")).withColumn("n", F.size("own"))
+    units = texts.select("doc_id", F.explode(F.array_distinct(F.concat(lines, paragraphs, F.array("text")))).alias("unit"))
+    normal = units.select("doc_id", "unit", _once(normalise(F.col("unit"))).alias("normal")).where(holds(F.col("normal")))
+    own = normal.select("doc_id", "unit", _once(bigrams(F.col("normal"))).alias("own")).withColumn("n", F.size("own"))
     own = own.where((F.col("n") >= least) & (F.col("n") <= most)).where(F.arrays_overlap("own", F.array(*map(F.lit, anchors))))
     pairs = own.join(F.broadcast(table), (F.col("n") >= F.col("m") * share - 1e-9) & (F.col("n") <= F.col("m") / share + 1e-9))
     dice = 2.0 * F.size(F.array_intersect("own", "template")) / (F.col("n") + F.col("m"))
@@ -110,20 +131,6 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: dict[str,
     return found.groupBy("doc_id", "license").agg(F.count("*").alias("units"), F.round(F.max("dice"), 6).alias("dice"))
 
 
-def _holds_word(anchors: list[str]) -> Column:
-    """A test without arrays: some word out of a set that meets every anchor stands
-    in the unit. The set is built greedily from the words that meet most anchors."""
-    left, words = set(anchors), []
-    while left:
-        word = max(sorted({w for b in left for w in b.split()}), key=lambda w: (sum(w in b.split() for b in left), len(w)))
-        words.append(word)
-        left = {b for b in left if word not in b.split()}
-    found = F.contains("normal", F.lit(words[0]))
-    for word in words[1:]:
-        found = found | F.contains("normal", F.lit(word))
-    return found
-
-
 def oracle_sql(threshold: float = 0.8, templates: dict[str, str] = TEMPLATES) -> str:
     """The same result from DuckDB, every unit against every template."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
