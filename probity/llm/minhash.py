@@ -9,11 +9,13 @@ Classes. Documents with one shingle set are one class; only its first row goes o
 
 Candidates. Documents with an equal band form a bucket. Every member is compared
 with the bucket's leader and, in subsets of about 64 members dealt by a hash,
-with its likeliest partner by a 200-bit sketch of the signature. No bucket lies in
-one task and none gives all its pairs. A second round then covers what is left:
-members outside the leader's component are laid beside every subset of their
-bucket and compared with each subset's likeliest member of another component.
-A sketch must suggest a Jaccard of 0.72 (three standard deviations below 0.85).
+with its likeliest partner by a 200-bit sketch of the signature. That unites most.
+What is left is compared in full: members outside the leader's component, in
+subsets of 64, meet all subsets of their bucket, and every pair of different
+components is verified there, once, in the first band that it shares. No bucket
+lies in one task; only links leave a task. Pairs are left out if the smaller set
+has less than 85 % of the larger one's size, or if more cells of their sketches
+differ than a pair at 0.85 reaches once in a million.
 
 Links. Both whole texts of a candidate pair are brought together, and the pair is
 linked if 100 * intersection >= 85 * union of the full sets.
@@ -27,6 +29,7 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -42,7 +45,8 @@ from probity.llm.shingles import mix64, overlap, shingle_sets
 BANDS, ROWS = 20, 5
 COORDINATES = BANDS * ROWS
 SUBSET = 64
-SKETCH_LEAST = 0.72
+SKETCH_MISS = 1e-6
+THRESHOLD_PERCENT = 85
 _SLICE = 1 << 15  # shingles hashed at once: they stay in the processor's cache
 _ROW_SCHEMA = "doc_id long, node long, n_shingles long, set1 long, set2 long, bands array<long>, s1 long, s2 long, s3 long, s4 long"
 
@@ -103,15 +107,28 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _likeness(xor: list[Column]) -> Column:
-    """Jaccard suggested by two sketches: equal two-bit cells, corrected for chance."""
+def most_cells() -> int:
+    """Two-bit cells of the sketches that may differ: a pair at the threshold has more with SKETCH_MISS at most."""
+    p = (1 - THRESHOLD_PERCENT / 100) * 0.75
+    tail, k = 0.0, COORDINATES
+    while k and tail + (own := math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)) <= SKETCH_MISS:
+        tail, k = tail + own, k - 1
+    return k
+
+
+def _differ(xor: list[Column]) -> Column:
+    """Two-bit cells in which two sketches differ."""
     cell = 0x5555555555555555
-    differ = sum((F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(cell))) for x in xor), F.lit(0))
-    return (1 - differ / COORDINATES - 0.25) / 0.75
+    return sum((F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(cell))) for x in xor), F.lit(0))
+
+
+def _cells(x: np.ndarray) -> np.ndarray:
+    """Two-bit cells that are set in [.., word] xors of sketches."""
+    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1)
 
 
-def _subset_pairs(rest_only: bool):
-    """Candidate pairs inside subsets; rows come sorted by subset."""
+def _subset_pairs(most: int):
+    """Each member's likeliest partner in its subset; rows come sorted by subset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -120,26 +137,19 @@ def _subset_pairs(rest_only: bool):
         def pairs() -> pa.RecordBatch:
             rows = list({r[0]: r for r in held}.values())
             node = np.array([r[0] for r in rows], np.int64)
-            comp = np.array([r[1] for r in rows], np.int64)
-            guest = np.array([r[2] for r in rows], bool)
-            sketch = np.array([r[3:] for r in rows], np.int64).view(np.uint64)
+            sketch = np.array([r[1:] for r in rows], np.int64).view(np.uint64)
             a, b = [], []
             for i in range(len(rows)) if len(rows) > 1 else ():
-                if rest_only and not guest[i]:
-                    continue
-                x = sketch ^ sketch[i]
-                like = 1 - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1) / COORDINATES
-                like = (like - 0.25) / 0.75
-                like[i] = -1
-                like[comp == comp[i]] = -1
-                j = int(like.argmax())
-                if like[j] >= SKETCH_LEAST:
+                differ = _cells(sketch ^ sketch[i]).astype(np.int64)
+                differ[i] = COORDINATES + 1
+                j = int(differ.argmin())
+                if differ[j] <= most:
                     a.append(min(node[i], node[j]))
                     b.append(max(node[i], node[j]))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "subset", "node", "comp", "guest", "s1", "s2", "s3", "s4")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "subset", "node", "s1", "s2", "s3", "s4")]
             for key, subset, *row in zip(*columns, strict=True):
                 if (key, subset) != mark:
                     if held:
@@ -152,6 +162,100 @@ def _subset_pairs(rest_only: bool):
     return run
 
 
+_TILE = ("key", "i", "j", "side", "node", "comp", "guest", "n", "s1", "s2", "s3", "s4", "bands")
+_TILE_SCHEMA = "key long, i long, j long, side int, node long, comp long, guest boolean, n long, s1 long, s2 long, s3 long, s4 long, bands array<long>"
+
+
+def _open_pairs(key: int, rows: list[tuple], most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a tile's rows, places of all pairs (guest of side 0, member of side 1)
+    that may link two components and have the tile's bucket as their first."""
+    side = np.array([r[3] for r in rows])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    node, comp, n = (np.array([r[c] for r in rows], np.int64) for c in (4, 5, 7))
+    guest = np.array([r[6] for r in rows], bool)
+    sketch = np.array([r[8:12] for r in rows], np.int64).view(np.uint64)
+    ok = comp[left][:, None] != comp[right][None, :]
+    # two guests meet twice
+    ok &= ~guest[right][None, :] | (node[left][:, None] < node[right][None, :])
+    small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+    ok &= 100 * small >= percent * large
+    a, b = np.nonzero(ok)
+    a, b = left[a], right[b]
+    near = _cells(sketch[a] ^ sketch[b]) <= most
+    a, b = a[near], b[near]
+    if not len(a):
+        return a, b
+    bands = np.array([r[12] for r in rows], np.int64)
+    shared = bands[a] == bands[b]
+    first = bands[a, shared.argmax(1)] == key
+    return a[first], b[first]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows with one (key, i, j), which come together; a text becomes its set."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield held
+                held = []
+            held.append(row if len(row) == len(_TILE) else (*row[:-1], shingle_sets([row[-1]])[0]))
+    if held:
+        yield held
+
+
+def _open_rows(most: int, percent: int):
+    """Rows of tiles that are in an open pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for rows in _tiles(batches, _TILE):
+            a, b = _open_pairs(rows[0][0], rows, most, percent)
+            out += [rows[i] for i in np.unique(np.concatenate([a, b]))]
+            if len(out) >= 2048:
+                yield _tile_batch(out)
+                out = []
+        if out:
+            yield _tile_batch(out)
+
+    return run
+
+
+def _tile_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int64(), pa.bool_()] + [pa.int64()] * 5 + [pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(_TILE))
+
+
+def _verify_tiles(most: int, percent: int):
+    """Links between components among all open pairs of each tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tiles(batches, (*_TILE, "text")):
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in up:
+                    x = up[x]
+                return x
+
+            links = []
+            for i, j in zip(*_open_pairs(rows[0][0], rows, most, percent), strict=True):
+                x, y = root(rows[i][5]), root(rows[j][5])
+                if x != y and _linked(rows[i][-1], rows[j][-1], percent):
+                    up[max(x, y)] = min(x, y)
+                    links.append((rows[i][4], rows[j][4]))
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in links], pa.int64()), pa.array([max(p) for p in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = overlap(x, y)
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, text) that come in twos, the pairs that are linked."""
     sets: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -167,8 +271,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if other is None or other[:2] != (x, y):
                 other = (x, y, own)
                 continue
-            common = overlap(other[2], own)
-            if 100 * common >= 85 * (len(other[2]) + len(own) - common):
+            if _linked(other[2], own, THRESHOLD_PERCENT):
                 a.append(x)
                 b.append(y)
             other = None
@@ -186,8 +289,9 @@ def minhash_classes(docs: DataFrame) -> DataFrame:
     classes = shown.groupBy("set1", "set2").agg(F.min("node").alias("class_node"))
     # one row of each class goes on
     ahead = shown.join(classes, ["set1", "set2"]).where("node = class_node").dropDuplicates(["node"])
-    buckets = materialize(ahead.select("node", "s1", "s2", "s3", "s4", F.explode("bands").alias("key")), "minhash-bands")
-    leaders = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "s1", "s2", "s3", "s4")).alias("leader")).where("members > 1")
+    sketch = ["s1", "s2", "s3", "s4"]
+    buckets = materialize(ahead.select("node", F.col("n_shingles").alias("n"), *sketch, F.explode("bands").alias("key")), "minhash-bands")
+    leaders = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n", *sketch)).alias("leader")).where("members > 1")
     members = materialize(buckets.join(leaders, "key"), "minhash-members")
 
     wanted = members.select("node").distinct()
@@ -199,20 +303,17 @@ def minhash_classes(docs: DataFrame) -> DataFrame:
         both = asked.join(texts, "node").repartition(n, "a", "b").sortWithinPartitions("a", "b")
         return both.select("a", "b", "node", "text").mapInArrow(_verify, "a long, b long")
 
-    sketch = ["s1", "s2", "s3", "s4"]
-    led = members.where(F.col("node") != F.col("leader.node")).where(_likeness([F.col(s).bitwiseXOR(F.col(f"leader.{s}")) for s in sketch]) >= SKETCH_LEAST)
+    most, percent = most_cells(), THRESHOLD_PERCENT
+    led = members.where(F.col("node") != F.col("leader.node")).where(100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n"))
+    led = led.where(_differ([F.col(s).bitwiseXOR(F.col(f"leader.{s}")) for s in sketch]) <= most)
     by_leader = led.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-    subsets = F.ceil(F.col("members") / SUBSET)
-    home = F.pmod(F.xxhash64("node", "key"), subsets)
-
-    def in_subsets(df: DataFrame, rest_only: bool) -> DataFrame:
-        return df.repartition(n, "key", "subset").sortWithinPartitions("key", "subset").mapInArrow(_subset_pairs(rest_only), "a long, b long")
-
-    first = members.where("members > 2").select("key", home.alias("subset"), "node", F.col("node").alias("comp"), F.lit(True).alias("guest"), *sketch)
-    links = materialize(linked(by_leader.union(in_subsets(first, False))), "minhash-links")
+    home = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("members") / SUBSET))
+    first = members.where("members > 2").select("key", home.alias("subset"), "node", *sketch)
+    by_subset = first.repartition(n, "key", "subset").sortWithinPartitions("key", "subset").mapInArrow(_subset_pairs(most), "a long, b long")
+    links = materialize(linked(by_leader.union(by_subset)), "minhash-links")
     labels = connected_components(links)
 
-    # the rest: members outside their leader's component meet every subset of the bucket
+    # the rest: members outside their leader's component, guests, meet all members of the bucket
     label = labels.select("node", F.col("root").alias("comp"))
     led_by = labels.select(F.col("node").alias("leader_node"), F.col("root").alias("leader_comp"))
     state = (
@@ -220,14 +321,20 @@ def minhash_classes(docs: DataFrame) -> DataFrame:
         .join(label, "node", "left")
         .withColumn("leader_node", F.col("leader.node"))
         .join(led_by, "leader_node", "left")
-        .select("key", "members", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("leader_comp", "leader_node").alias("leader_comp"), *sketch)
+        .select("key", "members", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("leader_comp", "leader_node").alias("leader_comp"), "n", *sketch)
     )
-    state = materialize(state, "minhash-state")
-    mixed = state.where("comp <> leader_comp").select("key").distinct()
-    state = state.join(mixed, "key", "left_semi").withColumn("guest", F.col("comp") != F.col("leader_comp"))
-    where = F.when(F.col("guest"), F.sequence(F.lit(0).cast("long"), subsets - 1)).otherwise(F.array(home))
-    rest = state.select("key", F.explode(where).alias("subset"), "node", "comp", "guest", *sketch)
-    more = materialize(linked(in_subsets(rest, True)), "minhash-more")
+    state = materialize(state.withColumn("guest", F.col("comp") != F.col("leader_comp")), "minhash-state")
+    mixed = state.where("guest").groupBy("key").agg(F.count("*").alias("guests"))
+    state = state.join(mixed, "key").join(ahead.select("node", "bands"), "node")
+    guest_subsets, subsets = F.ceil(F.col("guests") / SUBSET), F.ceil(F.col("members") / SUBSET)
+    guest_home = F.pmod(F.xxhash64("node", "key", F.lit(1)), guest_subsets)
+    shown_in = ["node", "comp", "guest", "n", *sketch, "bands"]
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    guests = state.where("guest").select("key", guest_home.alias("i"), every(subsets).alias("j"), F.lit(0).alias("side"), *shown_in)
+    others = state.select("key", every(guest_subsets).alias("i"), home.alias("j"), F.lit(1).alias("side"), *shown_in)
+    tiled = lambda df: df.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    open_rows = materialize(tiled(guests.union(others)).mapInArrow(_open_rows(most, percent), _TILE_SCHEMA), "minhash-open")
+    more = materialize(tiled(open_rows.join(texts, "node")).mapInArrow(_verify_tiles(most, percent), "a long, b long"), "minhash-more")
     if not more.isEmpty():
         labels = connected_components(links.union(more))
 

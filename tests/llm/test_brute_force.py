@@ -73,6 +73,43 @@ def test_near_copies_are_found(spark):
             assert got[i] == 0
 
 
+def components(sets, percent):
+    """Smallest place of each set's component."""
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def filled_templates(pairs):
+    """Texts of a template: the two of a pair have a Jaccard of 0.86, others 0.82."""
+    r = np.random.default_rng(11)
+    base = [f"t{x}" for x in r.integers(0, 50000, 1604)]
+    texts = []
+    for p in range(pairs):
+        places = 4 + 5 * r.permutation(319)[:28]
+        for own in (places[:16], places[12:]):
+            text = list(base)
+            for at in own:
+                text[at] = f"p{p}x{at}"
+            texts.append(" ".join(text))
+    return texts
+
+
+def test_links_in_buckets_of_filled_templates(spark):
+    """All of a bucket's pairs are compared, not the likeliest partners alone."""
+    from probity.llm.minhash import minhash_classes
+
+    texts = filled_templates(100)
+    want = components([shingles(t) for t in texts], 85)
+    assert len(set(want)) > 50
+    got = {x["doc_id"]: x["component_id"] for x in minhash_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_language_model_base(spark, texts):
     tokens = {i: [*x.encode().lower().split(), b""] for i, x in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
