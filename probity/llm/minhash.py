@@ -2,8 +2,9 @@
 
 Signatures. A first permutation shuffles a document's shingles; a second one,
 circularly shifted by k, gives the k-th coordinate as its minimum over them. So
-two permutations make all 100 coordinates. They are cut into 20 bands of five: a
-pair with Jaccard 0.85 shares a band with probability 0.99999.
+two permutations make all 100 coordinates. They are cut into bands of as many rows
+as leave a pair at the threshold without a common band once in 100,000 at most: 20
+bands of five for 0.85, 25 of four for 0.8.
 
 Classes. Documents with one shingle set are one class; only its first row goes on.
 
@@ -14,11 +15,11 @@ What is left is compared in full: members outside the leader's component, in
 subsets of 64, meet all subsets of their bucket, and every pair of different
 components is verified there, once, in the first band that it shares. No bucket
 lies in one task; only links leave a task. Pairs are left out if the smaller set
-has less than 85 % of the larger one's size, or if more cells of their sketches
-differ than a pair at 0.85 reaches once in a million.
+is less than the threshold's share of the larger one, or if more cells of their sketches
+differ than a pair at the threshold reaches once in a million.
 
 Links. Both whole texts of a candidate pair are brought together, and the pair is
-linked if 100 * intersection >= 85 * union of the full sets.
+linked if 100 * intersection >= percent * union of the full sets.
 
 Edge cases. Null, empty and blank texts have no shingles and link with nothing.
 Texts of fewer than five words are one shingle. Null doc_id: the row takes part,
@@ -32,6 +33,7 @@ from __future__ import annotations
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +44,10 @@ from probity.operators.graph import connected_components
 from probity.llm.shared import WORD, materialize, parallelism
 from probity.llm.shingles import mix64, overlap, shingle_sets
 
-BANDS, ROWS = 20, 5
-COORDINATES = BANDS * ROWS
+COORDINATES = 100
+BAND_MISS = 1e-5
 SUBSET = 64
 SKETCH_MISS = 1e-6
-THRESHOLD_PERCENT = 85
 _SLICE = 1 << 15  # shingles hashed at once: they stay in the processor's cache
 _ROW_SCHEMA = "doc_id long, node long, n_shingles long, set1 long, set2 long, bands array<long>, s1 long, s2 long, s3 long, s4 long"
 
@@ -78,8 +79,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def band_rows(percent: int) -> int:
+    """The most rows of a band at which a pair at the threshold has a common band, but for BAND_MISS."""
+    fit = [r for r in (20, 10, 5, 4, 2) if (1 - (percent / 100) ** r) ** (COORDINATES // r) <= BAND_MISS]
+    return fit[0] if fit else 1
+
+
+def _describe(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """A row of _ROW_SCHEMA for each document."""
+    height = band_rows(percent)
+    width = COORDINATES // height
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
@@ -87,29 +96,29 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
             set1, set2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            keys, sketch = np.zeros((len(n), BANDS), np.uint64), np.zeros((len(n), 4), np.uint64)
+            keys, sketch = np.zeros((len(n), width), np.uint64), np.zeros((len(n), 4), np.uint64)
             if len(full):
                 own = [sets[i] for i in full]
                 flat, starts = np.concatenate(own), np.cumsum([0, *n[full][:-1]])
                 set1[full] = np.add.reduceat(mix64(flat + np.uint64(1)), starts)
                 set2[full] = np.add.reduceat(mix64(flat + np.uint64(2)), starts)
                 sig = signatures(own)
-                key = np.zeros((len(own), BANDS), np.uint64)
-                for r in range(ROWS):
-                    key = mix64(key + sig[:, r::ROWS].astype(np.uint64) + np.uint64(r + 1))
-                keys[full] = mix64(key + np.arange(BANDS, dtype=np.uint64))
+                key = np.zeros((len(own), width), np.uint64)
+                for r in range(height):
+                    key = mix64(key + sig[:, r::height].astype(np.uint64) + np.uint64(r + 1))
+                keys[full] = mix64(key + np.arange(width, dtype=np.uint64))
                 low = (sig & np.uint32(3)).astype(np.uint64).reshape(len(own), 4, COORDINATES // 4)
                 sketch[full] = (low << (np.uint64(2) * np.arange(COORDINATES // 4, dtype=np.uint64))).sum(2, dtype=np.uint64)
-            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(([0], np.where(n > 0, BANDS, 0)))), pa.int32()), pa.array(keys[full].reshape(-1).view(np.int64)))
+            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(([0], np.where(n > 0, width, 0)))), pa.int32()), pa.array(keys[full].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("node"), pa.array(n), *(pa.array(x.view(np.int64)) for x in (set1, set2)), bands, *(pa.array(np.ascontiguousarray(sketch[:, j]).view(np.int64)) for j in range(4))],
                 names=[c.split()[0] for c in _ROW_SCHEMA.split(", ")],
             )
 
 
-def most_cells() -> int:
+def most_cells(percent: int) -> int:
     """Two-bit cells of the sketches that may differ: a pair at the threshold has more with SKETCH_MISS at most."""
-    p = (1 - THRESHOLD_PERCENT / 100) * 0.75
+    p = (1 - percent / 100) * 0.75
     tail, k = 0.0, COORDINATES
     while k and tail + (own := math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)) <= SKETCH_MISS:
         tail, k = tail + own, k - 1
@@ -256,7 +265,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, text) that come in twos, the pairs that are linked."""
     sets: OrderedDict[int, np.ndarray] = OrderedDict()
     other: tuple | None = None
@@ -271,20 +280,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if other is None or other[:2] != (x, y):
                 other = (x, y, own)
                 continue
-            if _linked(other[2], own, THRESHOLD_PERCENT):
+            if _linked(other[2], own, percent):
                 a.append(x)
                 b.append(y)
             other = None
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def minhash_classes(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept, and two hashes for
+def minhash_classes(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Documents linked at a Jaccard of percent / 100. Per row of docs: doc_id, n_shingles, component_id, kept, and two hashes for
     joining the result with docs: node, of the row, and group, of its component
     (null without words)."""
     n = parallelism(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("node", F.xxhash64("doc_id", "text"))
-    rows = materialize(keyed.mapInArrow(_describe, _ROW_SCHEMA), "minhash-rows")
+    rows = materialize(keyed.mapInArrow(partial(_describe, percent=percent), _ROW_SCHEMA), "minhash-rows")
     shown = rows.where("n_shingles > 0")
     classes = shown.groupBy("set1", "set2").agg(F.min("node").alias("class_node"))
     # one row of each class goes on
@@ -301,9 +310,9 @@ def minhash_classes(docs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
         asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
         both = asked.join(texts, "node").repartition(n, "a", "b").sortWithinPartitions("a", "b")
-        return both.select("a", "b", "node", "text").mapInArrow(_verify, "a long, b long")
+        return both.select("a", "b", "node", "text").mapInArrow(partial(_verify, percent=percent), "a long, b long")
 
-    most, percent = most_cells(), THRESHOLD_PERCENT
+    most = most_cells(percent)
     led = members.where(F.col("node") != F.col("leader.node")).where(100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n"))
     led = led.where(_differ([F.col(s).bitwiseXOR(F.col(f"leader.{s}")) for s in sketch]) <= most)
     by_leader = led.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
@@ -346,12 +355,12 @@ def minhash_classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "node", F.col("comp").alias("group"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs, one of each group of near duplicates: one of the smallest
     doc_id. Rows without words all stay. Same columns."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     has_words = F.coalesce(F.rlike(F.col("row.text"), F.lit(WORD)), F.lit(False))
-    first = minhash_classes(docs).where("group is not null").groupBy("group").agg(F.min(F.struct(~F.col("kept"), "node")).alias("first"))
+    first = minhash_classes(docs, percent).where("group is not null").groupBy("group").agg(F.min(F.struct(~F.col("kept"), "node")).alias("first"))
     chosen = first.select(F.col("first.node").alias("node"))
     keyed = rows.where(has_words).withColumn("node", F.xxhash64(F.col("row.doc_id").cast("long"), F.col("row.text").cast("binary")))
     kept = keyed.join(chosen, "node").dropDuplicates(["node"]).select("row")

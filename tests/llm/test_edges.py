@@ -168,3 +168,15 @@ def test_vectors(spark):
 
 def test_stages_keep_columns():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "mixing", "packing"]
+
+
+def test_near_duplicates_stage_links_at_080(spark):
+    """A pair of Jaccard 0.82: the stage keeps one, the query at 0.85 keeps both."""
+    words = [f"v{i}" for i in range(404)]
+    other = list(words)
+    for at in range(10, 90, 10):
+        other[at] = "x"
+    pair = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, pair, "").collect()] == [1]
+    assert [r["component_id"] for r in minhash.minhash_classes(pair).orderBy("doc_id").collect()] == [1, 2]
+    assert (minhash.band_rows(85), minhash.band_rows(80)) == (5, 4)
