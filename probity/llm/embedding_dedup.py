@@ -1,14 +1,15 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by passes of random projections.
 
 Equal vectors of a label are one class. Each pass gives every class the
-concatenated signs of its own random projections as a key, orders classes by
-label and key, and compares each with its next 64 neighbours by exact cosine.
-Passes are many enough that a pair at the threshold is missed with probability
-below 1e-4: a pair falls into one window with about (1 - angle/pi) ** bits, where
-bits = log2(classes of the largest label / window). Verified pairs of all passes
-are united. Exact links then are counted inside each component: its members are
-dealt into blocks of 512, and pairs of blocks are compared by matrix products;
-only counts leave a task.
+concatenated signs of its own random projections as a key. Classes of a label with
+one key are a bucket, and all pairs of a bucket are compared by exact cosine: its
+members are dealt into blocks of 512, and pairs of blocks are compared by matrix
+products. A pair at the threshold has one key with probability (1 - angle/pi) **
+bits, wherever the other vectors lie, so passes are as many as leave a miss below
+1e-4. bits = log2(classes of the largest label / 64): where vectors fill all
+directions evenly a bucket has about 64 members; in dense cones buckets are larger,
+which costs time and loses no pair. Links of all passes are united. Exact links
+then are counted inside each component, by the same blocks; only counts leave a task.
 
 Edge cases. Null label, null vec_id, null, empty or zero vector, null or
 non-finite component: the row links with nothing (n_links 0, its own component).
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.operators.graph import connected_components, forest
+from probity.operators.graph import connected_components
 from probity.llm.shared import materialize, parallelism
 
-WINDOW, KEY_BITS, BLOCK = 64, 62, 512
+BUCKET, KEY_BITS, BLOCK = 64, 62, 512
 
 
 def usable(embedding: Column) -> Column:
@@ -44,25 +45,26 @@ def unit_rows(column: pa.ListArray, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def passes_needed(classes: int, threshold: float, miss: float = 1e-4) -> int:
-    bits = max(0.0, math.log2(max(1, classes) / WINDOW))
-    share = (1 - math.acos(threshold) / math.pi) ** (bits + 1)
-    return max(4, math.ceil(math.log(miss) / math.log(1 - share)))
+def bits_and_passes(classes: int, threshold: float, miss: float = 1e-4) -> tuple[int, int]:
+    """Bits of a key and passes for a label of so many classes."""
+    bits = min(KEY_BITS, int(math.log2(max(1, classes / BUCKET))))
+    share = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, 1 if share == 1 else math.ceil(math.log(miss) / math.log(1 - share))
 
 
-def _keys(passes: int, seed: int):
+def _keys(bits: int, passes: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        place = np.int64(1) << np.arange(KEY_BITS, dtype=np.int64)[::-1]
+        place = np.int64(1) << np.arange(bits, dtype=np.int64)[::-1]
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * KEY_BITS))
+                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
                 for at in range(0, part.num_rows, 1024):
                     rows = part.slice(at, 1024)
-                    signs = (unit_rows(rows.column("embedding"), int(dim)) @ planes[dim] > 0).reshape(-1, passes, KEY_BITS)
+                    signs = (unit_rows(rows.column("embedding"), int(dim)) @ planes[dim] > 0).reshape(rows.num_rows, passes, bits)
                     keys = signs @ place
                     for p in range(passes):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, p), pa.int32()), *rows.columns, pa.array(keys[:, p])], names=["pass", *rows.schema.names, "key"])
@@ -70,30 +72,36 @@ def _keys(passes: int, seed: int):
     return run
 
 
-def _windows(threshold: float):
+def _bucket_links(threshold: float):
+    """Rows of a pair of blocks of a bucket come together; each node's smallest linked one, if smaller."""
+    names = ("pass", "dim", "label", "key", "i", "j")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: dict[int, int] = {}
-        mark, x, nodes = None, np.zeros((0, 1)), np.zeros(0, np.int64)
+        mark, held = None, []
+
+        def link() -> pa.RecordBatch:
+            x, node = unit_rows(pa.concat_arrays([h.column("embedding") for h in held]), mark[1]), np.concatenate([np.asarray(h.column("node")) for h in held])
+            near = x @ x.T >= threshold
+            # the smallest node reached: names spread until none changes
+            name, before = node, None
+            while before is None or (name != before).any():
+                before, name = name, np.minimum(name, np.where(near, name[None, :], np.iinfo(np.int64).max).min(1))
+            part = name != node
+            return pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(name[part])], names=["a", "b"])
+
         for batch in batches:
-            run_of = list(zip(*(batch.column(c).to_pylist() for c in ("pass", "dim", "label")), strict=True))
+            run_of = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
             cuts = [0, *[i for i in range(1, len(run_of)) if run_of[i] != run_of[i - 1]], len(run_of)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                part = batch.slice(a, b - a)
-                new, ids = unit_rows(part.column("embedding"), run_of[a][1]), np.asarray(part.column("node"))
                 if run_of[a] != mark:
-                    mark, x, nodes = run_of[a], new[:0], ids[:0]
-                x, nodes = np.vstack([x, new]), np.concatenate([nodes, ids])
-                pairs = list(tree.items())
-                for i in range(0, len(x), 256):
-                    near = x[i : i + 256] @ x[i : i + 256 + WINDOW].T >= threshold
-                    r, c = np.nonzero(near)
-                    ok = (c > r) & (c - r <= WINDOW)
-                    pairs += zip(nodes[i + r[ok]].tolist(), nodes[i + c[ok]].tolist(), strict=True)
-                tree = forest(pairs)
-                x, nodes = x[-WINDOW:], nodes[-WINDOW:]
-        yield pa.RecordBatch.from_arrays([pa.array(list(tree), pa.int64()), pa.array(list(tree.values()), pa.int64())], names=["a", "b"])
+                    if held:
+                        yield link()
+                    mark, held = run_of[a], []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield link()
 
     return run
 
@@ -139,9 +147,16 @@ def embedding_classes(vectors: DataFrame, threshold: float = 0.98, seed: int = 4
     classes = rows.where("node is not null").groupBy("node", "label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("dim", F.size("embedding")), "vector-classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    keyed = classes.select("dim", "label", "node", "embedding").mapInArrow(_keys(passes_needed(largest, threshold), seed), "pass int, dim int, label long, node long, embedding array<double>, key long")
-    order = ["pass", "dim", "label", "key", "node"]
-    found = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_windows(threshold), "a long, b long")
+    bits, passes = bits_and_passes(largest, threshold)
+    keyed = classes.select("dim", "label", "node", "embedding").mapInArrow(_keys(bits, passes, seed), "pass int, dim int, label long, node long, embedding array<double>, key long")
+    keyed = materialize(keyed, "vector-keys")
+    bucket = ["pass", "dim", "label", "key"]
+    counts = keyed.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    dealt = keyed.join(counts, bucket).withColumn("block", F.pmod(F.xxhash64("node", "pass"), blocks))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    order = [*bucket, "i", "j"]
+    found = dealt.select(*order, "node", "embedding").repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_bucket_links(threshold), "a long, b long")
     labels = connected_components(found)
 
     # every member of a component of two classes or more: the roots too

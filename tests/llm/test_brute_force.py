@@ -153,6 +153,26 @@ def test_embedding_links(spark):
         assert row["component_id"] == min([row["vec_id"], *np.flatnonzero(links[row["vec_id"]])])
 
 
+def test_embedding_links_in_a_dense_cone(spark):
+    """Vectors of one label with a median cosine of about 0.95 to each other: no pair's link is lost."""
+    from probity.llm.embedding_dedup import embedding_classes
+
+    r = np.random.default_rng(3)
+    base = np.eye(64)[0] + 0.23 * r.standard_normal((3000, 64)) / 8
+    move = r.standard_normal((300, 64))
+    x = np.concatenate([base, base[:300] + 0.17 * move / np.linalg.norm(move, axis=1, keepdims=True)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    assert 0.94 < np.median(u @ u.T) < 0.96 and links.sum() >= 600
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_classes(frame).collect()
+    want = np.arange(len(x))
+    while (lower := np.where(links, want[None, :], len(x)).min(1)).min() < len(x) and (lower < want).any():
+        want = np.minimum(want, lower)
+    assert [r["component_id"] for r in sorted(got, key=lambda r: r["vec_id"])] == want.tolist()
+    assert [r["n_links"] for r in sorted(got, key=lambda r: r["vec_id"])] == links.sum(1).tolist()
+
+
 def test_mix_meets_targets(spark):
     sums: dict = {}
     for r in Q.op9_mixing(spark, SMALL).collect():
