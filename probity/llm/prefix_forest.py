@@ -6,7 +6,8 @@ tree a row has a string of 32 bits, the signs of its own random projections, and
 the tree is the sorted array of these strings. A query descends in all trees to
 its longest matching prefixes and ascends in all of them at once, one bit at a
 time, until the ranges of rows with the common prefix hold enough candidates.
-Candidates are ranked by exact Euclidean distance in double precision.
+Distances are computed for candidates alone, and candidates are ranked by exact
+Euclidean distance in double precision, with all that tie.
 
 Every row is indexed and every query visits every shard, so recall does not
 depend on the number of shards. At the default `depth_share` the candidates are about
@@ -85,17 +86,19 @@ class Forest:
 
     def nearest(self, ids: np.ndarray, x: np.ndarray, k: int, depth_share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, row id, distance) of the k nearest candidates of each query."""
-        near = self.square[None, :] - 2 * (x @ self.x.T)
-        near[~self.candidates(self.hash(x), depth_share * len(self.ids))] = np.inf
-        near[ids[:, None] == self.ids[None, :]] = np.inf
-        take = min(len(self.ids), 4 * k)
-        rows = np.argpartition(near, take - 1, axis=1)[:, :take] if take < len(self.ids) else np.tile(np.arange(len(self.ids)), (len(ids), 1))
-        exact = np.sqrt(((x[:, None, :] - self.x[rows]) ** 2).sum(2))
-        exact[np.isinf(np.take_along_axis(near, rows, 1))] = np.inf
-        order = np.lexsort((self.ids[rows], exact), axis=1)[:, :k]
-        exact, rows = np.take_along_axis(exact, order, 1), np.take_along_axis(rows, order, 1)
-        ok = np.isfinite(exact)
-        return np.repeat(ids, ok.sum(1)), self.ids[rows[ok]], exact[ok]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found = self.candidates(self.hash(x), depth_share * len(self.ids)) & (ids[:, None] != self.ids[None, :])
+        for i, mask in enumerate(found):
+            rows = np.flatnonzero(mask)
+            if len(rows) > k:
+                near = self.square[rows] - 2 * (self.x[rows] @ x[i])
+                # all that rounding could bring among the k nearest, so all ties of the k-th too
+                slack = 1e-12 * len(x[i]) * (self.square[rows].max() + x[i] @ x[i])
+                rows = rows[near <= np.partition(near, k - 1)[k - 1] + slack]
+            exact = np.sqrt(((x[i] - self.x[rows]) ** 2).sum(1))
+            order = np.lexsort((self.ids[rows], exact))[:k]
+            out.append((np.full(len(order), ids[i]), self.ids[rows[order]], exact[order]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _search(k: int, depth_share: float, seed: int):

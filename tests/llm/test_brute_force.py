@@ -137,6 +137,19 @@ def test_nearest_neighbours(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_ties_among_many_equal_vectors():
+    """More equal vectors than any fixed cut: those of the smallest ids are given."""
+    from probity.llm.prefix_forest import Forest
+
+    r = np.random.default_rng(9)
+    x = r.standard_normal((3000, 16))
+    x[r.permutation(3000)[:500]] = x[0]
+    ids = np.arange(3000)
+    query, got, score = Forest(ids, x, 42).nearest(np.array([5000]), x[:1] + 0.01, 10, 0.6)
+    assert got.tolist() == np.flatnonzero((x == x[0]).all(1))[:10].tolist()
+    assert len(set(score)) == 1 and (query == 5000).all()
+
+
 def test_embedding_links(spark):
     from probity.llm.embedding_dedup import embedding_classes
 
