@@ -8,18 +8,20 @@ bands of five for 0.85, 25 of four for 0.8.
 
 Classes. Documents with one shingle set are one class; only its first row goes on.
 
-Candidates. Documents with an equal band form a bucket. Every member is compared
-with the bucket's leader and, in subsets of about 64 members dealt by a hash,
-with its likeliest partner by a 200-bit sketch of the signature. That unites most.
-What is left is compared in full: members outside the leader's component, in
-subsets of 64, meet all subsets of their bucket, and every pair of different
-components is verified there, once, in the first band that it shares. No bucket
-lies in one task; only links leave a task. Pairs are left out if the smaller set
-is less than the threshold's share of the larger one, or if more cells of their sketches
-differ than a pair at the threshold reaches once in a million.
-
-Links. Both whole texts of a candidate pair are brought together, and the pair is
-linked if 100 * intersection >= percent * union of the full sets.
+Candidates. Documents with an equal band form a bucket. First every member is
+compared with the bucket's leader, its smallest row, which unites most. Then the
+members outside the leader's component, the guests, meet all members of the bucket:
+both are dealt into blocks, and every pair of different components is verified in
+the block pair of the first band that it shares. So no pair that shares a band is
+left out, no bucket lies in one task, and only links leave a task. The cost of the
+second step grows with guests times members; a group of copies has no guests.
+
+Links. The whole texts of a candidate pair come together, and the pair is linked if
+100 * intersection >= percent * union of the full sets. Intersections of a block pair
+are products of its sets' incidence matrices, cut by columns.
+
+A set's identity is two 64-bit sums of its shingles' hashes, a row's is its number in
+the table as first written.
 
 Edge cases. Null, empty and blank texts have no shingles and link with nothing.
 Texts of fewer than five words are one shingle. Null doc_id: the row takes part,
@@ -30,7 +32,6 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import partial
@@ -40,16 +41,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.operators.graph import connected_components
-from probity.llm.shared import WORD, materialize, parallelism
+from probity.operators.graph import connected_components, forest
+from probity.llm.shared import materialize, parallelism
 from probity.llm.shingles import mix64, overlap, shingle_sets
 
 COORDINATES = 100
 BAND_MISS = 1e-5
-SUBSET = 64
-SKETCH_MISS = 1e-6
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22  # of a block: documents, and their shingles
+COLUMNS = 1 << 14  # of incidence matrices that are multiplied at once
 _SLICE = 1 << 15  # shingles hashed at once: they stay in the processor's cache
-_ROW_SCHEMA = "doc_id long, node long, n_shingles long, set1 long, set2 long, bands array<long>, s1 long, s2 long, s3 long, s4 long"
+_ROW_SCHEMA = "node long, doc_id long, text binary, n_shingles long, set1 long, set2 long, bands array<long>"
 
 
 def _permute32(x: np.ndarray) -> np.ndarray:
@@ -96,7 +97,7 @@ def _describe(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
             set1, set2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            keys, sketch = np.zeros((len(n), width), np.uint64), np.zeros((len(n), 4), np.uint64)
+            keys = np.zeros((len(n), width), np.uint64)
             if len(full):
                 own = [sets[i] for i in full]
                 flat, starts = np.concatenate(own), np.cumsum([0, *n[full][:-1]])
@@ -107,157 +108,94 @@ def _describe(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                 for r in range(height):
                     key = mix64(key + sig[:, r::height].astype(np.uint64) + np.uint64(r + 1))
                 keys[full] = mix64(key + np.arange(width, dtype=np.uint64))
-                low = (sig & np.uint32(3)).astype(np.uint64).reshape(len(own), 4, COORDINATES // 4)
-                sketch[full] = (low << (np.uint64(2) * np.arange(COORDINATES // 4, dtype=np.uint64))).sum(2, dtype=np.uint64)
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(([0], np.where(n > 0, width, 0)))), pa.int32()), pa.array(keys[full].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("node"), pa.array(n), *(pa.array(x.view(np.int64)) for x in (set1, set2)), bands, *(pa.array(np.ascontiguousarray(sketch[:, j]).view(np.int64)) for j in range(4))],
+                [*(part.column(c) for c in ("node", "doc_id", "text")), pa.array(n), *(pa.array(x.view(np.int64)) for x in (set1, set2)), bands],
                 names=[c.split()[0] for c in _ROW_SCHEMA.split(", ")],
             )
 
 
-def most_cells(percent: int) -> int:
-    """Two-bit cells of the sketches that may differ: a pair at the threshold has more with SKETCH_MISS at most."""
-    p = (1 - percent / 100) * 0.75
-    tail, k = 0.0, COORDINATES
-    while k and tail + (own := math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)) <= SKETCH_MISS:
-        tail, k = tail + own, k - 1
-    return k
-
-
-def _differ(xor: list[Column]) -> Column:
-    """Two-bit cells in which two sketches differ."""
-    cell = 0x5555555555555555
-    return sum((F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(cell))) for x in xor), F.lit(0))
-
-
-def _cells(x: np.ndarray) -> np.ndarray:
-    """Two-bit cells that are set in [.., word] xors of sketches."""
-    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(-1)
-
-
-def _subset_pairs(most: int):
-    """Each member's likeliest partner in its subset; rows come sorted by subset."""
+_TILE = pa.schema([*((c, pa.int64()) for c in ("key", "i", "j", "side", "node", "comp", "guest", "n")), ("bands", pa.list_(pa.int64()))])
+_TILE_SCHEMA = "key long, i long, j long, side long, node long, comp long, guest long, n long, bands array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        mark = None
 
-        def pairs() -> pa.RecordBatch:
-            rows = list({r[0]: r for r in held}.values())
-            node = np.array([r[0] for r in rows], np.int64)
-            sketch = np.array([r[1:] for r in rows], np.int64).view(np.uint64)
-            a, b = [], []
-            for i in range(len(rows)) if len(rows) > 1 else ():
-                differ = _cells(sketch ^ sketch[i]).astype(np.int64)
-                differ[i] = COORDINATES + 1
-                j = int(differ.argmin())
-                if differ[j] <= most:
-                    a.append(min(node[i], node[j]))
-                    b.append(max(node[i], node[j]))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "subset", "node", "s1", "s2", "s3", "s4")]
-            for key, subset, *row in zip(*columns, strict=True):
-                if (key, subset) != mark:
-                    if held:
-                        yield pairs()
-                    held, mark = [], (key, subset)
-                held.append(tuple(row))
-        if held:
-            yield pairs()
-
-    return run
-
-
-_TILE = ("key", "i", "j", "side", "node", "comp", "guest", "n", "s1", "s2", "s3", "s4", "bands")
-_TILE_SCHEMA = "key long, i long, j long, side int, node long, comp long, guest boolean, n long, s1 long, s2 long, s3 long, s4 long, bands array<long>"
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows with equal keys, which come together."""
+    mark, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        run_of = np.stack([np.asarray(batch.column(c)) for c in keys])
+        cuts = [0, *(np.flatnonzero((run_of[:, 1:] != run_of[:, :-1]).any(0)) + 1), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if tuple(run_of[:, a]) != mark:
+                if held:
+                    yield pa.Table.from_batches(held)
+                mark, held = tuple(run_of[:, a]), []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _open_pairs(key: int, rows: list[tuple], most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a tile's rows, places of all pairs (guest of side 0, member of side 1)
-    that may link two components and have the tile's bucket as their first."""
-    side = np.array([r[3] for r in rows])
+def _open_pairs(tile: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of side 0, rows of side 1, and for which pairs of them the tile's bucket
+    is the first that they share, with components and sizes that allow a link."""
+    side, node, comp, guest, n = (np.asarray(tile.column(c)) for c in ("side", "node", "comp", "guest", "n"))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(left) or not len(right):
-        return left[:0], right[:0]
-    node, comp, n = (np.array([r[c] for r in rows], np.int64) for c in (4, 5, 7))
-    guest = np.array([r[6] for r in rows], bool)
-    sketch = np.array([r[8:12] for r in rows], np.int64).view(np.uint64)
     ok = comp[left][:, None] != comp[right][None, :]
     # two guests meet twice
-    ok &= ~guest[right][None, :] | (node[left][:, None] < node[right][None, :])
+    ok &= (guest[right] == 0)[None, :] | (node[left][:, None] < node[right][None, :])
     small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
     ok &= 100 * small >= percent * large
-    a, b = np.nonzero(ok)
-    a, b = left[a], right[b]
-    near = _cells(sketch[a] ^ sketch[b]) <= most
-    a, b = a[near], b[near]
-    if not len(a):
-        return a, b
-    bands = np.array([r[12] for r in rows], np.int64)
-    shared = bands[a] == bands[b]
-    first = bands[a, shared.argmax(1)] == key
-    return a[first], b[first]
-
-
-def _tiles(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
-    """Rows with one (key, i, j), which come together; a text becomes its set."""
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            if held and held[0][:3] != row[:3]:
-                yield held
-                held = []
-            held.append(row if len(row) == len(_TILE) else (*row[:-1], shingle_sets([row[-1]])[0]))
-    if held:
-        yield held
+    if ok.any():
+        bands = np.asarray(tile.column("bands").combine_chunks().flatten()).reshape(len(node), -1)
+        for band in bands.T[: int(np.flatnonzero(bands[0] == tile.column("key")[0].as_py())[0])]:
+            ok &= band[left][:, None] != band[right][None, :]
+    return left, right, ok
 
 
-def _open_rows(most: int, percent: int):
+def _open_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows of tiles that are in an open pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for rows in _tiles(batches, _TILE):
-            a, b = _open_pairs(rows[0][0], rows, most, percent)
-            out += [rows[i] for i in np.unique(np.concatenate([a, b]))]
-            if len(out) >= 2048:
-                yield _tile_batch(out)
-                out = []
-        if out:
-            yield _tile_batch(out)
-
-    return run
-
-
-def _tile_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int64(), pa.bool_()] + [pa.int64()] * 5 + [pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(_TILE))
+    for tile in _runs(batches, ("key", "i", "j")):
+        left, right, ok = _open_pairs(tile, percent)
+        if ok.any():
+            yield from tile.take(np.sort(np.concatenate([left[ok.any(1)], right[ok.any(0)]]))).cast(_TILE).combine_chunks().to_batches()
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left and every right set."""
+    place, code = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    here = owner < len(left)
+    both = (np.bincount(code[here], minlength=len(place)) > 0) & (np.bincount(code[~here], minlength=len(place)) > 0)
+    column = np.cumsum(both) - 1
+    owner, code = owner[both[code]], column[code[both[code]]]
+    out = np.zeros((len(left), len(right)))
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    for at in range(0, int(both.sum()), COLUMNS):
+        a, b = np.searchsorted(code, (at, at + COLUMNS))
+        m = np.zeros((len(left) + len(right), COLUMNS if at + COLUMNS <= both.sum() else int(both.sum()) - at), np.float32)
+        m[owner[a:b], code[a:b] - at] = 1  # counts of a cut stay below 2 ** 24: exact
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
 
 
-def _verify_tiles(most: int, percent: int):
+def _verify_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links between components among all open pairs of each tile."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _tiles(batches, (*_TILE, "text")):
-            up: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while x in up:
-                    x = up[x]
-                return x
-
-            links = []
-            for i, j in zip(*_open_pairs(rows[0][0], rows, most, percent), strict=True):
-                x, y = root(rows[i][5]), root(rows[j][5])
-                if x != y and _linked(rows[i][-1], rows[j][-1], percent):
-                    up[max(x, y)] = min(x, y)
-                    links.append((rows[i][4], rows[j][4]))
-            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in links], pa.int64()), pa.array([max(p) for p in links], pa.int64())], names=["a", "b"])
-
-    return run
+    for tile in _runs(batches, ("key", "i", "j")):
+        left, right, ok = _open_pairs(tile, percent)
+        sets = shingle_sets(tile.column("text").to_pylist())
+        n, comp = np.array([len(s) for s in sets]), np.asarray(tile.column("comp"))
+        if ok.sum() <= len(sets):
+            pairs = [(comp[left[i]], comp[right[j]]) for i, j in zip(*np.nonzero(ok), strict=True) if _linked(sets[left[i]], sets[right[j]], percent)]
+        else:
+            common = common_counts([sets[i] for i in left], [sets[j] for j in right])
+            ok &= 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+            i, j = np.nonzero(ok)
+            pairs = list(zip(comp[left[i]].tolist(), comp[right[j]].tolist(), strict=True))
+        tree = forest(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(tree.values(), pa.int64()), pa.array(tree.keys(), pa.int64())], names=["a", "b"])
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -287,81 +225,84 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def minhash_classes(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Documents linked at a Jaccard of percent / 100. Per row of docs: doc_id, n_shingles, component_id, kept, and two hashes for
-    joining the result with docs: node, of the row, and group, of its component
-    (null without words)."""
-    n = parallelism(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("node", F.xxhash64("doc_id", "text"))
-    rows = materialize(keyed.mapInArrow(partial(_describe, percent=percent), _ROW_SCHEMA), "minhash-rows")
-    shown = rows.where("n_shingles > 0")
-    classes = shown.groupBy("set1", "set2").agg(F.min("node").alias("class_node"))
-    # one row of each class goes on
-    ahead = shown.join(classes, ["set1", "set2"]).where("node = class_node").dropDuplicates(["node"])
-    sketch = ["s1", "s2", "s3", "s4"]
-    buckets = materialize(ahead.select("node", F.col("n_shingles").alias("n"), *sketch, F.explode("bands").alias("key")), "minhash-bands")
-    leaders = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n", *sketch)).alias("leader")).where("members > 1")
-    members = materialize(buckets.join(leaders, "key"), "minhash-members")
-
-    wanted = members.select("node").distinct()
-    texts = materialize(keyed.join(wanted, "node").select("node", "text").dropDuplicates(["node"]), "minhash-texts")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-        both = asked.join(texts, "node").repartition(n, "a", "b").sortWithinPartitions("a", "b")
-        return both.select("a", "b", "node", "text").mapInArrow(partial(_verify, percent=percent), "a long, b long")
-
-    most = most_cells(percent)
+def _classes(numbered: DataFrame, percent: int) -> DataFrame:
+    """Of rows (node, doc_id, text): node, doc_id, n_shingles, component_id and
+    comp, the component's smallest class (null without words)."""
+    n = parallelism(numbered.sparkSession)
+    rows = materialize(numbered.mapInArrow(partial(_describe, percent=percent), _ROW_SCHEMA), "minhash-rows")
+    classes = rows.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_doc"))
+    classes = materialize(classes, "minhash-classes")
+    ahead = rows.select("node", F.col("n_shingles").alias("n"), "bands").join(classes.select("node"), "node", "left_semi")
+    buckets = materialize(ahead.select("node", "n", F.explode("bands").alias("key")), "minhash-bands")
+    leaders = buckets.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.min(F.struct("node", "n")).alias("leader")).where("members > 1")
+    # written first: a join of tables alone is dealt anew where a key is hot
+    members = materialize(buckets.join(materialize(leaders, "minhash-leaders"), "key"), "minhash-members")
+
+    texts = rows.select("node", "text").join(members.select("node").distinct(), "node", "left_semi")
+    texts = materialize(texts, "minhash-texts")
     led = members.where(F.col("node") != F.col("leader.node")).where(100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n"))
-    led = led.where(_differ([F.col(s).bitwiseXOR(F.col(f"leader.{s}")) for s in sketch]) <= most)
-    by_leader = led.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-    home = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("members") / SUBSET))
-    first = members.where("members > 2").select("key", home.alias("subset"), "node", *sketch)
-    by_subset = first.repartition(n, "key", "subset").sortWithinPartitions("key", "subset").mapInArrow(_subset_pairs(most), "a long, b long")
-    links = materialize(linked(by_leader.union(by_subset)), "minhash-links")
+    pairs = led.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
+    asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    both = asked.join(texts, "node").repartition(n, "a", "b").sortWithinPartitions("a", "b").select("a", "b", "node", "text")
+    links = materialize(both.mapInArrow(partial(_verify, percent=percent), "a long, b long"), "minhash-links")
     labels = connected_components(links)
 
     # the rest: members outside their leader's component, guests, meet all members of the bucket
-    label = labels.select("node", F.col("root").alias("comp"))
     led_by = labels.select(F.col("node").alias("leader_node"), F.col("root").alias("leader_comp"))
     state = (
         members.where("members > 2")
-        .join(label, "node", "left")
-        .withColumn("leader_node", F.col("leader.node"))
+        .select("key", "members", "weight", "node", "n", F.col("leader.node").alias("leader_node"))
+        .join(labels, "node", "left")
         .join(led_by, "leader_node", "left")
-        .select("key", "members", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("leader_comp", "leader_node").alias("leader_comp"), "n", *sketch)
+        .withColumn("comp", F.coalesce("root", "node"))
+        .withColumn("guest", (F.col("comp") != F.coalesce("leader_comp", "leader_node")).cast("long"))
+        .select("key", "members", "weight", "node", "comp", "guest", "n")
     )
-    state = materialize(state.withColumn("guest", F.col("comp") != F.col("leader_comp")), "minhash-state")
-    mixed = state.where("guest").groupBy("key").agg(F.count("*").alias("guests"))
-    state = state.join(mixed, "key").join(ahead.select("node", "bands"), "node")
-    guest_subsets, subsets = F.ceil(F.col("guests") / SUBSET), F.ceil(F.col("members") / SUBSET)
-    guest_home = F.pmod(F.xxhash64("node", "key", F.lit(1)), guest_subsets)
-    shown_in = ["node", "comp", "guest", "n", *sketch, "bands"]
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
-    guests = state.where("guest").select("key", guest_home.alias("i"), every(subsets).alias("j"), F.lit(0).alias("side"), *shown_in)
-    others = state.select("key", every(guest_subsets).alias("i"), home.alias("j"), F.lit(1).alias("side"), *shown_in)
+    state = materialize(state, "minhash-state")
+    blocks = lambda count, weight: F.ceil(F.greatest(F.col(count) / BLOCK, F.col(weight) / BLOCK_SHINGLES))
+    mixed = state.where("guest = 1").groupBy("key").agg(F.count("*").alias("guests"), F.sum("n").alias("guest_weight"))
+    state = state.join(materialize(mixed.withColumn("guest_blocks", blocks("guests", "guest_weight")), "minhash-mixed"), "key")
+    state = state.withColumn("blocks", blocks("members", "weight")).join(ahead.select("node", "bands"), "node")
+    home = lambda count, seed: F.pmod(F.xxhash64("node", "key", F.lit(seed)), count)
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    shown = ["node", "comp", "guest", "n", "bands"]
+    guests = state.where("guest = 1").select("key", home(F.col("guest_blocks"), 1).alias("i"), every("blocks").alias("j"), F.lit(0).cast("long").alias("side"), *shown)
+    others = state.select("key", every("guest_blocks").alias("i"), home(F.col("blocks"), 2).alias("j"), F.lit(1).cast("long").alias("side"), *shown)
     tiled = lambda df: df.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    open_rows = materialize(tiled(guests.union(others)).mapInArrow(_open_rows(most, percent), _TILE_SCHEMA), "minhash-open")
-    more = materialize(tiled(open_rows.join(texts, "node")).mapInArrow(_verify_tiles(most, percent), "a long, b long"), "minhash-more")
+    open_rows = materialize(tiled(guests.union(others)).mapInArrow(partial(_open_rows, percent=percent), _TILE_SCHEMA), "minhash-open")
+    more = tiled(open_rows.join(texts, "node")).mapInArrow(partial(_verify_tiles, percent=percent), "a long, b long")
+    more = materialize(more, "minhash-more")
     if not more.isEmpty():
         labels = connected_components(links.union(more))
 
     # back to all rows: class -> component -> its smallest doc_id
-    comp = rows.join(classes, ["set1", "set2"], "left").join(labels.withColumnRenamed("node", "class_node"), "class_node", "left")
-    comp = comp.withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("root", "class_node")))
-    smallest = comp.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("smallest"))
-    out = comp.join(smallest, "comp", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "node", F.col("comp").alias("group"))
+    comps = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root", "node")
+    comps = materialize(comps, "minhash-comps")
+    smallest = materialize(comps.groupBy("comp").agg(F.min("first_doc").alias("smallest")), "minhash-smallest")
+    verdict = materialize(comps.drop("first_doc").join(smallest, "comp"), "minhash-verdict")
+    lone = rows.where("n_shingles = 0").select("node", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
+    worded = rows.where("n_shingles > 0").join(verdict, ["set1", "set2"])
+    return worded.select("node", "doc_id", "n_shingles", F.col("smallest").alias("component_id"), "comp").union(lone)
+
+
+def _kept() -> Column:
+    return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+
+
+def minhash_classes(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Documents linked at a Jaccard of percent / 100. Per row of docs: doc_id,
+    n_shingles, component_id, kept."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return _classes(numbered, percent).select("doc_id", "n_shingles", "component_id", _kept())
 
 
 def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs, one of each group of near duplicates: one of the smallest
-    doc_id. Rows without words all stay. Same columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    has_words = F.coalesce(F.rlike(F.col("row.text"), F.lit(WORD)), F.lit(False))
-    first = minhash_classes(docs, percent).where("group is not null").groupBy("group").agg(F.min(F.struct(~F.col("kept"), "node")).alias("first"))
-    chosen = first.select(F.col("first.node").alias("node"))
-    keyed = rows.where(has_words).withColumn("node", F.xxhash64(F.col("row.doc_id").cast("long"), F.col("row.text").cast("binary")))
-    kept = keyed.join(chosen, "node").dropDuplicates(["node"]).select("row")
-    return kept.union(rows.where(~has_words)).select("row.*")
+    """The rows of docs, one of each group of near duplicates: the first one, as
+    docs come, of the smallest doc_id. Rows without words all stay. Same columns."""
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("node"))
+    numbered = materialize(numbered, "dedup-rows")
+    found = _classes(numbered.select("node", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("binary").alias("text")), percent)
+    found = materialize(found, "dedup-classes")
+    first = found.where("comp is not null").groupBy("comp").agg(F.min(F.struct(~_kept(), "node")).alias("first")).select(F.col("first.node").alias("node"))
+    stay = first.union(found.where("comp is null").select("node"))
+    return numbered.join(stay, "node", "left_semi").select("row.*")

@@ -56,7 +56,7 @@ def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at a Jaccard of 0.85 of their five-word shingles."""
-    return minhash.minhash_classes(_table(spark, sf_dir, "documents"), percent=85).drop("node", "group")
+    return minhash.minhash_classes(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
