@@ -47,7 +47,7 @@ from probity.llm.shingles import mix64, overlap, shingle_sets
 
 COORDINATES = 100
 BAND_MISS = 1e-5
-BLOCK, BLOCK_SHINGLES = 512, 1 << 22  # of a block: documents, and their shingles
+BLOCK, BLOCK_SHINGLES = 256, 1 << 22  # of a block: documents, and their shingles
 COLUMNS = 1 << 14  # of incidence matrices that are multiplied at once
 _SLICE = 1 << 15  # shingles hashed at once: they stay in the processor's cache
 _ROW_SCHEMA = "node long, doc_id long, text binary, n_shingles long, set1 long, set2 long, bands array<long>"
@@ -232,18 +232,19 @@ def _classes(numbered: DataFrame, percent: int) -> DataFrame:
     rows = materialize(numbered.mapInArrow(partial(_describe, percent=percent), _ROW_SCHEMA), "minhash-rows")
     classes = rows.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_doc"))
     classes = materialize(classes, "minhash-classes")
-    ahead = rows.select("node", F.col("n_shingles").alias("n"), "bands").join(classes.select("node"), "node", "left_semi")
+    # merge: what grows with the documents is joined alike at every size
+    ahead = rows.select("node", F.col("n_shingles").alias("n"), "bands").join(classes.select("node").hint("merge"), "node", "left_semi")
     buckets = materialize(ahead.select("node", "n", F.explode("bands").alias("key")), "minhash-bands")
     leaders = buckets.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.min(F.struct("node", "n")).alias("leader")).where("members > 1")
     # written first: a join of tables alone is dealt anew where a key is hot
-    members = materialize(buckets.join(materialize(leaders, "minhash-leaders"), "key"), "minhash-members")
+    members = materialize(buckets.join(materialize(leaders, "minhash-leaders").hint("merge"), "key"), "minhash-members")
 
-    texts = rows.select("node", "text").join(members.select("node").distinct(), "node", "left_semi")
+    texts = rows.select("node", "text").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
     texts = materialize(texts, "minhash-texts")
     led = members.where(F.col("node") != F.col("leader.node")).where(100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n"))
     pairs = led.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
     asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    both = asked.join(texts, "node").repartition(n, "a", "b").sortWithinPartitions("a", "b").select("a", "b", "node", "text")
+    both = asked.join(texts.hint("merge"), "node").repartition(n, "a", "b").sortWithinPartitions("a", "b").select("a", "b", "node", "text")
     links = materialize(both.mapInArrow(partial(_verify, percent=percent), "a long, b long"), "minhash-links")
     labels = connected_components(links)
 
@@ -270,7 +271,7 @@ def _classes(numbered: DataFrame, percent: int) -> DataFrame:
     others = state.select("key", every("guest_blocks").alias("i"), home(F.col("blocks"), 2).alias("j"), F.lit(1).cast("long").alias("side"), *shown)
     tiled = lambda df: df.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     open_rows = materialize(tiled(guests.union(others)).mapInArrow(partial(_open_rows, percent=percent), _TILE_SCHEMA), "minhash-open")
-    more = tiled(open_rows.join(texts, "node")).mapInArrow(partial(_verify_tiles, percent=percent), "a long, b long")
+    more = tiled(open_rows.join(texts.hint("merge"), "node")).mapInArrow(partial(_verify_tiles, percent=percent), "a long, b long")
     more = materialize(more, "minhash-more")
     if not more.isEmpty():
         labels = connected_components(links.union(more))
@@ -281,7 +282,7 @@ def _classes(numbered: DataFrame, percent: int) -> DataFrame:
     smallest = materialize(comps.groupBy("comp").agg(F.min("first_doc").alias("smallest")), "minhash-smallest")
     verdict = materialize(comps.drop("first_doc").join(smallest, "comp"), "minhash-verdict")
     lone = rows.where("n_shingles = 0").select("node", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
-    worded = rows.where("n_shingles > 0").join(verdict, ["set1", "set2"])
+    worded = rows.where("n_shingles > 0").join(verdict.hint("merge"), ["set1", "set2"])
     return worded.select("node", "doc_id", "n_shingles", F.col("smallest").alias("component_id"), "comp").union(lone)
 
 
