@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.operators.graph import connected_components
-from probity.llm.shared import materialize, parallelism
+from probity.llm.shared import materialize, parallelism, runs
 
 BUCKET, KEY_BITS, BLOCK = 64, 62, 512
 
@@ -72,70 +73,40 @@ def _keys(bits: int, passes: int, seed: int):
     return run
 
 
-def _bucket_links(threshold: float):
-    """Rows of a pair of blocks of a bucket come together; each node's smallest linked one, if smaller."""
-    names = ("pass", "dim", "label", "key", "i", "j")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, held = None, []
-
-        def link() -> pa.RecordBatch:
-            x, node = unit_rows(pa.concat_arrays([h.column("embedding") for h in held]), mark[1]), np.concatenate([np.asarray(h.column("node")) for h in held])
-            near = x @ x.T >= threshold
-            # the smallest node reached: names spread until none changes
-            name, before = node, None
-            while before is None or (name != before).any():
-                before, name = name, np.minimum(name, np.where(near, name[None, :], np.iinfo(np.int64).max).min(1))
-            part = name != node
-            return pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(name[part])], names=["a", "b"])
-
-        for batch in batches:
-            run_of = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
-            cuts = [0, *[i for i in range(1, len(run_of)) if run_of[i] != run_of[i - 1]], len(run_of)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if run_of[a] != mark:
-                    if held:
-                        yield link()
-                    mark, held = run_of[a], []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield link()
-
-    return run
+def _sides(tile: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of block i, rows of block j (the same ones where i is j), and their cosines."""
+    x = unit_rows(tile.column("embedding").combine_chunks(), dim)
+    block = np.asarray(tile.column("block"))
+    left, right = (np.flatnonzero(block == tile.column(c)[0].as_py()) for c in ("i", "j"))
+    return left, right, x[left] @ x[right].T
 
 
-def _count_links(threshold: float):
-    """Rows of a pair of blocks come together; per node, copies linked with it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, held = None, []
-
-        def count() -> pa.RecordBatch:
-            block = np.array([r[0] for r in held])
-            node, copies = np.array([r[1] for r in held], np.int64), np.array([r[2] for r in held], np.int64)
-            x = np.array([r[3] for r in held], np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            left, right = (np.flatnonzero(block == i) for i in mark[1:])
-            near = x[left] @ x[right].T >= threshold
-            near &= node[left][:, None] != node[right][None, :]
-            found = [(node[left], near @ copies[right])]
-            if mark[1] != mark[2]:
-                found.append((node[right], copies[left] @ near))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["node", "linked"])
-
-        for batch in batches:
-            for comp, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "block", "node", "copies", "embedding")), strict=True):
-                if (comp, i, j) != mark:
-                    if held:
-                        yield count()
-                    mark, held = (comp, i, j), []
-                held.append(row)
-        if held:
-            yield count()
-
-    return run
+def _bucket_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows of a pair of blocks of a bucket come together; each node's smallest linked one, if smaller."""
+    for tile in runs(batches, ("pass", "dim", "label", "key", "i", "j")):
+        node = np.asarray(tile.column("node"))
+        left, right, cosine = _sides(tile, tile.column("dim")[0].as_py())
+        near = cosine >= threshold
+        # the smallest node reached: names spread until none changes
+        name, before, none = node.copy(), None, np.iinfo(np.int64).max
+        while len(left) and len(right) and (before is None or (name != before).any()):
+            before = name.copy()
+            name[left] = np.minimum(name[left], np.where(near, name[right][None, :], none).min(1))
+            name[right] = np.minimum(name[right], np.where(near, name[left][:, None], none).min(0))
+        part = name != node
+        yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(name[part])], names=["a", "b"])
+
+
+def _count_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows of a pair of blocks of a component come together; per node, copies linked with it."""
+    for tile in runs(batches, ("comp", "i", "j")):
+        node, copies = np.asarray(tile.column("node")), np.asarray(tile.column("copies"))
+        left, right, cosine = _sides(tile, tile.column("dim")[0].as_py())
+        near = (cosine >= threshold) & (node[left][:, None] != node[right][None, :])
+        found = [(node[left], near @ copies[right])]
+        if tile.column("i")[0] != tile.column("j")[0]:
+            found.append((node[right], copies[left] @ near))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["node", "linked"])
 
 
 def embedding_classes(vectors: DataFrame, threshold: float = 0.98, seed: int = 42) -> DataFrame:
@@ -143,41 +114,46 @@ def embedding_classes(vectors: DataFrame, threshold: float = 0.98, seed: int = 4
     n = parallelism(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     part = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("node", F.when(part, F.xxhash64("label", "embedding")))
-    classes = rows.where("node is not null").groupBy("node", "label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
-    classes = materialize(classes.withColumn("dim", F.size("embedding")), "vector-classes")
+    rows = materialize(rows.withColumn("part", part), "vector-rows")
+    classes = rows.where("part").groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("dim", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, passes = bits_and_passes(largest, threshold)
     keyed = classes.select("dim", "label", "node", "embedding").mapInArrow(_keys(bits, passes, seed), "pass int, dim int, label long, node long, embedding array<double>, key long")
     keyed = materialize(keyed, "vector-keys")
     bucket = ["pass", "dim", "label", "key"]
-    counts = keyed.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1")
+    counts = materialize(keyed.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1"), "vector-buckets")
     blocks = F.ceil(F.col("members") / BLOCK)
     dealt = keyed.join(counts, bucket).withColumn("block", F.pmod(F.xxhash64("node", "pass"), blocks))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     order = [*bucket, "i", "j"]
-    found = dealt.select(*order, "node", "embedding").repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_bucket_links(threshold), "a long, b long")
+    found = dealt.select(*order, "block", "node", "embedding").repartition(n, *order).sortWithinPartitions(*order).mapInArrow(partial(_bucket_links, threshold=threshold), "a long, b long")
     labels = connected_components(found)
 
     # every member of a component of two classes or more: the roots too
     grouped = labels.select("node", F.col("root").alias("comp")).union(labels.select("root", "root").distinct())
-    sizes = grouped.groupBy("comp").agg(F.count("*").alias("members"))
+    grouped = materialize(grouped, "vector-comps")
+    sizes = materialize(grouped.groupBy("comp").agg(F.count("*").alias("members")), "vector-sizes")
     members = classes.join(grouped, "node").join(sizes, "comp")
     blocks = F.ceil(F.col("members") / BLOCK)
     members = materialize(members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), blocks)), "vector-members")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     laid = members.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     counted = (
-        laid.select("comp", "i", "j", "block", "node", "copies", "embedding")
+        laid.select("comp", "i", "j", "block", "dim", "node", "copies", "embedding")
         .repartition(n, "comp", "i", "j")
         .sortWithinPartitions("comp", "i", "j")
-        .mapInArrow(_count_links(threshold), "node long, linked long")
+        .mapInArrow(partial(_count_links, threshold=threshold), "node long, linked long")
         .groupBy("node")
         .agg(F.sum("linked").alias("linked"))
     )
-    first = members.groupBy("comp").agg(F.min("first_id").alias("comp_first"))
+    first = materialize(members.groupBy("comp").agg(F.min("first_id").alias("comp_first")), "vector-first")
+    counted = materialize(counted, "vector-linked")
     verdict = members.select("node", "comp").join(counted, "node", "left").join(first, "comp", "left").drop("comp")
-    out = rows.select("vec_id", "node").join(classes.select("node", "first_id", "copies"), "node", "left").join(verdict, "node", "left")
+    verdict = classes.select("node", "label", "embedding", "first_id", "copies").join(verdict, "node", "left").drop("node")
+    verdict = materialize(verdict, "vector-verdict")
+    # joined by the vectors themselves; where one is hot, adaptive execution splits its rows
+    out = rows.where("part").join(verdict, ["label", "embedding"]).unionByName(rows.where("not part"), allowMissingColumns=True)
     out = out.select(
         "vec_id",
         (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),

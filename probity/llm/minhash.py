@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.operators.graph import connected_components, forest
-from probity.llm.shared import materialize, parallelism
+from probity.llm.shared import materialize, parallelism, runs
 from probity.llm.shingles import mix64, overlap, shingle_sets
 
 COORDINATES = 100
@@ -119,24 +119,6 @@ _TILE = pa.schema([*((c, pa.int64()) for c in ("key", "i", "j", "side", "node",
 _TILE_SCHEMA = "key long, i long, j long, side long, node long, comp long, guest long, n long, bands array<long>"
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Rows with equal keys, which come together."""
-    mark, held = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        run_of = np.stack([np.asarray(batch.column(c)) for c in keys])
-        cuts = [0, *(np.flatnonzero((run_of[:, 1:] != run_of[:, :-1]).any(0)) + 1), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if tuple(run_of[:, a]) != mark:
-                if held:
-                    yield pa.Table.from_batches(held)
-                mark, held = tuple(run_of[:, a]), []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _open_pairs(tile: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of side 0, rows of side 1, and for which pairs of them the tile's bucket
     is the first that they share, with components and sizes that allow a link."""
@@ -156,7 +138,7 @@ def _open_pairs(tile: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, n
 
 def _open_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows of tiles that are in an open pair."""
-    for tile in _runs(batches, ("key", "i", "j")):
+    for tile in runs(batches, ("key", "i", "j")):
         left, right, ok = _open_pairs(tile, percent)
         if ok.any():
             yield from tile.take(np.sort(np.concatenate([left[ok.any(1)], right[ok.any(0)]]))).cast(_TILE).combine_chunks().to_batches()
@@ -183,7 +165,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 def _verify_tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links between components among all open pairs of each tile."""
-    for tile in _runs(batches, ("key", "i", "j")):
+    for tile in runs(batches, ("key", "i", "j")):
         left, right, ok = _open_pairs(tile, percent)
         sets = shingle_sets(tile.column("text").to_pylist())
         n, comp = np.array([len(s) for s in sets]), np.asarray(tile.column("comp"))
