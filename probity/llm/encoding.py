@@ -5,7 +5,8 @@ words' ids one after another. Each worker process keeps the ids of words that it
 has met: most words of a corpus repeat, and only new ones go to the tokenizer.
 A word of letters goes straight to the tokenizer's model, as normalising and
 splitting leave it as it is; a letter word with one mark behind it is that word
-and the mark; anything else takes the tokenizer's whole path.
+and the mark; anything else takes the tokenizer's whole path. Strings of special
+tokens in a text get these tokens' ids, as the tokenizer gives them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 #: the common ones mostly, stay when it drops the rest.
 CACHE_WORDS, CACHE_LEAST = 400_000, 120_000
 MARKS = frozenset(".,;:!?")
+SPECIAL = b"<|"  # a special token's string begins so
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,7 +43,6 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.letters = _byte_letters()
         self.marks = {m: self.whole(m) for m in MARKS}
         self.flat, self.first, self.length = array("I"), array("q"), array("q")
@@ -62,11 +63,15 @@ class WordEncoder(dict):
             word = word.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
+    def stays_letters(self, word: str) -> bool:
+        """It is letters, and still is when it has been normalised."""
+        return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", unicodedata.normalize("NFC", word).lower()).isalpha())
+
     def __missing__(self, key: bytes) -> int:
         word = key.decode("utf-8", "replace")
         if word.isalpha():
             ids = self.model(word)
-        elif word[-1] in MARKS and word[:-1].isalpha():
+        elif word[-1] in MARKS and self.stays_letters(word[:-1]):
             row = self[key[:-1]]
             ids = [*self.flat[self.first[row] : self.first[row] + self.length[row]], *self.marks[word[-1]]]
         else:
@@ -86,6 +91,8 @@ class WordEncoder(dict):
         for i, text in enumerate(texts):
             if text:
                 own = text.lower().split()
+                if SPECIAL in text:  # case counts in a special token's string
+                    own = [w if SPECIAL in w else w.lower() for w in text.split()]
                 counts[i] = len(own)
                 words += own
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
