@@ -9,13 +9,13 @@ read; a shorter text is repeated to fill one window. A logistic line fitted on
 documents turns logits into scores.
 
 Training, in numpy on the driver: at most `max_toxic` and `max_clean` labelled
-documents (the smallest hashes of doc_id) with at most 64 windows each, spread
-over the whole text. Labels are of documents, so windows are chosen: first by the
-log odds of the rarest features, then by the network itself, which is trained
+documents (the smallest hashes of doc_id), with all their windows. Labels are of
+documents, so windows are chosen: first by the log odds of the rarest features, then by the network itself, which is trained
 anew on toxic documents' likeliest windows and on clean ones' likeliest and
 random windows. Classes are weighed by all labels' counts, not by the sample's.
 
-Edge cases. Null, empty and blank texts get the share of toxic labels. Labels
+Edge cases. Null, empty and blank texts get the share of toxic labels; drop_toxic
+keeps them. Labels
 that are null, of null doc_ids or of no document teach nothing; of several labels
 for one document the largest counts. Without toxic or clean labels all scores are
 the share (0 without labels). Null doc_id: held out. Repeated rows are scored
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE, SAMPLE_WINDOWS = 32, 24, 64
+WINDOW, STRIDE = 32, 24
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 15, 8, 8, 8
 CACHE_WORDS = 150_000
 LEAST_DOCS = 4  # of the sample, to learn a feature
@@ -44,6 +44,22 @@ def starts(n: int) -> range | list[int]:
     return [*range(0, n - WINDOW, STRIDE), n - WINDOW] if n > WINDOW else [0] * (n > 0)
 
 
+def windows_of(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Different words, [window, place] of them, and each window's text."""
+    vocabulary: dict[bytes, int] = {}
+    flat, first, doc, n = [], [], [], 0
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        if 0 < len(words) < WINDOW:
+            words = (words * WINDOW)[:WINDOW]
+        flat.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+        first += [n + s for s in starts(len(words))]
+        doc += [i] * (len(first) - len(doc))
+        n += len(words)
+    index = np.concatenate([*flat, np.zeros(0, np.int32)])[np.array(first, np.int64)[:, None] + np.arange(WINDOW)]
+    return list(vocabulary), index, np.array(doc, np.int64)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return [w.rstrip(b".,;:!?") or w for w in (text or b"").lower().split()]
 
@@ -291,20 +307,6 @@ class Scorer(dict):
         return out
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            words = words_of(text)
-            if 0 < len(words) < WINDOW:
-                words = (words * WINDOW)[:WINDOW]
-            begin = starts(len(words))
-            if len(begin) > SAMPLE_WINDOWS:
-                begin = [begin[i * (len(begin) - 1) // (SAMPLE_WINDOWS - 1)] for i in range(SAMPLE_WINDOWS)]
-            out.append([b" ".join(words[s : s + WINDOW]) for s in begin])
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.binary()))], names=["toxic", "windows"])
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of doc_id as text, modulo 5."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
@@ -321,15 +323,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_tox
     pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
     chosen = pick(1, max_toxic).union(pick(0, max_clean))  # a bounded number of rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.orderBy("doc_id", F.xxhash64("text")).select("text", "toxic").mapInArrow(_windows, "toxic int, windows array<binary>").toArrow()
-    vocabulary: dict[bytes, int] = {}
-    index, doc = [], []
-    for i, windows in enumerate(got["windows"]):
-        for window in windows:
-            index.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in window.as_py().split()], np.int32))
-            doc.append(i)
+    got = rows.orderBy("doc_id", F.xxhash64("text")).select("text", "toxic").toArrow()
     toxic = np.array(got["toxic"].to_pylist(), bool)
-    return train(list(vocabulary), np.array(index).reshape(-1, WINDOW), np.array(doc, np.int64), toxic, share, seed=seed)
+    return train(*windows_of(got["text"].to_pylist()), toxic, share, seed=seed)
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
@@ -348,7 +344,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, net: Net, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is below threshold. Same columns."""
+    """The rows of docs whose score is below threshold, and those without words. Same columns."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,6 +353,7 @@ def drop_toxic(docs: DataFrame, net: Net, threshold: float = 0.5) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 text = part.column(names.index("text")).cast(pa.binary()).to_pylist()
-                yield part.filter(pa.array(scorer.score(text) < threshold))
+                keep = [not words_of(t) for t in text] | (scorer.score(text) < threshold)
+                yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
