@@ -7,16 +7,18 @@ Candidates. A wider generator for each kind proposes more spans, which may
 overlap: card numbers and phones that stand beside other digits (where the base
 pattern runs on and fails), grouped with other marks, or without a country code;
 addresses with [at] and [dot]; spelled dots of IPs. A candidate's features are bits
-of its format (check digits, usual length, grouping) and context (letters beside
-it, words that announce such data).
-
-Boosting. A candidate that is a base span counts as positive. The corpus reduces
-to counts for each kind and feature code, at most 4 * 64 rows, from which the
-driver boosts depth-two trees by Newton steps; the trees become a SQL expression
-over the code. A kind's threshold is the lowest score at which candidates so far
-hold 90 % positives. Candidates from there on are added, unless they overlap a
-base span of their kind: the model has to judge what base patterns missed from
-what they found.
+of its format (usual length, one kind of mark between groups) and context (letters
+or digits beside it, words that announce such data). None of them says whether the
+base pattern matches.
+
+Boosting. Base spans are positives, candidates that fail their kind's check (check
+digit, octets, number of digits, the last part of an address) are negatives, and all
+others are left out: what the base patterns miss doesn't count as wrong, however
+often it occurs. The corpus reduces to counts for each kind and feature code, at most
+4 * 64 rows, from which the driver boosts depth-two trees by Newton steps; the trees
+become a SQL expression over the code. A kind's threshold is the lowest score from
+which on each level by itself holds 90 % positives. Candidates from there on that pass
+their check are added, unless they overlap a base span of their kind.
 
 Edge cases. Null text counts as empty: no spans, the digest of an empty string.
 Null doc_id is kept. Repeated rows give repeated results. Empty table: no rows,
@@ -50,14 +52,16 @@ WIDE = {
     "phone": r"(?:\+[0-9]{1,3}[\x20.-]?)?(?<![0-9])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 USUAL = {"email": r"(?s).{8,64}", "ip": r"(?s).{7,15}", "card": r"(?:[^0-9]*[0-9]){15,16}[^0-9]*", "phone": r"\+?(?:[^0-9]*[0-9]){10,13}[^0-9]*"}
-SHAPE = {
-    "email": r".*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
-    "ip": r"[0-9]+(?:\.[0-9]+){3}",
-    "card": r"[0-9]+|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}",
-    "phone": r"\+.*",
+# one kind of mark between groups
+EVEN = {
+    "email": r"[^\x20]+",
+    "ip": r"[0-9]+([^0-9]+)[0-9]+(?:\1[0-9]+){2}",
+    "card": r"[0-9]+(?:([^0-9])[0-9]+(?:\1[0-9]+)*)?",
+    "phone": r"[^\x20.-]*(?:([\x20.-])[^\x20.-]+(?:\1[^\x20.-]+)*)?",
 }
 CONTEXT = {"email": "mail|contact|write to", "ip": r"\bip\b|host|server|address", "card": "card|visa|credit|account", "phone": "phone|tel|call|mobile|fax"}
 _OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:[^0-9]+0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
+_TOP_LEVEL = r"(?:\.|[\[({]dot[\])}]\x20?)[A-Za-z]{2,24}$"
 BITS = 6
 
 
@@ -116,24 +120,27 @@ def _candidates(number: int, kind: str, text: Column) -> Column:
 
     def candidate(m: Column) -> Column:
         tests = [
-            _passes(kind, m["match"]),
             F.rlike(m["match"], F.lit(f"^(?:{USUAL[kind]})$")),
-            F.rlike(m["match"], F.lit(f"^(?:{SHAPE[kind]})$")),
+            F.rlike(m["match"], F.lit(f"^(?:{EVEN[kind]})$")),
             F.when(m["start"] > 0, beside(m["start"])).otherwise(F.lit(False)),
             beside(m["end"] + 1),
             F.rlike(F.lower(F.substring(text, F.greatest(F.lit(1), m["start"] - 23), F.least(F.lit(24), m["start"]))), F.lit(CONTEXT[kind])),
+            F.rlike(F.substring(text, F.greatest(F.lit(1), m["start"] - 1), F.least(F.lit(2), m["start"])), F.lit(r"[0-9][\x20.,/-]?$"))
+            | F.rlike(F.substring(text, m["end"] + 1, F.lit(2)), F.lit(r"^[\x20.,/-]?[0-9]")),
         ]
+        good = F.rlike(m["match"], F.lit(_TOP_LEVEL)) if kind == "email" else _passes(kind, m["match"])
         code = sum((F.when(x, F.lit(1 << i)).otherwise(F.lit(0)) for i, x in enumerate(tests)), F.lit(0))
         is_base = F.exists("_base", lambda b: (b["kind"] == number) & (b["start"] == m["start"]) & (b["end"] == m["end"]))
         clash = F.exists("_base", lambda b: (b["kind"] == number) & (b["start"] < m["end"]) & (b["end"] > m["start"]))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(number).alias("kind"), is_base.alias("base"), clash.alias("clash"), code.alias("code"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(number).alias("kind"), is_base.alias("base"), clash.alias("clash"), good.alias("good"), code.alias("code"))
 
     return F.transform(f"_w_{kind}", candidate)
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _base, its base spans, and _wide, the generators' candidates:
-    arrays of (start, end, kind), _wide also with base (it is a base span) and code."""
+    arrays of (start, end, kind), _wide also with base (it is a base span), clash (it
+    overlaps one), good (it passes its check) and code."""
     t = F.col("_pii_text")
     marked = {"email": r"[@\[({]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
     # a text without digits or such marks has no span: the patterns then see null
@@ -141,7 +148,7 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns({f"_m_{k}": F.when(F.rlike(t, F.lit(marked[k])), _matches(t, BASE[k])) for k in KINDS} | {f"_w_{k}": F.when(F.rlike(t, F.lit(marked[k])), _matches(t, WIDE[k])) for k in KINDS})
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
     out = out.withColumn("_base", F.concat(*[F.coalesce(_base_spans(n, k), none) for n, k in enumerate(KINDS)]))
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,base:boolean,clash:boolean,code:int>>")
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,base:boolean,clash:boolean,good:boolean,code:int>>")
     out = out.withColumn("_wide", F.concat(*[F.coalesce(_candidates(n, k, t), none) for n, k in enumerate(KINDS)]))
     return out.drop("_pii_text", *[f"_{c}_{k}" for c in "mw" for k in KINDS])
 
@@ -163,7 +170,7 @@ class Boosted:
 
 
 def boost(counts: list[tuple[int, int, int]], rounds: int = 24, rate: float = 0.4, ridge: float = 1.0, precision: float = 0.9) -> Boosted:
-    """Trees from rows (code, candidates, positives)."""
+    """Trees from rows (code, labelled candidates, positives)."""
     if not sum(p for _, _, p in counts):
         return Boosted(-20.0, (), 0.5)
     code, n, pos = (np.array(c, np.float64) for c in zip(*sorted(counts), strict=True))
@@ -189,19 +196,19 @@ def boost(counts: list[tuple[int, int, int]], rounds: int = 24, rate: float = 0.
         for r, v in zip(parts, leaf, strict=True):
             f[r] += v
         trees.append((bit, yes, no, leaf))
-    scores, seen, hits, threshold = 1 / (1 + np.exp(-f)), 0.0, 0.0, 1.1
+    scores, threshold = 1 / (1 + np.exp(-f)), 1.1
     for s in sorted(set(scores), reverse=True):
         same = scores == s
-        seen, hits = seen + n[same].sum(), hits + pos[same].sum()
-        if hits >= precision * seen:
-            threshold = float(s)
+        if pos[same].sum() < precision * n[same].sum():
+            break
+        threshold = float(s)
     return Boosted(prior, tuple(trees), threshold - 1e-9)
 
 
 def train(candidates: DataFrame) -> list[Boosted]:
-    """A model for each kind from rows with _wide: all rows count, as sums for each code."""
+    """A model for each kind from rows with _wide: all labelled candidates count, as sums for each code."""
     # outer: else Spark filters on the array's size, and computes the array for that once more
-    each = candidates.select(F.explode_outer("_wide").alias("c")).where("c is not null").groupBy("c.kind", "c.code").agg(F.count("*").alias("n"), F.count_if("c.base").alias("pos")).collect()
+    each = candidates.select(F.explode_outer("_wide").alias("c")).where("c.base or not c.good").groupBy("c.kind", "c.code").agg(F.count("*").alias("n"), F.count_if("c.base").alias("pos")).collect()
     return [boost([(r["code"], r["n"], r["pos"]) for r in each if r["kind"] == k]) for k in range(len(KINDS))]
 
 
@@ -210,7 +217,7 @@ def _all_spans(models: list[Boosted]) -> Column:
         good = F.lit(False)
         for number, model in enumerate(models):
             good = good | ((c["kind"] == number) & (model.score(c["code"]) >= model.threshold))
-        return ~c["clash"] & good
+        return ~c["clash"] & c["good"] & good
 
     added = F.transform(F.filter("_wide", chosen), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
     ordered = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
