@@ -85,10 +85,11 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
+def mix_sources(docs: DataFrame, params: MixParams = MixParams(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, and draws,
     an array of (epoch, shard, words, place): how many of its words that epoch
-    takes, into which shard, and where in the shard's local order."""
+    takes, into which shard, and where in the shard's local order. Columns of docs
+    that keep names go along."""
     spark = docs.sparkSession
     seed = F.lit(params.seed)
     base = materialize(
@@ -96,6 +97,7 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
+            *keep,
         ).withColumn("skey", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")))
         .withColumn("h", F.xxhash64("doc_id", seed)),
         "mix-sizes",
@@ -141,6 +143,7 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     counts.sort(key=lambda r: r["skey"])
     quotas = np.array([r["full"] * r["nb"] + r["part"] for r in counts], np.int64)
     shards = max(1, round(sum(min(round(t), params.max_repeats * s) for t, s in zip(targets, sizes, strict=True)) / params.words_per_shard))
+    shards = max(1, min(shards, int(quotas.sum())))  # a shard takes whole blocks
     dealt = np.cumsum(split_quotas(quotas, shards, params.seed), axis=0) if len(quotas) else np.zeros((shards, 0), np.int64)
     tree = spark.createDataFrame([(r["skey"], int(r["nb"]), [int(x) for x in dealt[:, i]]) for i, r in enumerate(counts)], "skey string, nb long, upto array<long>")
 
@@ -168,19 +171,16 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
         .withColumn("draws", F.filter(draws, lambda d: d["words"] > 0))
         .select(
             "doc_id", "source", "size", "source_size", "target",
-            F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws",
+            F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws", *keep,
         )
     )
 
 
 def mixed_documents(docs: DataFrame, params: MixParams = MixParams(whole_documents=True)) -> DataFrame:
     """The mix as documents: the rows of docs, each as often as the mix takes it
-    whole; documents without words are left out. Same columns as docs."""
-    taken = mix_sources(docs.select("doc_id", "source", "text"), params).where("size(draws) > 0").select(
-        F.col("doc_id").alias("_mix_id"), F.size("draws").alias("_mix_times")
-    )
-    times = taken.groupBy("_mix_id").agg(F.sum("_mix_times").alias("_mix_times"), F.count("*").alias("_mix_rows"))
-    rows = docs.withColumn("_mix_id", F.col("doc_id").cast("long")).join(times, "_mix_id")
-    # repeated rows of one id share its draws evenly, at least one each
-    each = F.greatest(F.lit(1), F.round(F.col("_mix_times") / F.col("_mix_rows"))).cast("int")
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), each))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole, whatever its doc_id; documents without words are left out. Same columns as docs."""
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("node"))
+    numbered = materialize(numbered, "mix-rows")
+    mix = mix_sources(numbered.select("row.doc_id", "row.source", "row.text", "node"), params, keep=("node",))
+    taken = mix.where("size(draws) > 0").select("node", F.sequence(F.lit(1), F.size("draws")).alias("times"))
+    return numbered.join(taken, "node").select("row", F.explode("times")).select("row.*")

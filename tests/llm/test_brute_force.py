@@ -208,13 +208,195 @@ def test_licence_query_matches_its_sql(spark):
 
 
 def test_toxicity_learns(spark):
-    labels = spark.read.parquet("/root/testdata/check_s/labels.parquet")
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").select("doc_id", F.substring("text", 1, 100000).alias("text"))
+    """Held-out texts, of which toxic ones hold one of forty words somewhere."""
     from probity.llm import toxicity
 
-    some = labels.where("doc_id % 6 = 0")
-    net = toxicity.fit(docs, some, learn=toxicity.fold(F.col("doc_id")) != 0, max_toxic=400, max_clean=600)
-    held = docs.join(F.broadcast(some.where(toxicity.fold(F.col("doc_id")) == 0)), "doc_id").where("doc_id % 4 = 0")
-    rows = toxicity.score(held, net).join(held.select("doc_id", "toxic"), "doc_id").collect()
-    toxic, clean = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
+    r = np.random.default_rng(1)
+    plain, bad = [f"{a}{b}{c}" for a in ("ta", "re", "mo", "li") for b in ("no", "si", "ka") for c in ("", "n", "ra")], [f"grub{x}lok" for x in range(40)]
+    rows, labels = [], []
+    for i in range(900):
+        words = list(r.choice(plain, int(r.integers(5, 300))))
+        if i % 4 == 0:
+            words[int(r.integers(0, len(words)))] = bad[int(r.integers(0, 40))]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels, learn=toxicity.fold(F.col("doc_id")) != 0, max_toxic=400, max_clean=600)
+    held = toxicity.score(docs.where(toxicity.fold(F.col("doc_id")) == 0), net).collect()
+    toxic, clean = [x["score"] for x in held if x["doc_id"] % 4 == 0], [x["score"] for x in held if x["doc_id"] % 4]
     assert np.mean([s >= 0.5 for s in toxic]) > 0.8 and np.mean([s >= 0.5 for s in clean]) < 0.05
+    # dropped texts are those whose score says so; texts without words stay
+    more = docs.union(spark.createDataFrame([(1000, " "), (1001, None)], "doc_id long, text string"))
+    stay = {x["doc_id"] for x in toxicity.drop_toxic(more, net).collect()}
+    assert stay == {x["doc_id"] for x in toxicity.score(docs, net).collect() if x["score"] < 0.5} | {1000, 1001}
+
+
+def test_toxicity_scores_step_by_step():
+    """Scores of whole texts against the network's equations, word by word and window by window."""
+    from probity.llm import toxicity as t
+
+    net = t.Net.new(3)
+    p, sigmoid = net.p, lambda x: 1 / (1 + np.exp(-x))
+    words = [b"w%d" % (i * i % 83) for i in range(100)]
+    x, _ = net.inputs(words)
+    best = -np.inf
+    for s in t.starts(100):
+        states = []
+        for d in "fb":
+            h, out = np.zeros(t.HIDDEN), {}
+            for at in range(s, s + 32) if d == "f" else range(s + 31, s - 1, -1):
+                g, u = x[at] @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+                z, r = sigmoid(g[:8] + u[:8]), sigmoid(g[8:16] + u[8:16])
+                h = (1 - z) * np.tanh(g[16:] + r * u[16:]) + z * h
+                out[at] = h
+            states.append(out)
+        both = np.array([np.concatenate([states[0][at], states[1][at]]) for at in range(s, s + 32)])
+        weight = np.exp(np.tanh(both @ p["att"]) @ p["ask"])
+        best = max(best, float((weight / weight.sum()) @ both @ p["out"] + p["bias"][0]))
+    assert t.starts(100)[-1] == 68
+    assert t.Scorer(net).score([b" ".join(words)])[0] == pytest.approx(sigmoid(best), abs=1e-5)
+
+
+def test_encoder_is_the_tokenizer():
+    """Random strings of special tokens, marks that combine, letters of several scripts and blanks."""
+    from tokenizers import Tokenizer
+
+    from probity.llm.encoding import WordEncoder
+
+    whole, own, r = Tokenizer.from_file(Q.tokenizer_path()), WordEncoder(Q.tokenizer_path()), np.random.default_rng(2)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "\u0130", "\u00df", "e\u0301", "\u0958", "a", "B", "hello", ".", ";", "!", "'s", "12", " ", "\u3000", "\u0085", "\x1c", "\n", "\u65e5", "-"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts, int(r.integers(1, 9))))
+        assert own.encode([text.encode()], 2)[0].tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_links_at_the_threshold(spark):
+    """Families of texts a few words apart, whose Jaccards lie about the threshold: no component is wrong."""
+    from probity.llm.minhash import common_counts, minhash_classes
+
+    r, texts = np.random.default_rng(9), []
+    for f in range(12):
+        base = [f"f{f}w{x}" for x in r.integers(0, 4000, 220)]
+        for i in range(60):
+            own = list(base)
+            for at in r.integers(0, 220, int(r.integers(1, 4))):
+                own[at] = f"n{f}x{i}x{at}"
+            texts.append(" ".join(own))
+    sets = [shingles(t) for t in texts]
+    want = components(sets, 85)
+    got = {x["doc_id"]: x["component_id"] for x in minhash_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    some = [np.unique(r.integers(0, 50_000, n)).astype(np.uint64) for n in (1, 20_000, 30_000, 5, 0)]
+    assert common_counts(some[:2], some[1:]).tolist() == [[len(np.intersect1d(a, b)) for b in some[1:]] for a in some[:2]]
+
+
+def test_language_model_is_a_distribution():
+    """Probabilities of all symbols sum to one, with and without a match, and of a byte's values in its context."""
+    from probity.llm.context_mixing import SLOTS, Matches, Mixer, Words, packed_odds, spell
+
+    r = np.random.default_rng(4)
+    other, words = Words.fit(r.integers(0, 200, (3, 400)) * (r.random((3, 400)) < 0.3), r.integers(0, 50, (3, 400)))
+    for own in (other, words):
+        assert (10.0**own.scores.astype(float)).sum(1) == pytest.approx(np.ones(3), abs=1e-4)
+    every = np.arange(400)
+    matches = Matches.new(words)
+    matches.right[:, 1] = 30
+    for run, gate, guess in ((0, 1, 7), (3, 2, 399), (7, 0, 0)):
+        full = lambda x: np.full(400, x)
+        gain = matches.gain(full(gate), full(run), full(2), full(guess), every)
+        p = 10.0 ** (words.scores[gate].astype(float) + gain)
+        assert p.sum() == pytest.approx(1, abs=1e-3) and gain[guess] > 0
+    table = packed_odds(r.integers(0, 9, SLOTS).astype(float), r.integers(0, 9, SLOTS).astype(float))
+    # a word's first byte: each value with the blank behind it and all of what may follow
+    first = spell(table, Mixer.new(4), [bytes([b]) for b in range(256) if b not in (9, 10, 11, 12, 13, 32)])
+    assert (10**first).sum() < 1
+
+
+def test_copies_are_likelier(spark):
+    """A text that another training text repeats is likelier than one as long that none does, whichever of its copies is asked."""
+    from probity.llm.context_mixing import score_documents
+
+    r = np.random.default_rng(6)
+    vocabulary = [f"v{x}" for x in range(500)]
+    rows = [(i, " ".join(r.choice(vocabulary, 200))) for i in range(200)]
+    rows += [(1000 + i, rows[i][1]) for i in range(30)]
+    got = {x["doc_id"]: x["score"] / x["n_tokens"] for x in score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # both copies' partner may be held out: then nothing tells that they are two
+    told = [i for i in range(30) if zlib.crc32(str(1000 + i).encode()) % 5 != 1]
+    assert np.mean([got[i] for i in told]) > np.mean([got[i] for i in range(30, 200)]) + 0.5
+
+
+def water_level(sizes, weights, cap):
+    """Targets by bisection over the common level."""
+    lo, hi = 0.0, 1e12
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(mid * w, cap * s) for s, w in zip(sizes, weights, strict=True)) < sum(sizes) else (lo, mid)
+    return [min(lo * w, cap * s) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_mix_targets(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "source", "text").collect()
+    sizes = Counter()
+    for x in rows:
+        sizes[x["source"]] += len((x["text"] or "").encode().split())
+    names = sorted(sizes, key=lambda n: (n is None, n or ""))
+    want = dict(zip(names, water_level([sizes[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 3), strict=True))
+    source = {x["doc_id"]: x["source"] for x in rows}
+    taken = Counter()
+    for x in Q.op9_mixing(spark, SMALL).collect():
+        own = source[x["doc_id"]]
+        assert x["source_size"] == sizes[own] and x["target"] == pytest.approx(want[own], rel=1e-6)
+        taken[own] += x["taken"]
+    assert all(abs(taken[n] - want[n]) <= 1 for n in names)
+
+
+def base_spans(text):
+    import re
+
+    digits = lambda m: [int(c) for c in m if c.isascii() and c.isdigit()]
+
+    def luhn(d):
+        return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d[::-1])) % 10 == 0
+
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    found = [(m.start(), k, m.end(), name) for k, (name, pattern, good) in enumerate(kinds) for m in re.finditer(pattern, text) if good(m.group())]
+    return sorted(found)
+
+
+def test_personal_data_base(spark):
+    """Base spans of random strings and of the small table against Python's re."""
+    import hashlib
+
+    from probity.llm import pii
+
+    r = np.random.default_rng(8)
+    parts = ["a", "b.c", "@", ".", "1", "12", "255", "256", "4111 1111 1111 1111", "4111-1111", "+1", "+49 ", "(0)", "-", " ", "x@y.z", "10.0.0.1", "\n", "\u00e9", "\U0001f600", "555", "%", "_"]
+    texts = ["".join(r.choice(parts, int(r.integers(1, 25)))) for _ in range(3000)]
+    texts += [x["text"] or "" for x in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    got = pii.digest(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    for x in got:
+        spans = base_spans(texts[x["doc_id"]])
+        joined = ",".join(f"{name}:{start}:{end}" for start, _, end, name in spans)
+        assert x["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), (texts[x["doc_id"]], joined)
+        assert [x[f"n_{k}"] for k in pii.KINDS] == [sum(s[3] == k for s in spans) for k in pii.KINDS]
+        assert set(joined.split(",")) - {""} <= set(x["spans"].split(","))
+
+
+@pytest.mark.parametrize("times", [5, 2000])
+def test_personal_data_beyond_the_base(spark, times):
+    """Phones without a country code and spelt addresses are found, however many there are beside the base's."""
+    from probity.llm import pii
+
+    r = np.random.default_rng(10)
+    rows = [f"phone +1 269 555 {1000 + i} or mail jo{i}@site.org" for i in range(200)]
+    rows += [f"card 4111 1111 1111 {1000 + i}" for i in range(200)]  # most fail the check digit
+    rows += [f"phone 269-555-{1000 + int(x)} or mail ann{x} [at] host [dot] net" for x in r.integers(0, 8999, times)]
+    got = {x["doc_id"]: x for x in pii.digest(pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}
+    for i in range(400, len(rows)):
+        assert got[i]["n_phone"] == got[i]["n_email"] == 0 and "phone:6:18" in got[i]["spans"] and "email:27:" in got[i]["spans"]

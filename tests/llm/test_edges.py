@@ -129,6 +129,9 @@ def test_mixing(docs, none):
     assert mixing.mix_sources(none).count() == 0
     whole = mixing.mixed_documents(docs)
     assert whole.columns == docs.columns and mixing.mixed_documents(none).count() == 0
+    # a null doc_id is a document too, and what the mix takes whole is what it says
+    wide = docs.where("doc_id is null or doc_id in (1, 7)").withColumn("text", F.lit("one two three"))
+    assert sorted(str(r["doc_id"]) for r in mixing.mixed_documents(wide).collect()) == ["1", "1", "7", "None"]
 
 
 def test_toxicity(spark, docs, none):
@@ -166,8 +169,30 @@ def test_vectors(spark):
     assert embedding_dedup.embedding_classes(empty).count() == 0 and prefix_forest.search(empty, F.lit(True)).count() == 0
 
 
-def test_stages_keep_columns():
+def test_pipeline(spark, tmp_path):
+    """All stages over documents with nulls, repeated rows and ids, blanks and extra columns."""
+    spark.createDataFrame(ROWS, SCHEMA).withColumns(extra()).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, 0), (6, 0, 0), (8, 0, 1), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "mixing", "packing"]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names, left = docs.columns, [docs.count()]
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == names
+        left.append(docs.count())
+        ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        assert n > 0 or 8 not in ids and ids.count(1) == 2
+        assert n > 2 or ids.count(None) == 1
+    assert left[1] > left[2] == left[3] and ids.count(1) == 1
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    assert texts[1].endswith("Mail [EMAIL] now")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == set(texts)
+    for i in texts:
+        own = sorted((r["start"], r["length"], r["doc_tokens"]) for r in pieces if r["doc_id"] == i)
+        assert sum(n for _, n, _ in own) == own[0][2] * sum(s == 0 for s, _, _ in own)
 
 
 def test_near_duplicates_stage_links_at_080(spark):
