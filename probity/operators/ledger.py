@@ -67,6 +67,18 @@ def tree_roots(leaves: DataFrame, by: list[str] | None = None) -> DataFrame:
     return nodes.groupBy(*by).agg(F.count_if(F.col("level") == 0).alias("n"), F.max_by("hash", F.struct("level", -F.col("pos"))).alias("root"))
 
 
+def append_roots(leaves: DataFrame) -> DataFrame:
+    """(size, root) after every append: a prefix's full subtrees, one for each bit of
+    its size, folded from the smallest to the largest."""
+    nodes = tree_nodes(leaves).select("level", F.col("pos").alias("at"), "hash")
+    size = leaves.select((F.col("pos") + 1).cast("long").alias("size"))
+    levels = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.expr("1") == F.getbit(F.col("size"), i))
+    parts = size.select("size", F.explode(levels).alias("level")).withColumn("at", F.expr("shiftright(size, level) - 1"))
+    held = parts.join(nodes, ["level", "at"]).groupBy("size").agg(F.array_sort(F.collect_list(F.struct("level", "hash"))).alias("p"))
+    fold = F.aggregate(F.slice("p", F.lit(2), F.size("p")), F.col("p")[0]["hash"], lambda acc, x: node_hash(x["hash"], acc))
+    return held.select("size", fold.alias("root"))
+
+
 def audit_paths(leaves: DataFrame, wanted: DataFrame) -> DataFrame:
     """(pos, leaf_hash, proof) for wanted positions: siblings from the bottom up."""
     nodes = tree_nodes(leaves)

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probity.sources.scratch import materialize
+
 
 def dense_index(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """rows with name: start, start + 1, ... in the order of the given columns,
-    which must be total. Rows are dealt into buckets of 1/256 of the first
-    column's range; a bucket's numbers begin after the buckets before it. Null
-    comes first. The first column must be numeric."""
-    key = F.col(order[0]).cast("double")
-    ends = rows.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / 256, F.lit(1e-300))
-    dealt = rows.join(F.broadcast(ends), how="cross").withColumn("_bucket", F.coalesce(F.floor((key - F.col("_lo")) / width), F.lit(-1))).drop("_lo", "_hi")
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return dealt.join(F.broadcast(sizes), "_bucket").withColumn(name, F.col("_before") + inside - 1 + start).drop("_bucket", "_before")
+    which must be total. Rows are sorted in ranges of the whole key and written
+    once; a range's numbers begin after the ranges before it. Null comes first."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "ranges").withColumn("_range", F.shiftright("_at", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(sizes), "_range").withColumn(name, F.col("_before") + inside + start).drop("_range", "_at", "_before")
 
 
 def first_of_each(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probity.plans import console, contributors, ledger, vectors
+from probity.plans import audits, console, contributors, ledger, vectors
 from probity.plans.query import Query
 
-QUERIES: dict[str, Query] = {**contributors.QUERIES, **ledger.QUERIES, **vectors.QUERIES, **console.QUERIES}
+QUERIES: dict[str, Query] = {**contributors.QUERIES, **ledger.QUERIES, **vectors.QUERIES, **console.QUERIES, **audits.QUERIES}

@@ -101,7 +101,7 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(file_size(F.col("n_chars")).alias("size")).agg(F.count("*").alias("n")).where("size like '%KB'").select("size", "n")
+    return table(spark, sf_dir, "documents").groupBy(file_size(F.col("n_chars")).alias("size")).agg(F.count("*").alias("n")).select("size", "n")
 
 
 QUERIES = {
@@ -113,5 +113,5 @@ QUERIES = {
     "console_kpi": Query(_kpi, f"WITH {FINDINGS} SELECT count(*) AS findings, count(*) FILTER (status = 'REVIEW') AS review, count(DISTINCT asset) AS assets, count(*) FILTER (severity = 'HIGH' AND status = 'REVIEW') AS urgent FROM f", "D29"),
     "first_review_findings": Query(_first4, f"WITH {FINDINGS} SELECT o_orderkey, severity FROM f WHERE status = 'REVIEW' ORDER BY o_orderkey LIMIT 4", "F6 F7"),
     "path_strings": Query(_names, "SELECT page_id, split_part(url, '/', 3) AS host, regexp_extract(url, '\\.([A-Za-z0-9]+)(?:[?#].*)?$', 1) AS extension, substr(md5(html), 1, 16) AS short, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(url), '[a-z]+'))), ',') AS parts FROM pages", "L"),
-    "size_text": Query(_sizes, "WITH s AS (SELECT format('{:.1f} KB', round(n_chars / 1024.0::DOUBLE, 1)) AS size FROM documents WHERE n_chars >= 1024 AND n_chars < 1048576) SELECT size, count(*) AS n FROM s GROUP BY 1", "L"),
+    "size_text": Query(_sizes, "WITH s AS (SELECT CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{:.1f} KB', round(n_chars / 1024.0::DOUBLE, 1)) ELSE format('{:.1f} MB', round(n_chars / 1048576.0::DOUBLE, 1)) END AS size FROM documents) SELECT size, count(*) AS n FROM s GROUP BY 1", "L"),
 }

@@ -35,14 +35,14 @@ def _root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = leaves(spark, sf_dir)
-    return L.audit_paths(log, log.where("pos % 100 = 0")).select("pos", "leaf_hash", F.array_join("proof", ",").alias("proof"))
+    return L.audit_paths(log, log).select("pos", "leaf_hash", F.array_join("proof", ",").alias("proof"))
 
 
 def _verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proofs of every hundredth entry, and the same with a changed leaf."""
+    """Proofs of all entries, and the same with a changed leaf."""
     log = leaves(spark, sf_dir)
     root = L.tree_roots(log)
-    proofs = L.audit_paths(log, log.where("pos % 100 = 0")).join(F.broadcast(root), how="cross")
+    proofs = L.audit_paths(log, log).join(F.broadcast(root), how="cross")
     check = lambda leaf: L.verify_inclusion(leaf, F.col("pos"), F.col("n"), F.col("proof"), F.col("root"))
     return proofs.agg(F.count("*").alias("proofs"), F.count_if(check(F.col("leaf_hash"))).alias("valid"), F.count_if(check(F.reverse("leaf_hash"))).alias("forged"))
 
@@ -159,13 +159,14 @@ def _sealed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations' first turns signed; every seventh is changed later, every eleventh loses a byte."""
-    turns = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), F.concat_ws("|", "role", "text").cast("binary").alias("body"))
+    """All turns signed; every seventh conversation's are changed later, every eleventh's lose a byte.
+    A turn costs some milliseconds (see operators.signatures)."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat_ws("|", "role", "text").cast("binary").alias("body"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = signatures.sign_records(turns.repartition(n, "id"), bytes(range(32)))
-    changed = F.when(F.col("id") % 7 == 0, F.concat("body", F.lit("!").cast("binary"))).otherwise(F.col("body"))
-    short = F.when(F.col("id") % 11 == 0, F.substring("signature", 1, 63)).otherwise(F.col("signature"))
-    return signatures.verify_signatures(signed.withColumn("body", changed).withColumn("signature", short)).withColumnRenamed("id", "conv_id")
+    changed = F.when(F.floor(F.col("id") / 1000) % 7 == 0, F.concat("body", F.lit("!").cast("binary"))).otherwise(F.col("body"))
+    short = F.when(F.floor(F.col("id") / 1000) % 11 == 0, F.substring("signature", 1, 63)).otherwise(F.col("signature"))
+    return signatures.verify_signatures(signed.withColumn("body", changed).withColumn("signature", short)).select(F.floor(F.col("id") / 1000).alias("conv_id"), (F.col("id") % 1000).alias("turn"), "verdict")
 
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,13 +177,22 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], "idx")
 
 
+# each leaf's way up, and a changed leaf's
+WALK = f"""WITH RECURSIVE {_tree_sql()}, nodes AS (SELECT level, unnest(hs) AS hash, generate_subscripts(hs, 1) - 1 AS pos FROM tree),
+w AS (SELECT 0 AS level, pos AS at, hash, reverse(hash) AS bad FROM leaves UNION ALL
+  SELECT w.level + 1, w.at // 2, CASE WHEN n.hash IS NULL THEN w.hash WHEN w.at % 2 = 1 THEN sha256(unhex('01' || n.hash || w.hash)) ELSE sha256(unhex('01' || w.hash || n.hash)) END,
+    CASE WHEN n.hash IS NULL THEN w.bad WHEN w.at % 2 = 1 THEN sha256(unhex('01' || n.hash || w.bad)) ELSE sha256(unhex('01' || w.bad || n.hash)) END
+  FROM w LEFT JOIN nodes n ON n.level = w.level AND n.pos = xor(w.at, 1) WHERE w.level < (SELECT max(level) FROM nodes))
+SELECT count(*) AS proofs, count(*) FILTER (hash = root) AS valid, count(*) FILTER (bad = root) AS forged
+FROM w, (SELECT hs[1] AS root, level AS top FROM tree WHERE len(hs) = 1) WHERE level = top"""
+
 QUERIES = {
-    "sha256_manifest": Query(_manifest, "SELECT page_id, url AS path, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes FROM pages", "A13 J2 J3"),
+    "sha256_manifest": Query(_manifest, "SELECT page_id, url AS path, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes FROM pages", "A13 J2"),
     "evidence_seal": Query(_seal, "SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"kind\":\"label\",\"quality\":' || quality || ',\"toxic\":' || toxic || '}') AS sha256, doc_id % 10 <> 0 AS intact FROM labels", "J1 J4 B10"),
     "merkle_leaves": Query(lambda s, d: leaves(s, d).select("pos", F.col("hash").alias("leaf_hash")), f"WITH {LEAVES} SELECT pos, hash AS leaf_hash FROM leaves", "J5 J9 E6"),
     "merkle_root": Query(_root, f"WITH RECURSIVE {_tree_sql()} SELECT (SELECT count(*) FROM leaves) AS n, hs[1] AS root FROM tree WHERE len(hs) = 1", "J6 J10"),
-    "merkle_audit_path": Query(_paths, f"WITH RECURSIVE {_tree_sql()}, nodes AS (SELECT level, unnest(hs) AS hash, generate_subscripts(hs, 1) - 1 AS pos FROM tree), w AS (SELECT pos, hash AS leaf_hash FROM leaves WHERE pos % 100 = 0) SELECT w.pos, leaf_hash, coalesce(string_agg(n.hash, ',' ORDER BY n.level), '') AS proof FROM w CROSS JOIN (SELECT DISTINCT level FROM nodes) l LEFT JOIN nodes n ON n.level = l.level AND n.pos = xor(w.pos >> l.level, 1) GROUP BY ALL", "J7 T11"),
-    "merkle_verify_all": Query(_verify, f"WITH {LEAVES} SELECT count(*) AS proofs, count(*) AS valid, 0::BIGINT AS forged FROM leaves WHERE pos % 100 = 0", "J8"),
+    "merkle_audit_path": Query(_paths, f"WITH RECURSIVE {_tree_sql()}, nodes AS (SELECT level, unnest(hs) AS hash, generate_subscripts(hs, 1) - 1 AS pos FROM tree), w AS (SELECT pos, hash AS leaf_hash FROM leaves) SELECT w.pos, leaf_hash, coalesce(string_agg(n.hash, ',' ORDER BY n.level), '') AS proof FROM w CROSS JOIN (SELECT DISTINCT level FROM nodes) l LEFT JOIN nodes n ON n.level = l.level AND n.pos = xor(w.pos >> l.level, 1) GROUP BY ALL", "J7 T11"),
+    "merkle_verify_all": Query(_verify, WALK, "J8"),
     "merkle_root_history": Query(_history, " UNION ALL ".join(f"(WITH RECURSIVE {_tree_sql(f'pos < (SELECT count(*) FROM events) * {k} // 4')} SELECT (SELECT count(*) FROM events) * {k} // 4 AS size, hs[1] AS root FROM tree WHERE len(hs) = 1)" for k in (1, 2, 3, 4)), "E7"),
     "hash_chain_verify": Query(_chain, f"WITH t AS (SELECT conv_id, turn, sha256(conv_id::VARCHAR || '|' || turn || '|' || role || '|' || text) AS own FROM conversations), p AS (SELECT *, lag(own) OVER w AS before, lag(turn) OVER w AS before_turn FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), c AS (SELECT *, CASE WHEN conv_id % 7 = 0 AND turn = 3 THEN sha256('x') WHEN before_turn = turn - 1 THEN before ELSE '{L.GENESIS}' END AS prev FROM p), b AS (SELECT *, prev <> coalesce(before, '{L.GENESIS}') AS broken FROM c) SELECT conv_id, count(*) AS length, count(*) FILTER (broken) = 0 AS ok, min(CASE WHEN broken THEN turn END) AS first_break FROM b GROUP BY conv_id", "E4 E5 J14 J15"),
     "model_manifest_diff": Query(_diff, "WITH a AS (SELECT page_id::VARCHAR AS path, html FROM pages WHERE page_id % 13 <> 1), b AS (SELECT page_id::VARCHAR AS path, page_id % 10 = 0 AS changed FROM pages WHERE page_id % 17 <> 0), j AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'added' WHEN changed THEN 'changed' END AS state FROM a FULL JOIN b ON a.path = b.path) SELECT * FROM j WHERE state IS NOT NULL", "H23 C12"),
@@ -192,7 +202,7 @@ QUERIES = {
     "quote_checks": Query(_quotes, "WITH e AS (SELECT *, epoch(TIMESTAMP '2024-01-15 00:00:00') - floor(epoch(ts)) AS age, json_extract_string(props, '$.k')::INT AS k FROM events) SELECT event_id, concat_ws('; ', CASE WHEN event_type = 'error' THEN 'measurement allowlisted' END, CASE WHEN user_id % 9 = 0 THEN 'not debug' END, CASE WHEN age NOT BETWEEN -5 AND 43200 THEN 'fresh' END, CASE WHEN event_id % 2 = 0 AND k >= 90 THEN 'nonce' END) AS reason FROM e", "K3 B8"),
     "allowlist_upsert": Query(_allowlist, "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts >= '2024-01-20' DESC, event_id DESC) = 1", "K5 T15"),
     "aes_gcm_roundtrip": Query(_sealed_boxes, "SELECT count(*) AS n, count(text) AS opened, count(*) AS refused FROM documents", "K8 A15 T14"),
-    "ed25519_receipts": Query(_signatures, "SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN 'malformed' WHEN conv_id % 7 = 0 THEN 'altered' ELSE 'valid' END AS verdict FROM conversations WHERE turn = 0", "J13 J12"),
+    "ed25519_receipts": Query(_signatures, "SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN 'malformed' WHEN conv_id % 7 = 0 THEN 'altered' ELSE 'valid' END AS verdict FROM conversations", "J13"),
     "ledger_latest": Query(_latest, "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' ORDER BY event_id DESC LIMIT 50", "F4 B11 O7"),
     "ledger_dense_index": Query(_dense, "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders", "E6"),
 }
