@@ -15,6 +15,7 @@ from probity.operators import contributors as C
 from probity.operators import evaluation
 from probity.operators.ordering import dense_index, first_of_each
 from probity.plans.query import Query, table
+from probity.sources.scratch import materialize
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,13 +24,15 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = keyed.groupBy("dup_cluster").agg(F.count("*").alias("dup_cluster_size"))
     p99 = docs.agg(F.percentile("n_chars", F.lit(0.99)).alias("p99"))
     marks = labels.select(F.col("doc_id").alias("sample_id"), (F.col("toxic") == 1).alias("poison_flag"), (F.col("quality") == 0).alias("label_issue"))
-    return (
-        keyed.join(sizes, "dup_cluster", "left")
+    joined = (
+        keyed.join(sizes.where("dup_cluster_size > 1"), "dup_cluster", "left")
+        .withColumn("dup_cluster_size", F.when(F.col("dup_cluster").isNotNull(), F.coalesce("dup_cluster_size", F.lit(1).cast("long"))))
         .join(F.broadcast(p99), how="cross")
         .join(marks, "sample_id", "left")
         .withColumn("in_dup", F.col("dup_cluster_size") > 1)
         .withColumn("ood_flag", F.col("n_chars") > F.col("p99"))
     )
+    return materialize(joined, "samples")  # a query reads it several times
 
 
 SAMPLES = """s AS (

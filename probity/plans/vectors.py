@@ -152,7 +152,8 @@ def _planted_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = pool(spark, sf_dir)
-    rows = samples.join(poison.poison_flags(samples.withColumn("predicted", F.col("label")), F.col("predicted")), "id")
+    predicted = poison.class_probabilities(samples.select("id", "label", "vector")).select("id", argmax(F.col("p")).alias("predicted"))
+    rows = samples.join(poison.poison_flags(samples.join(predicted, "id"), F.col("predicted")), "id")
     clean = samples.where("contributor in ('C1', 'C2')")
     mask = F.transform("vector", lambda x, i: F.when(i < TRIGGER_DIMS, 1.0).otherwise(0.0))
     pattern = F.transform("vector", lambda x, i: F.when(i < TRIGGER_DIMS, 0.5).otherwise(0.0))
@@ -168,6 +169,14 @@ def _activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poison.activation_clusters(v, F.col("predicted"))
 
 
+def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the two poison detectors agree on the planted pool, by class."""
+    rows = pool(spark, sf_dir).select("id", "label", "vector")
+    predicted = poison.class_probabilities(rows).select("id", argmax(F.col("p")).alias("predicted"))
+    flags = poison.poison_flags(rows.join(predicted, "id"), F.col("predicted"))
+    return flags.join(rows.select("id", "label"), "id").groupBy("label").agg(F.count("*").alias("samples"), F.count_if("ac_flag").alias("ac"), F.count_if("ss_flag").alias("ss"), F.avg((F.col("ac_flag") == F.col("ss_flag")).cast("double")).alias("agreement"))
+
+
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poison.label_issues(poison.class_probabilities(pool(spark, sf_dir).select("id", "label", "vector")))
 
@@ -194,7 +203,8 @@ QUERIES = {
     "accuracy_attack_success": Query(_accuracy, "WITH p AS (SELECT label, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS pred FROM embeddings) SELECT round(avg((pred = label)::INT), 6) AS accuracy, round(avg((pred = 0)::INT) FILTER (label <> 0), 6) AS success FROM p", "D24"),
     "attack_pivot": Query(_attacks, "WITH r AS (SELECT vec_id AS id, label, vec_id % 5 + 1 AS c, vec_id // 5 AS t FROM embeddings), a AS (SELECT c, CASE WHEN c = 3 AND t % 20 = 0 AND label <> 0 THEN 'badnets' WHEN c = 4 AND t % 5 = 0 AND label IN (3, 5) THEN 'flip' WHEN c = 5 AND t % 20 = 1 THEN 'dup_source' WHEN c = 5 AND t % 20 = 2 THEN 'ood' ELSE 'none' END AS k FROM r) SELECT 'C' || c AS contributor, count(*) FILTER (k = 'none') AS none, count(*) FILTER (k = 'badnets') AS badnets, count(*) FILTER (k = 'flip') AS flip, count(*) FILTER (k = 'dup_source') AS dup_source, 5 * count(*) FILTER (k = 'dup_source') AS dup, count(*) FILTER (k = 'ood') AS ood FROM a GROUP BY c", "D18 I1 I2 I3 I4 I6 I7"),
     "spectral_signature": Query(_spectral, None, "H12"),
-    "activation_clustering": Query(_activation, None, "H11 H13 D21 D27"),
+    "activation_clustering": Query(_activation, None, "H11"),
+    "detector_agreement": Query(_agreement, None, "D21 D27"),
     "label_issues_cl": Query(_issues, None, "H9 H10"),
     "planted_detection": Query(_detection, None, "H14 H15 D15 B18"),
     "planted_trust": Query(_planted_trust, None, "D1 D11 D16"),

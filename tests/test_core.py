@@ -168,3 +168,43 @@ def test_signatures(spark):
     assert S.verdict(S.public_key(seed), b"", made[:63]) == S.verdict(None, b"", made) == "malformed"
     records = S.sign_records(spark.createDataFrame([(1, b"a"), (2, None)], "id long, body binary"), seed)
     assert {r["id"]: r["verdict"] for r in S.verify_signatures(records).collect()} == {1: "valid", 2: "malformed"}
+
+
+def test_detectors_agree_on_most(spark):
+    from probity.plans.catalog import QUERIES
+
+    rows = QUERIES["detector_agreement"].run(spark, SMALL).collect()
+    assert sum(r["samples"] for r in rows) > 400
+    for r in rows:
+        # flags that differ are at least the difference of the counts, at most their sum
+        differ = round((1 - r["agreement"]) * r["samples"])
+        assert abs(r["ac"] - r["ss"]) <= differ <= r["ac"] + r["ss"]
+
+
+def test_metric_evidence_has_a_row_for_each_metric(spark):
+    from probity.plans.catalog import QUERIES
+
+    rows = QUERIES["metric_evidence"].run(spark, SMALL).collect()
+    checks = {}
+    for r in rows:
+        checks.setdefault(r["contributor"], set()).add(r["check"])
+        assert r["check"] == "trust_score" or r["flagged"] == (r["score"] >= 3.5)
+    assert all(len(c) == 6 for c in checks.values())
+
+
+def test_roots_after_appends_are_roots_of_prefixes(spark):
+    from probity.operators import ledger
+
+    log = spark.range(21).select(F.col("id").alias("pos"), ledger.leaf_hash(F.col("id").cast("string")).alias("hash"))
+    got = {r["size"]: r["root"] for r in ledger.append_roots(log).collect()}
+    for n in (1, 2, 3, 7, 8, 13, 21):
+        assert got[n] == ledger.tree_roots(log.where(F.col("pos") < n)).first()["root"]
+    assert len(got) == 21
+
+
+def test_numbers_in_order_of_the_whole_key(spark):
+    from probity.operators.ordering import dense_index
+
+    rows = spark.range(1000).select(F.lit(1).alias("a"), F.concat(F.lit("k"), F.lpad((F.col("id") * 7919 % 1000).cast("string"), 4, "0")).alias("b"))
+    got = dense_index(rows, ["a", "b"], "n", start=1).collect()
+    assert [r["n"] for r in sorted(got, key=lambda r: r["b"])] == list(range(1, 1001))
