@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,38 +17,35 @@ from probity.plans import vectors as V
 from probity.sources import files
 
 SMALL = "/root/testdata/sf0.001"
-BASE = {"poison_rate": 0.010, "label_issue_rate": 0.030, "dup_rate": 0.002, "ood_rate": 0.010, "class_skew": 0.001}
+PEERS = [f"org{i}" for i in range(9)]
 
 
-def metrics(spark, **changes):
-    rows = []
-    for i in range(6):
-        name = f"C{i + 1}"
-        jitter = {m: v + ((i * 37 + k * 17) % 9 - 4) * 0.0002 for k, (m, v) in enumerate(BASE.items())}
-        rows.append((name, *[changes.get(name, {}).get(m, jitter[m]) for m in C.METRICS]))
-    return spark.createDataFrame(rows, "contributor string, " + ", ".join(f"{m} double" for m in C.METRICS))
+def pool_of(spark, raised=()):
+    """Nine contributors whose rates lie close together around a level of each metric;
+    raised: (contributor, metric) pairs that lie ten floors above."""
+    r = random.Random(5)
+    level = {m: 0.02 * (k + 1) for k, m in enumerate(C.METRICS)}
+    rows = [(c, *[level[m] + r.uniform(-0.1, 0.1) * C.FLOORS[m] + 10 * C.FLOORS[m] * ((c, m) in raised) for m in C.METRICS]) for c in PEERS]
+    return C.trust(spark.createDataFrame(rows, "contributor string, " + ", ".join(f"{m} double" for m in C.METRICS))).collect()
 
 
-def test_one_outlier_is_flagged_alone(spark):
-    rows = C.trust(metrics(spark, C4={"poison_rate": 0.09})).orderBy("trust").collect()
-    assert rows[0]["contributor"] == "C4" and rows[0]["flag_reasons"] == ["poison_rate"]
-    assert not any(r["flagged"] for r in rows[1:])
+@pytest.mark.parametrize("metric", C.METRICS)
+def test_each_metric_flags_whoever_is_far_above_the_peers(spark, metric):
+    rows = {r["contributor"]: r for r in pool_of(spark, {("org7", metric)})}
+    assert [c for c in PEERS if rows[c]["flagged"]] == ["org7"] and rows["org7"]["flag_reasons"] == [metric]
+    assert rows["org7"]["trust"] < min(rows[c]["trust"] for c in PEERS if c != "org7")
 
 
-def test_clean_pool_has_no_flag(spark):
-    rows = C.trust(metrics(spark)).collect()
-    assert not any(r["flagged"] for r in rows) and all(r["trust"] > 50 for r in rows)
+def test_equals_are_not_flagged_and_several_are_told_from_the_rest(spark):
+    assert not any(r["flagged"] for r in pool_of(spark))
+    bad = {("org1", C.METRICS[0]), ("org4", C.METRICS[2])}
+    rows = sorted(pool_of(spark, bad), key=lambda r: r["trust"])
+    assert {r["contributor"] for r in rows[:2]} == {"org1", "org4"} and not any(r["flagged"] for r in rows[2:])
 
 
-def test_three_attackers_are_the_bottom(spark):
-    bad = {"C3": {"poison_rate": 0.05}, "C4": {"label_issue_rate": 0.08}, "C5": {"dup_rate": 0.18}}
-    assert {r["contributor"] for r in C.bottom(C.trust(metrics(spark, **bad))).collect()} == set(bad)
-
-
-def test_spread_has_a_floor(spark):
-    rows = spark.createDataFrame([(x,) for x in (0.0, 0.0, 0.0, 0.0, 0.001)], "x double")
-    out = C.robust_z(rows, {"x": 0.004}).collect()
-    assert out[0]["spread_x"] == 0.004 and max(r["z_x"] for r in out) < 1
+def test_no_spread_is_below_its_floor(spark):
+    same = spark.createDataFrame([(2.5,)] * 7 + [(2.6,)], "x double")
+    assert {(r["spread_x"], r["median_x"]) for r in C.robust_z(same, {"x": 0.25}).collect()} == {(0.25, 2.5)}
 
 
 def test_skew_is_zero_for_equal_and_at_most_one(spark):
@@ -61,18 +59,18 @@ def leaf(data):
     return hashlib.sha256(b"\0" + data).digest()
 
 
-def mth(hashes):
-    if len(hashes) < 2:
-        return hashes[0] if hashes else hashlib.sha256(b"").digest()
-    k = 1 << (len(hashes) - 1).bit_length() - 1
-    return hashlib.sha256(b"\1" + mth(hashes[:k]) + mth(hashes[k:])).digest()
+def folded(row):
+    """A tree's root, level by level; a node without a neighbour goes up as it is."""
+    while len(row) > 1:
+        row = [hashlib.sha256(b"\1" + b"".join(row[i : i + 2])).digest() if i + 1 < len(row) else row[i] for i in range(0, len(row), 2)]
+    return row[0]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 31, 1025])
 def test_merkle_roots_and_proofs(spark, n):
     leaves = spark.range(n).select(F.col("id").alias("pos"), ledger.leaf_hash(F.concat(F.lit("entry-"), F.col("id").cast("string"))).alias("hash"))
     root = ledger.tree_roots(leaves).first()
-    assert (root["n"], root["root"]) == (n, mth([leaf(f"entry-{i}".encode()) for i in range(n)]).hex())
+    assert (root["n"], root["root"]) == (n, folded([leaf(f"entry-{i}".encode()) for i in range(n)]).hex())
     proofs = ledger.audit_paths(leaves, leaves)
     good = lambda leaf, pos, size: ledger.verify_inclusion(leaf, pos, size, F.col("proof"), F.lit(root["root"]))
     size = F.lit(n).cast("long")
