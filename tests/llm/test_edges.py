@@ -130,7 +130,7 @@ def test_mixing(docs, none):
     whole = mixing.mixed_documents(docs)
     assert whole.columns == docs.columns and mixing.mixed_documents(none).count() == 0
     # a null doc_id is a document too, and what the mix takes whole is what it says
-    wide = docs.where("doc_id is null or doc_id in (1, 7)").withColumn("text", F.lit("one two three"))
+    wide = docs.where("doc_id is null or doc_id in (1, 7)").withColumns({"text": F.lit("one two three"), "source": F.lit("s1")})
     assert sorted(str(r["doc_id"]) for r in mixing.mixed_documents(wide).collect()) == ["1", "1", "7", "None"]
 
 
