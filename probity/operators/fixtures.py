@@ -26,11 +26,17 @@ def near_copies(vectors: DataFrame, copies: int = COPIES, noise: float = NOISE)
 
 
 def _direction(seed: Column) -> Column:
-    """A vector's direction that depends on seed alone, of the vector's length."""
-    wave = F.transform("vector", lambda x, i: F.sin(seed * 7.3 + i * 1.7) + F.cos(seed * 3.1 + i * i * 0.9))
+    """A vector's direction that depends on seed alone, of the vector's length:
+    chirps, those of two seeds nearly orthogonal."""
+    wave = F.transform("vector", lambda x, i: F.sin((i + 1) * (i + 1 + 3.0 * seed) * 1.7))
     return F.transform(wave, lambda x: x / norm(wave))
 
 
+def blind_view(samples: DataFrame) -> DataFrame:
+    """samples with vectors as an encoder sees them that overlooks the trigger's place."""
+    return samples.withColumn("vector", F.slice("vector", F.lit(TRIGGER_DIMS + 1), F.size("vector") - TRIGGER_DIMS))
+
+
 def planted_pool(vectors: DataFrame) -> DataFrame:
     """(id, contributor, label, vector, gt_attack) from (id, label, vector)."""
     turn = F.floor(F.col("id") / 5)

@@ -9,14 +9,18 @@ a class and task, and eigenvectors come from the sum.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.scalars import flag
-from probity.functions.vectors import argmax, dot, masked_match, softmax
+from probity.functions.vectors import argmax, dot, masked_match
+from probity.operators.ordering import dense_index
 from probity.sources.scratch import materialize
 
 LEAST_CLASS, DIMS, CLUSTERS, ROUNDS = 20, 10, 5, 10
@@ -109,20 +113,25 @@ def poison_flags(samples: DataFrame, predicted: Column) -> DataFrame:
     return both.select("id", flag("ac_flag").alias("ac_flag"), "ss_score", flag("ss_flag").alias("ss_flag"), (flag("ac_flag") | (flag("ss_flag") & flag("_bad"))).alias("poison_flag"))
 
 
-def class_probabilities(samples: DataFrame, folds: int = 5, sharp: float = 10.0) -> DataFrame:
-    """(id, label, p): out-of-fold class probabilities, a softmax over cosines to
-    the class means of the other folds."""
-    rows = samples.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)))
-    dims = rows.select("fold", "label", F.posexplode("vector").alias("i", "x"))
-    sums = dims.groupBy("fold", "label", "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
-    every = sums.groupBy("label", "i").agg(F.sum("s").alias("all"))
-    grid = sums.select("fold").distinct().join(F.broadcast(every), how="cross").join(sums, ["fold", "label", "i"], "left")
-    means = grid.groupBy("fold", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("all") - F.coalesce("s", F.lit(0.0))).alias("m")))), lambda x: x["m"]).alias("m"))
-    table = means.groupBy("fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "m"))), lambda x: x["m"]).alias("means"))
-    length = lambda v: F.sqrt(dot(v, v))
-    near = F.transform("means", lambda m: sharp * dot(F.col("vector"), m) / (length(F.col("vector")) * length(m) + 1e-8))
-    scored = rows.join(F.broadcast(table), "fold").select("id", "label", softmax(near).alias("p"))
-    return materialize(scored, "class-probabilities")
+def class_probabilities(samples: DataFrame, folds: int = 5, penalty: float = 1.0, rounds: int = 300) -> DataFrame:
+    """(id, label, p): out-of-fold class probabilities of multinomial logistic
+    regressions, p's places being the labels 0, 1, ... Folds are stratified: samples
+    are numbered in the order of label and hash, and dealt in turn. Samples without
+    label or vector are left out; of fewer than two folds' samples all are equally
+    likely."""
+    rows = samples.select("id", F.col("label").cast("int").alias("label"), F.col("vector").cast("array<double>").alias("vector")).where("label is not null and vector is not null")
+    dealt = dense_index(rows.withColumn("_hash", F.xxhash64("id")), ["label", "_hash", "id"], "_n").select("id", "label", array_to_vector("vector").alias("features"), (F.col("_n") % folds).alias("fold"))
+    sizes = {r["fold"]: (r["n"], r["most"]) for r in dealt.groupBy("fold").agg(F.count("*").alias("n"), F.max("label").alias("most")).collect()}
+    total, classes = sum(n for n, _ in sizes.values()), max((most for _, most in sizes.values()), default=0) + 1
+    if len(sizes) < 2:
+        return dealt.select("id", "label", F.array_repeat(F.lit(1 / classes), classes).alias("p"))
+    parts = []
+    for fold, (n, _) in sorted(sizes.items()):
+        model = LogisticRegression(family="multinomial", regParam=1 / (penalty * (total - n)), standardization=False, maxIter=rounds, tol=1e-4).fit(dealt.where(F.col("fold") != fold))
+        scored = model.transform(dealt.where(F.col("fold") == fold)).select("id", "label", vector_to_array("probability").alias("p"))
+        # a fold's rest may lack the highest labels
+        parts.append(scored.withColumn("p", F.concat("p", F.array_repeat(F.lit(0.0), F.lit(classes) - F.size("p")))))
+    return materialize(reduce(DataFrame.unionByName, parts), "class-probabilities")
 
 
 def label_issues(probabilities: DataFrame) -> DataFrame:

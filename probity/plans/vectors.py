@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from probity.functions.vectors import argmax, cosine, hamming, masked_match, norm, normalised, softmax, top
 from probity.operators import contributors, evaluation, neighbours, poison
-from probity.operators.fixtures import TRIGGER_DIMS, near_copies, planted_pool
+from probity.operators.fixtures import TRIGGER_DIMS, blind_view, near_copies, planted_pool
 from probity.plans.query import Query, table
 from probity.sources.scratch import materialize
 
@@ -121,14 +121,19 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(planted_pool(vectors(spark, sf_dir)), "pool")
 
 
+def _predicted(rows: DataFrame, probabilities: DataFrame) -> DataFrame:
+    return rows.join(probabilities.select("id", argmax(F.col("p")).alias("predicted")), "id", "left")
+
+
 def detected(samples: DataFrame) -> DataFrame:
-    """samples with the flags of all detectors; gt_attack isn't read."""
+    """samples with the flags of all detectors; gt_attack isn't read. Poison is sought
+    in the vectors, the rest in an independent view that overlooks the trigger."""
     rows = samples.select("id", "contributor", "label", "vector")
-    probabilities = poison.class_probabilities(rows)
-    predicted = rows.join(probabilities.select("id", argmax(F.col("p")).alias("predicted")), "id")
-    flags = poison.poison_flags(predicted, F.col("predicted"))
-    dup = neighbours.duplicate_clusters(rows.select("id", "vector"), cos=0.93)
-    ood = neighbours.peer_ood(rows.select("id", F.col("contributor").alias("peer"), "vector"))
+    view = blind_view(rows)
+    probabilities = poison.class_probabilities(view)
+    flags = poison.poison_flags(_predicted(rows, probabilities), F.col("predicted"))
+    dup = neighbours.duplicate_clusters(view.select("id", "vector"), cos=0.93)
+    ood = neighbours.peer_ood(view.select("id", F.col("contributor").alias("peer"), "vector"))
     issues = poison.label_issues(probabilities)
     out = rows.select("id", "contributor", "label", "vector")
     for part in (flags, dup, ood, issues):
@@ -140,6 +145,8 @@ def _detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = pool(spark, sf_dir)
     found = detected(samples).join(samples.select("id", "gt_attack"), "id")
     gt = F.col("gt_attack")
+    # flips are measured within the contributor that flips, as poisoned labels are issues too
+    found = found.withColumn("label_issue", F.col("label_issue") & (F.col("contributor") == "C4"))
     measured = evaluation.precision_recall(found, {"duplicates": (F.col("in_dup"), gt.isin("dup", "dup_source")), "ood": (F.col("ood_flag"), gt == "ood"), "labels": (F.col("label_issue"), gt == "flip"), "poison": (F.col("poison_flag"), gt == "badnets")})
     return measured
 
@@ -152,8 +159,8 @@ def _planted_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = pool(spark, sf_dir)
-    predicted = poison.class_probabilities(samples.select("id", "label", "vector")).select("id", argmax(F.col("p")).alias("predicted"))
-    rows = samples.join(poison.poison_flags(samples.join(predicted, "id"), F.col("predicted")), "id")
+    predicted = _predicted(samples, poison.class_probabilities(blind_view(samples)))
+    rows = samples.join(poison.poison_flags(predicted, F.col("predicted")), "id")
     clean = samples.where("contributor in ('C1', 'C2')")
     mask = F.transform("vector", lambda x, i: F.when(i < TRIGGER_DIMS, 1.0).otherwise(0.0))
     pattern = F.transform("vector", lambda x, i: F.when(i < TRIGGER_DIMS, 0.5).otherwise(0.0))
@@ -172,13 +179,13 @@ def _activation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the two poison detectors agree on the planted pool, by class."""
     rows = pool(spark, sf_dir).select("id", "label", "vector")
-    predicted = poison.class_probabilities(rows).select("id", argmax(F.col("p")).alias("predicted"))
-    flags = poison.poison_flags(rows.join(predicted, "id"), F.col("predicted"))
+    predicted = _predicted(rows, poison.class_probabilities(blind_view(rows)))
+    flags = poison.poison_flags(predicted, F.col("predicted"))
     return flags.join(rows.select("id", "label"), "id").groupBy("label").agg(F.count("*").alias("samples"), F.count_if("ac_flag").alias("ac"), F.count_if("ss_flag").alias("ss"), F.avg((F.col("ac_flag") == F.col("ss_flag")).cast("double")).alias("agreement"))
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poison.label_issues(poison.class_probabilities(pool(spark, sf_dir).select("id", "label", "vector")))
+    return poison.label_issues(poison.class_probabilities(blind_view(pool(spark, sf_dir))))
 
 
 def _attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
