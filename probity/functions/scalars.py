@@ -27,8 +27,9 @@ def utc_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def confidence(score: Column, high: float, low_name: str = "medium") -> Column:
-    return F.when(score >= high, "high").otherwise(low_name)
+def confidence(high: Column, medium: Column | None = None) -> Column:
+    """high where the condition holds, else medium; where another is given, low unless that holds."""
+    return F.when(high, "high").when(F.lit(True) if medium is None else medium, "medium").otherwise("low")
 
 
 def status_tier(status: Column) -> Column:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from probity.functions.vectors import cosine
 from probity.operators.graph import connected_components
+from probity.operators.ordering import exact_percentile
+from probity.sources.scratch import materialize
 
 BLOCK_ROWS, LEAST_BLOCKS = 4096, 8
 KINDS = "block int, asks boolean, id long, peer string, vector array<double>"
@@ -77,7 +79,8 @@ def peer_ood(vectors: DataFrame, k: int = 10, percentile: float = 0.99) -> DataF
     """(id, ood_score, ood_flag) of (id, peer, vector): one less the mean cosine of
     the k nearest samples of other contributors; flagged above the pool's percentile."""
     scores = knn(vectors, vectors, k, peers_only=True).groupBy("id").agg((1 - F.avg("cosine")).alias("ood_score"))
-    threshold = scores.agg(F.percentile(F.round("ood_score", 9), F.lit(percentile)).alias("thr"))
+    scores = materialize(scores, "ood-scores")
+    threshold = exact_percentile(scores, F.round("ood_score", 9), percentile, "thr")
     return scores.join(F.broadcast(threshold), how="cross").select("id", "ood_score", (F.round("ood_score", 9) > F.round("thr", 9)).alias("ood_flag"))
 
 
@@ -93,16 +96,19 @@ def duplicate_edges(vectors: DataFrame, k: int, cos: float, verify=None) -> Data
 
 
 def duplicate_clusters(vectors: DataFrame, k: int = 10, cos: float = 0.8, least: int = 3, verify=None) -> DataFrame:
-    """(id, dup_cluster, dup_cluster_size, in_dup): components of duplicate edges;
-    a sample alone has cluster -1, and clusters of fewer than least aren't duplicates."""
-    labels = connected_components(duplicate_edges(vectors, k, cos, verify).select("a", "b"))
-    own = vectors.select("id").join(labels.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    """(id, dup_cluster, dup_cluster_size, in_dup, best_cosine): components of duplicate
+    edges; a sample alone has cluster -1, and clusters of fewer than least aren't
+    duplicates; best_cosine is that of the sample's nearest duplicate."""
+    edges = materialize(duplicate_edges(vectors, k, cos, verify), "edges")
+    labels = connected_components(edges.select("a", "b"))
+    best = edges.select(F.explode(F.array("a", "b")).alias("id"), "cosine").groupBy("id").agg(F.max("cosine").alias("best_cosine"))
+    own = vectors.select("id").join(labels.select(F.col("node").alias("id"), "root"), "id", "left").join(best, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = own.groupBy("root").agg(F.count("*").alias("dup_cluster_size"))
     out = own.join(sizes, "root")
-    return out.select("id", F.when(F.col("dup_cluster_size") > 1, F.col("root")).otherwise(F.lit(-1)).alias("dup_cluster"), "dup_cluster_size", (F.col("dup_cluster_size") >= least).alias("in_dup"))
+    return out.select("id", F.when(F.col("dup_cluster_size") > 1, F.col("root")).otherwise(F.lit(-1)).alias("dup_cluster"), "dup_cluster_size", (F.col("dup_cluster_size") >= least).alias("in_dup"), "best_cosine")
 
 
 def calibrate(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: the 5th percentile and median cosine of known pairs."""
     scored = pairs.select(cosine(F.col(a), F.col(b)).alias("c"))
-    return scored.agg(F.percentile("c", F.lit(0.05)).alias("p5"), F.median("c").alias("median"))
+    return exact_percentile(scored, F.col("c"), 0.05, "p5").join(exact_percentile(scored, F.col("c"), 0.5, "median"), how="cross")

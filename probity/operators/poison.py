@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from probity.functions.scalars import flag
 from probity.functions.vectors import argmax, dot, masked_match
-from probity.operators.ordering import dense_index
+from probity.operators.ordering import dense_index, exact_percentile
 from probity.sources.scratch import materialize
 
 LEAST_CLASS, DIMS, CLUSTERS, ROUNDS = 20, 10, 5, 10
@@ -67,40 +67,66 @@ def spectral_signatures(samples: DataFrame, rate: float = 0.05, multiple: float
     """(id, ss_score, ss_flag): squared projection on the class's main axis, over
     the class's largest; flagged at or above its 1 - multiple * rate quantile."""
     scored = _projected(samples, class_axes(samples)).select("id", "label", F.pow(F.get("z", F.lit(0)), 2).alias("s"))
-    limits = scored.groupBy("label").agg(F.max("s").alias("top"), F.percentile("s", F.lit(1 - multiple * rate)).alias("cut"))
+    scored = materialize(scored, "spectral")
+    limits = scored.groupBy("label").agg(F.max("s").alias("top")).join(exact_percentile(scored, F.col("s"), 1 - multiple * rate, "cut", ("label",)), "label")
     return scored.join(F.broadcast(limits), "label").select("id", (F.col("s") / F.col("top")).alias("ss_score"), (F.col("s") >= F.col("cut")).alias("ss_flag"))
 
 
-def activation_clusters(samples: DataFrame, predicted: Column, small: float = 0.25, disagree: float = 0.5) -> DataFrame:
-    """(id, cluster, ac_flag): k-means in each class on its main axes; a cluster is
-    suspicious if it holds less than `small` of its class and at least `disagree`
-    of it is predicted as another class."""
+def class_clusters(samples: DataFrame, clusters: int = CLUSTERS) -> DataFrame:
+    """(id, label, cluster, share, ...): k-means in each class of 20 or more on its main
+    axes, from centres spread along the first; share is the cluster's of its class.
+    Further columns of samples stay. Classes, and so centres, are few."""
     axes = class_axes(samples)
-    rows = materialize(_projected(samples.withColumn("_other", predicted != F.col("label")), axes).select("id", "label", "_other", "z"), "activations")
-    start = {r["label"]: [[(k - 2) * 0.8 * r["spread"][0], *[0.0] * (len(r["spread"]) - 1)] for k in range(CLUSTERS)] for r in axes.select("label", "spread").collect()}
+    kept = [c for c in samples.columns if c not in ("id", "label", "vector")]
+    rows = materialize(_projected(samples, axes).select("id", "label", *kept, "z"), "activations")
+    centres = {r["label"]: [[(k - (clusters - 1) / 2) * 0.8 * r["spread"][0], *[0.0] * (len(r["spread"]) - 1)] for k in range(clusters)] for r in axes.select("label", "spread").collect()}
 
     def assign(centres: dict[int, list[list[float]]]) -> DataFrame:
         table = samples.sparkSession.createDataFrame([(k, v) for k, v in centres.items()], "label long, centres array<array<double>>")
         gaps = F.transform("centres", lambda c: F.aggregate(F.zip_with("z", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, d: a + d))
         return rows.join(F.broadcast(table), "label").withColumn("cluster", F.array_position(gaps, F.array_min(gaps)).cast("int") - 1)
 
-    centres = start
-    for _ in range(ROUNDS):
-        size = len(next(iter(centres.values()))[0]) if centres else 0
-        means = assign(centres).groupBy("label", "cluster").agg(*[F.avg(F.get("z", F.lit(i))).alias(f"m{i}") for i in range(size)]).collect() if centres else []
+    for _ in range(ROUNDS if centres else 0):
+        size = len(next(iter(centres.values()))[0])
+        means = assign(centres).groupBy("label", "cluster").agg(*[F.avg(F.get("z", F.lit(i))).alias(f"m{i}") for i in range(size)]).collect()
         moved = {k: [list(c) for c in v] for k, v in centres.items()}
         for r in means:
             moved[r["label"]][r["cluster"]] = [r[f"m{i}"] for i in range(size)]
         if moved == centres:
             break
         centres = moved
-    if not centres:
-        return rows.select("id", F.lit(-1).alias("cluster"), F.lit(False).alias("ac_flag"))
-    out = assign(centres)
-    each = out.groupBy("label", "cluster").agg(F.count("*").alias("size"), F.avg(F.col("_other").cast("double")).alias("others"))
-    total = out.groupBy("label").agg(F.count("*").alias("total"))
-    rule = (F.col("size") / F.col("total") < small) & (F.round("others", 9) >= disagree)
-    return out.join(F.broadcast(each.join(total, "label").withColumn("ac_flag", rule)), ["label", "cluster"]).select("id", "cluster", "ac_flag")
+    out = assign(centres).select("id", "label", "cluster", *kept)
+    sizes = out.groupBy("label", "cluster").agg(F.count("*").alias("size"))
+    total = sizes.groupBy("label").agg(F.sum("size").alias("total"))
+    return out.join(F.broadcast(sizes.join(total, "label").select("label", "cluster", (F.col("size") / F.col("total")).alias("share"))), ["label", "cluster"])
+
+
+def suspicious_clusters(clustered: DataFrame, small: float = 0.25, disagree: float = 0.5) -> DataFrame:
+    """(label, cluster, size, share, others, suspicious) of class clusters with the
+    flag `other` (predicted as another class): a cluster is suspicious if it holds
+    less than `small` of its class and at least `disagree` of it is flagged."""
+    each = clustered.groupBy("label", "cluster").agg(F.count("*").alias("size"), F.max("share").alias("share"), F.avg(flag("other").cast("double")).alias("others"))
+    return each.withColumn("suspicious", (F.col("share") < small) & (F.round("others", 9) >= disagree))
+
+
+def activation_clusters(samples: DataFrame, predicted: Column) -> DataFrame:
+    """(id, cluster, ac_flag): the sample's cluster in its class, and whether it is suspicious."""
+    clustered = class_clusters(samples.select("id", "label", "vector", (predicted != F.col("label")).alias("other")))
+    found = suspicious_clusters(clustered).select("label", "cluster", F.col("suspicious").alias("ac_flag"))
+    return clustered.join(F.broadcast(found), ["label", "cluster"]).select("id", "cluster", "ac_flag")
+
+
+def class_report(samples: DataFrame, predicted: Column) -> DataFrame:
+    """Per class of 20 or more: samples, clusters, the smallest cluster's share, the
+    largest disagreement of a cluster, suspicious."""
+    found = suspicious_clusters(class_clusters(samples.select("id", "label", "vector", (predicted != F.col("label")).alias("other"))))
+    return found.groupBy("label").agg(F.sum("size").alias("samples"), F.count("*").alias("clusters"), F.min("share").alias("smallest_share"), F.max("others").alias("most_disagreement"), F.bool_or("suspicious").alias("suspicious"))
+
+
+def two_means(samples: DataFrame, small: float = 0.35) -> DataFrame:
+    """(id, share, tm_flag): a cross-check without predictions: a sample is flagged if
+    it lies in the smaller of its class's two clusters, which holds less than `small`."""
+    return class_clusters(samples.select("id", "label", "vector"), clusters=2).select("id", "share", (F.col("share") < small).alias("tm_flag"))
 
 
 def poison_flags(samples: DataFrame, predicted: Column) -> DataFrame:
@@ -158,16 +184,16 @@ def label_issues(probabilities: DataFrame) -> DataFrame:
 
 
 def trace(samples: DataFrame, clean: DataFrame, mask: Column, pattern: Column, signature: Column, target: int, percentile: float = 0.99) -> DataFrame:
-    """(id, contributor, trace_score, over, candidate) of the target class: half the
-    masked match with the trigger, half the cosine with its signature; over is a
-    score above the clean samples' percentile, a candidate is over or has ac_flag."""
+    """(id, contributor, trace_score, threshold, ac_flag, over, candidate) of the target
+    class: half the masked match with the trigger, half the cosine with its signature; over
+    is a score above the clean samples' percentile, a candidate is over or has ac_flag."""
     length = lambda v: F.sqrt(dot(v, v))
     v = F.col("vector")
     score = 0.5 * masked_match(v, mask, pattern) + 0.5 * dot(v, signature) / (length(v) * length(signature) + 1e-8)
-    threshold = clean.where(F.col("label") == target).select(F.round(score, 9).alias("s")).agg(F.percentile("s", F.lit(percentile)).alias("thr"))
+    threshold = exact_percentile(clean.where(F.col("label") == target), F.round(score, 9), percentile, "thr")
     rows = samples.where(F.col("label") == target).withColumn("trace_score", F.round(score, 9)).join(F.broadcast(threshold), how="cross")
     over = F.col("trace_score") > F.round("thr", 9)
-    return rows.select("id", "contributor", "trace_score", over.alias("over"), (over | flag("ac_flag")).alias("candidate"))
+    return rows.select("id", "contributor", "trace_score", F.round("thr", 9).alias("threshold"), flag("ac_flag").alias("ac_flag"), over.alias("over"), (over | flag("ac_flag")).alias("candidate"))
 
 
 def trace_sources(traced: DataFrame, samples: DataFrame) -> DataFrame:

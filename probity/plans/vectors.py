@@ -157,14 +157,34 @@ def _planted_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contributors.trust(contributors.contributor_metrics(samples)).select("contributor", "n_samples", *contributors.METRICS, "trust", "flagged", F.array_join("flag_reasons", ",").alias("reasons"))
 
 
-def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = pool(spark, sf_dir)
+def traced(samples: DataFrame) -> DataFrame:
+    """The pool's samples of class 0 scored against the trigger."""
     predicted = _predicted(samples, poison.class_probabilities(blind_view(samples)))
     rows = samples.join(poison.poison_flags(predicted, F.col("predicted")), "id")
     clean = samples.where("contributor in ('C1', 'C2')")
     mask = F.transform("vector", lambda x, i: F.when(i < TRIGGER_DIMS, 1.0).otherwise(0.0))
     pattern = F.transform("vector", lambda x, i: F.when(i < TRIGGER_DIMS, 0.5).otherwise(0.0))
-    return poison.trace_sources(poison.trace(rows, clean, mask, pattern, pattern, target=0), samples)
+    return materialize(poison.trace(rows, clean, mask, pattern, pattern, target=0), "traced")
+
+
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = pool(spark, sf_dir)
+    return poison.trace_sources(traced(samples), samples)
+
+
+def _trace_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 candidates of the highest scores, the trace report's fixed length."""
+    found = traced(pool(spark, sf_dir)).where("candidate")
+    return found.orderBy(F.desc_nulls_last("trace_score"), "id").limit(32).select("id", "contributor", "trace_score", "over", "ac_flag")
+
+
+def _class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pool(spark, sf_dir).select("id", "label", "vector")
+    return poison.class_report(_predicted(rows, poison.class_probabilities(blind_view(rows))), F.col("predicted"))
+
+
+def _two_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poison.two_means(pool(spark, sf_dir))
 
 
 def _spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +231,10 @@ QUERIES = {
     "attack_pivot": Query(_attacks, "WITH r AS (SELECT vec_id AS id, label, vec_id % 5 + 1 AS c, vec_id // 5 AS t FROM embeddings), a AS (SELECT c, CASE WHEN c = 3 AND t % 20 = 0 AND label <> 0 THEN 'badnets' WHEN c = 4 AND t % 5 = 0 AND label IN (3, 5) THEN 'flip' WHEN c = 5 AND t % 20 = 1 THEN 'dup_source' WHEN c = 5 AND t % 20 = 2 THEN 'ood' ELSE 'none' END AS k FROM r) SELECT 'C' || c AS contributor, count(*) FILTER (k = 'none') AS none, count(*) FILTER (k = 'badnets') AS badnets, count(*) FILTER (k = 'flip') AS flip, count(*) FILTER (k = 'dup_source') AS dup_source, 5 * count(*) FILTER (k = 'dup_source') AS dup, count(*) FILTER (k = 'ood') AS ood FROM a GROUP BY c", "D18 I1 I2 I3 I4 I6 I7"),
     "spectral_signature": Query(_spectral, None, "H12"),
     "activation_clustering": Query(_activation, None, "H11"),
-    "detector_agreement": Query(_agreement, None, "D21 D27"),
+    "detector_agreement": Query(_agreement, None, "D27"),
+    "activation_report": Query(_class_report, None, "D21"),
+    "two_means_check": Query(_two_means, None, "H13"),
+    "trace_top32": Query(_trace_top, None, "F3"),
     "label_issues_cl": Query(_issues, None, "H9 H10"),
     "planted_detection": Query(_detection, None, "H14 H15 D15 B18"),
     "planted_trust": Query(_planted_trust, None, "D1 D11 D16"),
