@@ -252,3 +252,23 @@ def test_scan_and_trace_evidence(spark):
     trace = QUERIES["trace_evidence"].run(spark, SMALL).collect()
     assert [r["check"] for r in sorted(trace, key=lambda r: r["evidence_id"])].count("backdoor_source") <= 1
     assert len({r["sha256"] for r in scan + trace}) == len(scan) + len(trace)
+
+
+def test_reports_of_the_pool(spark):
+    from probity.plans.catalog import QUERIES
+
+    rows = {r["kind"]: r for r in QUERIES["report_entries"].run(spark, SMALL).collect()}
+    assert set(rows) == {"risk_report", "trace_report"}
+    for kind, prefix in (("risk_report", "risk-"), ("trace_report", "trace-")):
+        lines = rows[kind]["payload"].split(";")
+        assert [x.split(":")[0] for x in lines] == ["C1", "C2", "C3", "C4", "C5"]
+        assert rows[kind]["entry_id"] == prefix + hashlib.sha256(rows[kind]["payload"].encode()).hexdigest()[:16]
+    top = QUERIES["trace_top32"].run(spark, SMALL).collect()
+    assert len(top) <= 32 and [r["trace_score"] for r in top] == sorted((r["trace_score"] for r in top), reverse=True)
+
+
+def test_class_report_counts_every_class(spark):
+    from probity.plans.catalog import QUERIES
+
+    rows = QUERIES["activation_report"].run(spark, SMALL).collect()
+    assert rows and all(r["samples"] >= poison.LEAST_CLASS and 1 <= r["clusters"] <= poison.CLUSTERS and r["smallest_share"] <= 1 / r["clusters"] + 1e-9 for r in rows)
