@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions.vectors import norm, normalised
+from probity.operators.ordering import dense_index
 
 COPIES, NOISE, TRIGGER_DIMS = 5, 0.02, 8
 
@@ -60,3 +61,38 @@ def planted_pool(vectors: DataFrame) -> DataFrame:
     rows = rows.withColumn("vector", normalised(shaped)).withColumn("label", label).select("id", "contributor", "label", "vector", "gt_attack")
     copies = near_copies(rows.where("gt_attack = 'dup_source'").select("id", "vector")).join(rows.select(F.col("id").alias("origin"), "contributor", "label"), "origin")
     return rows.unionByName(copies.select("id", "contributor", "label", "vector", F.lit("dup").alias("gt_attack")))
+
+
+def class_places(samples: DataFrame, by: str, key: Column) -> DataFrame:
+    """samples with place: 0, 1, ... within each group in the order of key, then id.
+    Places come from one dense index, so no task holds a whole group."""
+    numbered = dense_index(samples.withColumn("_key", key), [by, "_key", "id"], "_n")
+    starts = numbered.groupBy(F.col(by).alias("_by")).agg(F.min("_n").alias("_start"))  # a row for each group
+    return numbered.join(F.broadcast(starts), F.col(by).eqNullSafe(F.col("_by"))).withColumn("place", F.col("_n") - F.col("_start")).drop("_n", "_by", "_start", "_key")
+
+
+def stratified_split(samples: DataFrame, contributors: int = 5) -> DataFrame:
+    """samples (id, label) with split and contributor: of each class a tenth is held out,
+    a tenth is for evaluation, and the rest goes round the contributors."""
+    placed = class_places(samples, "label", F.md5(F.col("id").cast("string")))
+    tenth = F.col("place") % 10
+    split = F.when(tenth == 0, "heldout").when(tenth == 1, "eval").otherwise("pool")
+    turn = (F.floor(F.col("place") / 10) * 8 + tenth - 2) % contributors + 1
+    return placed.withColumn("split", split).withColumn("contributor", F.when(split == "pool", F.concat(F.lit("C"), turn.cast("string")))).drop("place")
+
+
+def flooded(batches: DataFrame, plan: DataFrame) -> DataFrame:
+    """Batches (id, contributor) with gt_attack, after the attacks of plan (contributor,
+    share, copies), a row for each attacker: a share of its rows is repeated copies times
+    and as large a share is out of distribution; as many originals as there are copies
+    are dropped, so a batch keeps its size."""
+    placed = class_places(batches, "contributor", F.sha2(F.col("id").cast("string"), 256)).join(F.broadcast(plan), "contributor", "left")
+    sizes = batches.groupBy("contributor").agg(F.count("*").alias("_size"))
+    placed = placed.join(F.broadcast(sizes), "contributor", "left")
+    bases = F.coalesce(F.floor(F.col("_size") * F.col("share")), F.lit(0))
+    copies = F.coalesce("copies", F.lit(0))
+    attack = F.when(F.col("place") < bases, "dup_source").when(F.col("place") < 2 * bases, "ood").when(F.col("place") < (2 + copies) * bases, "dropped").otherwise("none")
+    marked = placed.withColumn("gt_attack", attack).drop("place", "share", "_size")
+    near = marked.where("gt_attack = 'dup_source'").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    near = near.withColumn("id", F.lit(1_000_000_000) + F.col("id") * 10 + F.col("copy")).withColumn("gt_attack", F.lit("dup")).drop("copy", "copies")
+    return marked.where("gt_attack <> 'dropped'").drop("copies").unionByName(near)

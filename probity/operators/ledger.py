@@ -8,8 +8,13 @@ once, so a log of a billion entries takes three shuffles.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 CHUNK_LEVELS = 10
 EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -118,6 +123,61 @@ def chain_breaks(records: DataFrame, chain: str, order: str, own_hash: str, prev
     return marked.groupBy(chain).agg(F.count("*").alias("length"), (F.count_if("_broken") == 0).alias("ok"), F.min(F.when(F.col("_broken"), F.col(order))).alias("first_break"))
 
 
+def issue_chain(records: DataFrame, chain: str, order: str, body_digest: str) -> DataFrame:
+    """records with prev, the own hash of the chain's record before, and own, the hash
+    of prev and the record's digest. A chain is sequential by nature: one task walks
+    through its sorted records and holds a batch of digests and one hash at a time;
+    chains are dealt out by key. Bodies stay in the JVM; records should hold digests."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = object(), GENESIS
+        for batch in batches:
+            before, own = [], []
+            for key, body in zip(batch.column(chain).to_pylist(), batch.column(body_digest).to_pylist(), strict=True):
+                if key != at:
+                    at, last = key, GENESIS
+                before.append(last)
+                last = hashlib.sha256((last + (body or "")).encode()).hexdigest()
+                own.append(last)
+            columns = [*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "prev", "own"])
+
+    schema = StructType([*records.schema.fields, StructField("prev", StringType()), StructField("own", StringType())])
+    return records.repartition(chain).sortWithinPartitions(chain, order).mapInArrow(link, schema)
+
+
+def chained_hash(prev: Column, body_digest: Column) -> Column:
+    """A record's own hash, as issue_chain() makes it."""
+    return digest(F.concat(prev, F.coalesce(body_digest, F.lit(""))))
+
+
+def verify_chain(records: DataFrame, chain: str, order: str, body_digest: str) -> DataFrame:
+    """Per chain of issued records: length, ok, and first_break, the first record that
+    doesn't hash to its own or doesn't name the record before."""
+    before = F.coalesce(F.lag("own").over(Window.partitionBy(chain).orderBy(order)), F.lit(GENESIS))
+    holds = (F.col("prev") == before) & (F.col("own") == chained_hash(F.col("prev"), F.col(body_digest)))
+    marked = records.withColumn("_broken", ~F.coalesce(holds, F.lit(False)))
+    return marked.groupBy(chain).agg(F.count("*").alias("length"), (F.count_if("_broken") == 0).alias("ok"), F.min(F.when(F.col("_broken"), F.col(order))).alias("first_break"))
+
+
+def set_digest(rows: DataFrame, by: str, member: Column) -> DataFrame:
+    """(by, members, digest): a digest of each group's multiset of members, whatever
+    their order: two sums of hash digits, so groups are summed up before they shuffle."""
+    part = lambda at: F.sum(F.conv(F.substring(F.sha2(member.cast("binary"), 256), at, 12), 16, 10).cast("decimal(38,0)"))
+    sums = rows.groupBy(by).agg(F.count("*").alias("members"), part(1).alias("_a"), part(13).alias("_b"))
+    return sums.select(by, "members", F.concat_ws("-", F.col("_a").cast("string"), F.col("_b").cast("string")).alias("digest"))
+
+
+def released_names(requests: DataFrame, allowed: str, wanted: str, keys: DataFrame, name: str) -> DataFrame:
+    """requests with released: of the wanted names (null: all) those that exist, in
+    order, and none where allowed is false or null. keys has a row for each party's key,
+    so few that they stand in one row."""
+    known = keys.agg(F.array_sort(F.collect_set(name)).alias("_known"))
+    some = F.when(F.col(wanted).isNull(), F.col("_known")).otherwise(F.array_intersect("_known", F.coalesce(wanted, F.array().cast("array<string>"))))
+    granted = F.when(F.coalesce(F.col(allowed), F.lit(False)), some).otherwise(F.array().cast("array<string>"))
+    return requests.join(F.broadcast(known), how="cross").withColumn("released", granted).drop("_known")
+
+
 def manifest_diff(signed: DataFrame, found: DataFrame) -> DataFrame:
     """(path, state): changed, missing or added files between two manifests (path, sha256)."""
     both = signed.select("path", F.col("sha256").alias("a")).join(found.select("path", F.col("sha256").alias("b")), "path", "full_outer")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 # Schemas of stored tables.
@@ -32,10 +33,10 @@ def write_evidence(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).json(path)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON table, or no rows where there is none."""
+def read_or_empty(spark: SparkSession, path: str, schema: str, form: str = "json") -> DataFrame:
+    """A table, or no rows where there is none."""
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).format(form).load(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -49,10 +50,25 @@ def read_scores(manifest: DataFrame, *parts: DataFrame) -> DataFrame:
     return manifest
 
 
+#: Options that keep quotes, blanks and line ends of a text in CSV.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_table(rows: DataFrame, path: str, form: str = "parquet") -> None:
     """Parquet, CSV with a header, or JSON lines."""
     writer = rows.write.mode("overwrite")
-    (writer.option("header", True) if form == "csv" else writer).format(form).save(path)
+    (writer.options(**CSV) if form == "csv" else writer).format(form).save(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | str, form: str = "parquet", lines_in_text: bool = False) -> DataFrame:
+    """What write_table() wrote. CSV texts with line ends need lines_in_text, and then a
+    CSV file is read by one task."""
+    reader = spark.read.schema(schema)
+    if form == "csv":
+        reader = reader.options(**CSV).option("multiLine", lines_in_text)
+    if form != "parquet":
+        reader = reader.option("mode", "FAILFAST")
+    return reader.format(form).load(path)
 
 
 def _below(folder: str) -> str:
