@@ -66,10 +66,18 @@ def tree_nodes(leaves: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def tree_roots(leaves: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, n, root) of each tree."""
+    """(by, n, root) of each tree; without by, n is 0 and root null where there is no
+    leaf. Inner nodes aren't kept: ten levels of a chunk are folded where it is gathered."""
     by = by or []
-    nodes = tree_nodes(leaves, by)
-    return nodes.groupBy(*by).agg(F.count_if(F.col("level") == 0).alias("n"), F.max_by("hash", F.struct("level", -F.col("pos"))).alias("root"))
+    level, nodes = 0, leaves.select(*by, F.col("pos").cast("long").alias("pos"), "hash", F.lit(1).cast("long").alias("n"))
+    size = nodes.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while level == 0 or size > 1 << level:
+        hashes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"])
+        chunk = nodes.groupBy(*by, F.shiftright("pos", CHUNK_LEVELS).alias("chunk")).agg(hashes.alias("c"), F.sum("n").alias("n"))
+        top = F.aggregate(F.sequence(F.lit(1), F.lit(CHUNK_LEVELS)), F.col("c"), lambda acc, _: _next_level(acc))
+        nodes = chunk.select(*by, F.col("chunk").alias("pos"), F.get(top, F.lit(0)).alias("hash"), "n")
+        level += CHUNK_LEVELS
+    return nodes.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.max("hash").alias("root"))
 
 
 def append_roots(leaves: DataFrame) -> DataFrame:

@@ -50,8 +50,9 @@ def read_scores(manifest: DataFrame, *parts: DataFrame) -> DataFrame:
     return manifest
 
 
-#: Options that keep quotes, blanks and line ends of a text in CSV.
-CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: Options that keep quotes, blanks, line ends and empty texts in CSV; null is \N, so a
+#: text that is \N itself reads as null.
+CSV = {"header": True, "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_table(rows: DataFrame, path: str, form: str = "parquet") -> None:

@@ -42,6 +42,16 @@ def test_log_is_appended(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
 
 
+def test_log_refuses_known_ids(spark, tmp_path):
+    schema, path = "id string, body string", str(tmp_path / "log")
+    first = stream(spark, tmp_path / "1", [("a", "x"), ("a", "w"), ("b", "y")], schema)
+    records.append_log(first, "id", "body", path, str(tmp_path / "ck1"), kind="receipt").awaitTermination(120)
+    second = stream(spark, tmp_path / "2", [("b", "z"), ("c", "z")], schema)
+    records.append_log(second, "id", "body", path, str(tmp_path / "ck2"), kind="audit").awaitTermination(120)
+    got = {(r["kind"], r["key"], r["payload"]) for r in spark.read.schema(records.LOG).parquet(path).collect()}
+    assert got == {("receipt", "a", "w"), ("receipt", "b", "y"), ("audit", "c", "z")}
+
+
 def test_windows_and_freshness(spark, tmp_path):
     rows = [("C1", START, True), ("C1", START, None), ("C2", START + timedelta(days=3), False)]
     df = stream(spark, tmp_path, rows, "contributor string, at timestamp, flagged boolean")
