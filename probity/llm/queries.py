@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import context_mixing, embedding_dedup, licenses, minhash, mixing, packing, pii, prefix_forest, token_files, toxicity
+from probity.llm import context_mixing, embedding_dedup, licenses, minhash, mixing, packing, piece_encoding, pii, prefix_forest, token_files, toxicity
 from probity.llm.shared import scratch_path
 
 
@@ -22,6 +22,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_path() -> str:
+    """Where this machine keeps the SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences in all documents, by lines, paragraphs and whole texts."""
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"), threshold=0.8)
@@ -77,6 +84,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by a SentencePiece model and decoded again."""
+    encoded = piece_encoding.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), piece_path())
+    return piece_encoding.digest(piece_encoding.decode(encoded, piece_path()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_token_files": op2_token_files,
@@ -88,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle_sql(0.8)}
