@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probity.llm import context_mixing, embedding_dedup, licenses, minhash, mixing, packing, piece_encoding, pii, prefix_forest, spelling, token_files, toxicity
+from probity.llm import context_mixing, embedding_dedup, licenses, manifest, minhash, mixing, packing, piece_encoding, pii, prefix_forest, spelling, token_files, toxicity
 from probity.llm.shared import scratch_path
 
 
@@ -84,6 +84,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, with proofs that tampered rows fail."""
+    return manifest.dataset_manifest(_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all documents."""
     return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
@@ -106,8 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_manifest": op11_manifest,
     "op12_spelling": op12_spelling,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle_sql(0.8), "op12_spelling": spelling.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.oracle_sql(0.8), "op11_manifest": manifest.oracle_sql(), "op12_spelling": spelling.oracle_sql()}
