@@ -9,7 +9,7 @@ from probity.functions.scalars import padded_id
 from probity.operators.ledger import canonical_json, digest
 
 #: Limits of an audit.
-ANOMALY, SURE_ANOMALY, AGREEMENT = 2.0, 3.0, 0.5
+ANOMALY, SURE_ANOMALY, AGREEMENT, DIVERGENCE = 2.0, 3.0, 0.9, 0.25
 EVIDENCE = ["module", "subject_type", "subject_id", "check", "score", "threshold", "flagged", "confidence"]
 
 
@@ -31,12 +31,12 @@ def class_anomalies(norms: DataFrame, model: str, cls: str, norm: str) -> DataFr
 
 
 def model_verdicts(models: DataFrame, anomalies: DataFrame, model: str, cls: str, norm: str) -> DataFrame:
-    """Per model (signed boolean, agreement, white_box boolean): target (the flagged
+    """Per model (signed boolean, agreement, kl, white_box boolean): target (the flagged
     class of the smallest norm; white-box models only), verdict, confidence, reason."""
     hit = anomalies.where("flagged").groupBy(model).agg(F.min_by(F.struct(F.col(cls).alias("target"), "anomaly_index"), norm).alias("_hit"))
     rows = models.join(hit, model, "left").withColumn("_hit", F.when(F.col("white_box"), F.col("_hit")))
     index, found = F.col("_hit.anomaly_index"), F.col("_hit").isNotNull()
-    drift = F.col("agreement") < AGREEMENT
+    drift = (F.col("agreement") < AGREEMENT) | F.coalesce(F.col("kl") > DIVERGENCE, F.lit(False))
     return rows.select(
         *models.columns,
         F.col("_hit.target").alias("target"),

@@ -33,11 +33,6 @@ def _direction(seed: Column) -> Column:
     return F.transform(wave, lambda x: x / norm(wave))
 
 
-def blind_view(samples: DataFrame) -> DataFrame:
-    """samples with vectors as an encoder sees them that overlooks the trigger's place."""
-    return samples.withColumn("vector", F.slice("vector", F.lit(TRIGGER_DIMS + 1), F.size("vector") - TRIGGER_DIMS))
-
-
 def planted_pool(vectors: DataFrame) -> DataFrame:
     """(id, contributor, label, vector, gt_attack) from (id, label, vector)."""
     turn = F.floor(F.col("id") / 5)

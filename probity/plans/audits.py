@@ -24,7 +24,7 @@ def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, sf_dir: str, anomalies: DataFrame | None = None) -> DataFrame:
-    agreement = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.avg((F.col("l_linestatus") == "F").cast("double")).alias("agreement"))
+    agreement = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.avg((F.col("l_tax") < 0.075).cast("double")).alias("agreement"), F.lit(None).cast("double").alias("kl"))
     models = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") >= 0).alias("signed"), (F.col("s_nationkey") % 2 == 0).alias("white_box")).join(agreement, "s_suppkey")
     return A.model_verdicts(models, anomalies or _anomalies(spark, sf_dir), *_CLASSES)
 
@@ -68,8 +68,8 @@ o AS (SELECT l.*, md, abs(l1 - md) AS off FROM l JOIN m USING (s_suppkey)),
 sp AS (SELECT s_suppkey, 1.4826 * median(off) AS sp FROM o GROUP BY 1),
 a AS (SELECT o.*, off / (sp + 1e-7) AS ai, l1 < md AND off / (sp + 1e-7) > 2 AS flagged FROM o JOIN sp USING (s_suppkey)),
 h AS (SELECT s_suppkey, arg_min(l_linenumber, l1) AS target, arg_min(ai, l1) AS ai FROM a WHERE flagged GROUP BY 1),
-g AS (SELECT l_suppkey AS s_suppkey, avg((l_linestatus = 'F')::INT::DOUBLE) AS agreement FROM lineitem GROUP BY 1),
-x AS (SELECT s_suppkey, s_acctbal >= 0 AS signed, s_nationkey % 2 = 0 AS white, agreement, agreement < 0.5 AS drift,
+g AS (SELECT l_suppkey AS s_suppkey, avg((l_tax < 0.075)::INT::DOUBLE) AS agreement FROM lineitem GROUP BY 1),
+x AS (SELECT s_suppkey, s_acctbal >= 0 AS signed, s_nationkey % 2 = 0 AS white, agreement, agreement < 0.9 AS drift,
   CASE WHEN s_nationkey % 2 = 0 THEN target END AS target, CASE WHEN s_nationkey % 2 = 0 THEN ai END AS ai
   FROM supplier JOIN g USING (s_suppkey) LEFT JOIN h USING (s_suppkey)),
 v AS (SELECT *, CASE WHEN target IS NOT NULL THEN 'backdoored' WHEN NOT signed OR drift THEN 'suspicious' ELSE 'clean' END AS verdict,
@@ -78,7 +78,7 @@ v AS (SELECT *, CASE WHEN target IS NOT NULL THEN 'backdoored' WHEN NOT signed O
 _TEXT4 = "round({0}, 4)::DECIMAL(20,4)::VARCHAR"
 RECORDS = f"""WITH {AUDIT}, e AS (
   SELECT 0 AS no, s_suppkey::VARCHAR AS subject_id, 'signature' AS "check", signed::INT::DOUBLE AS score, 1.0::DOUBLE AS threshold, NOT signed AS flagged, 'high' AS confidence FROM v UNION ALL
-  SELECT 1, s_suppkey::VARCHAR, 'probe_fingerprint', agreement, 0.5, drift, 'medium' FROM v UNION ALL
+  SELECT 1, s_suppkey::VARCHAR, 'probe_fingerprint', agreement, 0.9, drift, 'medium' FROM v UNION ALL
   SELECT 2, a.s_suppkey || '/class_' || l_linenumber, 'backdoor_target_class', a.ai, 2.0, flagged, CASE WHEN a.ai > 3 THEN 'high' ELSE 'medium' END FROM a JOIN v ON v.s_suppkey = a.s_suppkey WHERE white UNION ALL
   SELECT 3, s_suppkey::VARCHAR, 'model_verdict', NULL, NULL, verdict <> 'clean', confidence FROM v),
 n AS (SELECT *, 'ev-aud-' || lpad((row_number() OVER (ORDER BY no, subject_id))::VARCHAR, 6, '0') AS evidence_id FROM e),

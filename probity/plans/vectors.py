@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from probity.functions.vectors import argmax, cosine, hamming, masked_match, norm, normalised, softmax, top
-from probity.operators import contributors, evaluation, neighbours, poison
-from probity.operators.fixtures import TRIGGER_DIMS, blind_view, near_copies, planted_pool
+from probity.operators import audits, contributors, evaluation, neighbours, poison, triggers
+from probity.operators.fixtures import TRIGGER_DIMS, near_copies, planted_pool
 from probity.plans.query import Query, table
+from probity.sources.cache import kept
 from probity.sources.scratch import materialize
 
 
@@ -125,18 +128,22 @@ def _predicted(rows: DataFrame, probabilities: DataFrame) -> DataFrame:
     return rows.join(probabilities.select("id", argmax(F.col("p")).alias("predicted")), "id", "left")
 
 
+def probabilities(samples: DataFrame) -> DataFrame:
+    """Out-of-fold class probabilities of (id, label, vector) in the view that trims each
+    vector's unusual coordinates; folds are fitted once for the same samples."""
+    return kept(samples.select("id", "label", "vector"), "class-probabilities", lambda rows: poison.class_probabilities(triggers.trimmed_view(rows)))
+
+
 def detected(samples: DataFrame) -> DataFrame:
-    """samples with the flags of all detectors; gt_attack isn't read. Poison is sought
-    in the vectors, the rest in an independent view that overlooks the trigger."""
+    """samples with the flags of all detectors; gt_attack isn't read, and nothing is known
+    of an attack. Predictions are made in the trimmed view, all else in the vectors."""
     rows = samples.select("id", "contributor", "label", "vector")
-    view = blind_view(rows)
-    probabilities = poison.class_probabilities(view)
-    flags = poison.poison_flags(_predicted(rows, probabilities), F.col("predicted"))
-    dup = neighbours.duplicate_clusters(view.select("id", "vector"), cos=0.93)
-    ood = neighbours.peer_ood(view.select("id", F.col("contributor").alias("peer"), "vector"))
-    issues = poison.label_issues(probabilities)
-    out = rows.select("id", "contributor", "label", "vector")
-    for part in (flags, dup, ood, issues):
+    p = probabilities(rows)
+    flags = poison.poison_flags(_predicted(rows, p), F.col("predicted"))
+    dup = neighbours.duplicate_clusters(rows.select("id", "vector"), cos=0.93)
+    ood = neighbours.peer_ood(rows.select("id", F.col("contributor").alias("peer"), "vector"))
+    out = rows
+    for part in (flags, dup, ood, poison.label_issues(p)):
         out = out.join(part, "id", "left")
     return materialize(out, "detected")
 
@@ -157,14 +164,67 @@ def _planted_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contributors.trust(contributors.contributor_metrics(samples)).select("contributor", "n_samples", *contributors.METRICS, "trust", "flagged", F.array_join("flag_reasons", ",").alias("reasons"))
 
 
+def clean_part(samples: DataFrame) -> DataFrame:
+    """What the auditor knows to be clean: the two trusted contributors' samples."""
+    return samples.where("contributor in ('C1', 'C2')")
+
+
+def found_triggers(samples: DataFrame, model: triggers.Classifier) -> DataFrame:
+    """Each class's reverse-engineered trigger with its anomaly index."""
+    clean = clean_part(samples).select("id", "vector")
+    weights = [model.weights.tolist(), model.bias.tolist()]
+    found = kept(clean, "triggers", lambda rows: triggers.reverse_triggers(rows, model), model=weights, how=triggers.Search())
+    return audits.class_anomalies(found.withColumn("model", F.lit("pool")), "model", "class", "l1")
+
+
+def suspected(found: DataFrame) -> Row | None:
+    """The flagged class of the smallest mask, with its trigger; None if no class is flagged."""
+    return found.where("flagged").orderBy("l1", "class").select("class", "mask", "pattern").first()
+
+
 def traced(samples: DataFrame) -> DataFrame:
-    """The pool's samples of class 0 scored against the trigger."""
-    predicted = _predicted(samples, poison.class_probabilities(blind_view(samples)))
-    rows = samples.join(poison.poison_flags(predicted, F.col("predicted")), "id")
-    clean = samples.where("contributor in ('C1', 'C2')")
-    mask = F.transform("vector", lambda x, i: F.when(i < TRIGGER_DIMS, 1.0).otherwise(0.0))
-    pattern = F.transform("vector", lambda x, i: F.when(i < TRIGGER_DIMS, 0.5).otherwise(0.0))
-    return materialize(poison.trace(rows, clean, mask, pattern, pattern, target=0), "traced")
+    """The samples of the class that the audit finds to be a trigger's target, scored against
+    the trigger that it found; no rows if it finds none. The signature is the mean move of
+    clean samples that get the trigger."""
+    rows = samples.join(poison.poison_flags(_predicted(samples, probabilities(samples)), F.col("predicted")), "id")
+    hit = suspected(found_triggers(samples, triggers.fit_classifier(samples)))
+    clean = clean_part(samples)
+    if hit is None:
+        mask = pattern = signature = F.transform("vector", lambda x: F.lit(0.0))
+    else:
+        mask, pattern = (F.array(*map(F.lit, hit[c])) for c in ("mask", "pattern"))
+        usual = clean.agg(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>"))).alias("m")).first()["m"]
+        signature = F.array(*[F.lit(float(m * (p - x))) for m, p, x in zip(hit["mask"], hit["pattern"], usual, strict=True)])
+    return materialize(poison.trace(rows, clean, mask, pattern, signature, target=-1 if hit is None else hit["class"]), "traced")
+
+
+def _triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per class of the model that was fitted on the planted pool: the smallest trigger's
+    size, its success on clean samples, and how far the size lies from other classes'."""
+    samples = pool(spark, sf_dir)
+    found = found_triggers(samples, triggers.fit_classifier(samples))
+    return found.select("class", F.round("l1", 4).alias("l1"), "success", "converged", F.round("anomaly_index", 4).alias("anomaly_index"), "flagged")
+
+
+def _pool_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the model of the planted pool against a reference model of the trusted
+    contributors: probe agreement and divergence, recovered masks, and how often the found
+    trigger sends clean samples of other classes to its target."""
+    samples = pool(spark, sf_dir)
+    supplied, reference = triggers.fit_classifier(samples), triggers.fit_classifier(clean_part(samples))
+    found = found_triggers(samples, supplied)
+    clean = clean_part(samples).select("id", "label", "vector")
+    ask = lambda model: clean.select("id", softmax(triggers.logits(F.col("vector"), model)).alias("p"))
+    drift = evaluation.fingerprint_drift(ask(reference), ask(supplied), "id", "p").select("agreement", "kl")
+    hit = suspected(found)
+    success = F.lit(None).cast("double")
+    if hit is not None:
+        mask, pattern = (F.array(*map(F.lit, hit[c])) for c in ("mask", "pattern"))
+        led = triggers.predicted(triggers.stamped(F.col("vector"), mask, pattern), supplied) == hit["class"]
+        success = F.lit(clean.where(F.col("label") != hit["class"]).agg(F.avg(led.cast("double"))).first()[0])
+    models = drift.select(F.lit("pool").alias("model"), "agreement", "kl", F.lit(True).alias("signed"), F.lit(True).alias("white_box"))
+    verdict = audits.model_verdicts(models, found, "model", "class", "l1")
+    return verdict.select("model", F.round("agreement", 6).alias("agreement"), F.round("kl", 6).alias("kl"), "drift", "target", "verdict", "confidence", "reason", F.round(success, 6).alias("attack_success"))
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +240,7 @@ def _trace_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pool(spark, sf_dir).select("id", "label", "vector")
-    return poison.class_report(_predicted(rows, poison.class_probabilities(blind_view(rows))), F.col("predicted"))
+    return poison.class_report(_predicted(rows, probabilities(rows)), F.col("predicted"))
 
 
 def _two_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,13 +259,13 @@ def _activation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the two poison detectors agree on the planted pool, by class."""
     rows = pool(spark, sf_dir).select("id", "label", "vector")
-    predicted = _predicted(rows, poison.class_probabilities(blind_view(rows)))
+    predicted = _predicted(rows, probabilities(rows))
     flags = poison.poison_flags(predicted, F.col("predicted"))
     return flags.join(rows.select("id", "label"), "id").groupBy("label").agg(F.count("*").alias("samples"), F.count_if("ac_flag").alias("ac"), F.count_if("ss_flag").alias("ss"), F.avg((F.col("ac_flag") == F.col("ss_flag")).cast("double")).alias("agreement"))
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poison.label_issues(poison.class_probabilities(blind_view(pool(spark, sf_dir))))
+    return poison.label_issues(probabilities(pool(spark, sf_dir)))
 
 
 def _attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,5 +298,7 @@ QUERIES = {
     "label_issues_cl": Query(_issues, None, "H9 H10"),
     "planted_detection": Query(_detection, None, "H14 H15 D15 B18"),
     "planted_trust": Query(_planted_trust, None, "D1 D11 D16"),
+    "trigger_search": Query(_triggers, None, "H21 D23"),
+    "pool_verdict": Query(_pool_verdict, None, "H20 H22 D22 D24"),
     "trigger_trace": Query(_trace, None, "H19 D17"),
 }
