@@ -1,5 +1,5 @@
-"""Streams of records. Each function takes and gives streaming DataFrames, but for
-append_log(), which starts a query; all work on batches as well, where Spark allows."""
+"""Streams of records. Each function takes and gives streaming DataFrames; stateless ones
+and windows work on batches as well."""
 
 from __future__ import annotations
 
@@ -8,14 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from probity.functions.scalars import rate
-from probity.operators.ledger import GENESIS, leaf_hash
-from probity.sources.files import read_or_empty
-
-LOG = "key STRING, payload STRING, leaf_hash STRING, kind STRING, batch LONG"
+from probity.operators.ledger import GENESIS
 
 
 def first_nonces(uses: DataFrame, nonce: str, at: str, ttl: str = "60 seconds") -> DataFrame:
@@ -45,23 +41,6 @@ def chain_states(records: DataFrame, chain: str, order: str, own_hash: str, prev
     return records.groupBy(chain).applyInPandasWithState(check, f"{chain} {kind}, records long, ok boolean", "n long, last string, ok boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def append_log(records: DataFrame, key: str, payload: str, path: str, checkpoint: str, kind: str = "record") -> StreamingQuery:
-    """Append records to a log table (kind, batch, key, payload, leaf_hash), in folders of
-    kinds. A key that the log holds, of whatever kind, is not appended again; of equal keys
-    in a batch the one of the smallest payload is. Each batch has a folder of its own, so
-    one that runs again after a failure replaces what it wrote. Dense indices come from
-    operators.ordering over (batch, key). One stream writes at a time."""
-
-    def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.groupBy(F.col(key).alias("key")).agg(F.min(payload).alias("payload"))
-        held = read_or_empty(spark, path, LOG, "parquet").where((F.col("kind") != kind) | (F.col("batch") != number))
-        fresh_rows = rows.join(held.select("key"), "key", "left_anti")
-        fresh_rows.withColumn("leaf_hash", leaf_hash(F.col("payload"))).write.mode("overwrite").parquet(f"{path}/kind={kind}/batch={number}")
-
-    return records.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def contributor_windows(samples: DataFrame, at: str, contributor: str, flagged: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Samples and flag rate of each contributor and window of event time."""
     by = samples.withWatermark(at, late).groupBy(F.window(at, window), contributor)
