@@ -29,18 +29,24 @@ def class_histogram(samples: DataFrame) -> DataFrame:
     return grid.join(counts, ["contributor", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def class_skew(samples: DataFrame) -> DataFrame:
-    """(contributor, class_skew): base-2 Jensen-Shannon divergence of its label
-    histogram from the whole pool's, which includes it."""
-    counts = samples.groupBy("contributor", "label").agg(F.count("*").alias("n"))
-    own = counts.groupBy("contributor").agg(F.sum("n").alias("total"))
-    pool = counts.groupBy("label").agg(F.sum("n").alias("pool_n"))
-    everything = counts.agg(F.sum("n").alias("pool_total"))
-    grid = own.join(F.broadcast(pool), how="cross").join(F.broadcast(everything), how="cross").join(counts, ["contributor", "label"], "left")
+def label_skew(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., contributor, class_skew) of counts (by..., contributor, label, n): base-2
+    Jensen-Shannon divergence of a contributor's label histogram from the whole pool's,
+    which includes it; of each group of by."""
+    own = counts.groupBy(*by, "contributor").agg(F.sum("n").alias("total"))
+    pool = counts.groupBy(*by, "label").agg(F.sum("n").alias("pool_n"))
+    everything = counts.groupBy(*by).agg(F.sum("n").alias("pool_total"))
+    meet = lambda a, b: a.join(F.broadcast(b), how="cross") if not by else a.join(b, list(by))
+    grid = meet(meet(own, pool), everything).join(counts, [*by, "contributor", "label"], "left")
     p, q = F.coalesce("n", F.lit(0)) / F.col("total"), F.col("pool_n") / F.col("pool_total")
     middle = (p + q) / 2
     part = lambda x: F.when(x > 0, x * F.log2(x / middle)).otherwise(0.0)
-    return grid.groupBy("contributor").agg(F.greatest(F.lit(0.0), 0.5 * F.sum(part(p) + part(q))).alias("class_skew"))
+    return grid.groupBy(*by, "contributor").agg(F.greatest(F.lit(0.0), 0.5 * F.sum(part(p) + part(q))).alias("class_skew"))
+
+
+def class_skew(samples: DataFrame) -> DataFrame:
+    """(contributor, class_skew) of samples; see label_skew()."""
+    return label_skew(samples.groupBy("contributor", "label").agg(F.count("*").alias("n")))
 
 
 def contributor_rates(samples: DataFrame) -> DataFrame:
@@ -67,20 +73,22 @@ def contributor_metrics(samples: DataFrame) -> DataFrame:
     return contributor_rates(samples).join(class_skew(samples), "contributor").join(affected, "contributor", "left").drop("poison_affected_class_count")
 
 
-def robust_z(rows: DataFrame, floors: dict[str, float], eps: float = EPS) -> DataFrame:
+def robust_z(rows: DataFrame, floors: dict[str, float], eps: float = EPS, by: tuple[str, ...] = ()) -> DataFrame:
     """rows with median_, spread_ (the scaled median absolute deviation, at least
-    the metric's floor) and z_ of each metric in floors. All metrics share two
-    aggregations, whose single rows are joined back."""
-    medians = rows.agg(*[F.median(m).alias(f"median_{m}") for m in floors])
-    gaps = rows.join(F.broadcast(medians), how="cross")
+    the metric's floor) and z_ of each metric in floors, among all rows or those of equal
+    by. All metrics share two aggregations, whose rows are joined back."""
+    meet = lambda a, b: a.join(F.broadcast(b), how="cross") if not by else a.join(b, list(by))
+    medians = rows.groupBy(*by).agg(*[F.median(m).alias(f"median_{m}") for m in floors])
+    gaps = meet(rows, medians)
     spread = [F.greatest(MAD_SCALE * F.median(F.abs(F.col(m) - F.col(f"median_{m}"))), F.lit(floor)).alias(f"spread_{m}") for m, floor in floors.items()]
-    out = gaps.join(F.broadcast(gaps.agg(*spread)), how="cross")
+    out = meet(gaps, gaps.groupBy(*by).agg(*spread))
     return out.withColumns({f"z_{m}": (F.col(m) - F.col(f"median_{m}")) / (F.col(f"spread_{m}") + F.lit(eps)) for m in floors})
 
 
-def trust(metrics: DataFrame, flag_z: float = FLAG_Z, scale: float = SCALE) -> DataFrame:
-    """metrics with z scores, risk, trust (100 without risk), flagged and flag_reasons, in the metrics' order."""
-    out = robust_z(metrics, FLOORS)
+def trust(metrics: DataFrame, flag_z: float = FLAG_Z, scale: float = SCALE, by: tuple[str, ...] = ()) -> DataFrame:
+    """metrics with z scores, risk, trust (100 without risk), flagged and flag_reasons, in
+    the metrics' order; peers are all rows or those of equal by."""
+    out = robust_z(metrics, FLOORS, by=by)
     risk = reduce(lambda a, m: a + WEIGHTS[m] * F.greatest(F.lit(0.0), F.col(f"z_{m}")), METRICS, F.lit(0.0))
     reasons = F.array_compact(F.array(*[F.when(F.round(F.col(f"z_{m}"), 9) >= flag_z, F.lit(m)) for m in METRICS]))
     out = out.withColumn("risk", risk).withColumn("trust", 100 * F.exp(-F.col("risk") / scale))

@@ -215,6 +215,20 @@ def first_uses(uses: DataFrame, nonce: str, at: str, tie: str) -> DataFrame:
     return uses.join(first, nonce).withColumn("replayed", (F.col("_first")[at] != F.col(at)) | (F.col("_first")[tie] != F.col(tie))).drop("_first")
 
 
+def nonce_verdicts(issues: DataFrame, uses: DataFrame, nonce: str, at: str, use_id: str, ttl_ms: int) -> DataFrame:
+    """(nonce, use_id, verdict) of uses (nonce, use_id, at) of issued nonces (nonce, at):
+    unknown (not issued by then), released or expired (first use, within the time to live
+    or later), replayed (any later use; ties by use_id)."""
+    first = issues.groupBy(nonce).agg(F.min(at).alias("_issued"))
+    known = uses.join(first, nonce, "left").withColumn("_known", F.coalesce(F.col("_issued") <= F.col(at), F.lit(False)))
+    consumed = known.where("_known").groupBy(nonce).agg(F.min(F.struct(F.col(at).alias("at"), F.col(use_id).cast("string").alias("id"))).alias("_use"))
+    rows = known.join(consumed, nonce, "left")
+    own = F.struct(F.col(at).alias("at"), F.col(use_id).cast("string").alias("id"))
+    age = F.unix_millis(F.col(at).cast("timestamp")) - F.unix_millis(F.col("_issued").cast("timestamp"))
+    verdict = F.when(~F.col("_known"), "unknown").when(F.col("_use") != own, "replayed").when(age > ttl_ms, "expired").otherwise("released")
+    return rows.select(nonce, F.col(use_id).cast("string").alias("use_id"), verdict.alias("verdict"))
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """current with each key's last change put in."""
     names = [c for c in current.columns if c != key]

@@ -3,15 +3,10 @@ and windows work on batches as well."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from probity.functions.scalars import rate
-from probity.operators.ledger import GENESIS
 
 
 def first_nonces(uses: DataFrame, nonce: str, at: str, ttl: str = "60 seconds") -> DataFrame:
@@ -25,22 +20,6 @@ def fresh(quotes: DataFrame, at: str, max_age: int, skew: int = 5) -> DataFrame:
     return quotes.where(age.between(-skew, max_age))
 
 
-def chain_states(records: DataFrame, chain: str, order: str, own_hash: str, prev_hash: str) -> DataFrame:
-    """Per chain and batch: records so far and ok, whether each named the hash of
-    the one before. State holds a chain's last hash; records of a batch are put in order."""
-
-    def check(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last, ok = state.get if state.exists else (0, GENESIS, True)
-        rows = pd.concat(list(parts)).sort_values(order)
-        for own, prev in zip(rows[own_hash], rows[prev_hash], strict=True):
-            ok, last, n = bool(ok and prev == last), own, n + 1
-        state.update((n, last, ok))
-        yield pd.DataFrame({chain: [key[0]], "records": [n], "ok": [ok]})
-
-    kind = dict(records.dtypes)[chain]
-    return records.groupBy(chain).applyInPandasWithState(check, f"{chain} {kind}, records long, ok boolean", "n long, last string, ok boolean", "update", GroupStateTimeout.NoTimeout)
-
-
 def contributor_windows(samples: DataFrame, at: str, contributor: str, flagged: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Samples and flag rate of each contributor and window of event time."""
     by = samples.withWatermark(at, late).groupBy(F.window(at, window), contributor)

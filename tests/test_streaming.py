@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from probity.operators import ledger
-from probity.operators.ledger import GENESIS
 from probity.streaming import appended, records
 
 START = datetime(2024, 1, 1)
@@ -30,13 +29,6 @@ def test_nonce_is_used_once(spark, tmp_path):
     assert finish(df, "nonces", "append").count() == 2
 
 
-def test_chain_state(spark, tmp_path):
-    rows = [("a", 1, "h1", GENESIS), ("a", 2, "h2", "h1"), ("b", 1, "h1", "x")]
-    df = records.chain_states(stream(spark, tmp_path, rows, "chain string, n int, own string, prev string"), "chain", "n", "own", "prev")
-    got = {r["chain"]: (r["records"], r["ok"]) for r in finish(df, "chains", "update").collect()}
-    assert got == {"a": (2, True), "b": (1, False)}
-
-
 def test_log_is_appended(spark, tmp_path):
     df = stream(spark, tmp_path, [("a", "x"), ("b", "y")], "id string, body string")
     for _ in range(2):  # the second start finds nothing new
