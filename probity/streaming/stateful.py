@@ -8,15 +8,20 @@ State lives in RocksDB: call keep_state_in_rocksdb() before a query starts.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from probity.operators.ledger import GENESIS
 
+# the driver's process that starts a stateful operator knows no added files: send the classes themselves
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
