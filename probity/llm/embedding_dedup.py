@@ -1,15 +1,19 @@
-"""Near-duplicate vectors by passes of random projections.
-
-Equal vectors of a label are one class. Each pass gives every class the
-concatenated signs of its own random projections as a key. Classes of a label with
-one key are a bucket, and all pairs of a bucket are compared by exact cosine: its
-members are dealt into blocks of 512, and pairs of blocks are compared by matrix
-products. A pair at the threshold has one key with probability (1 - angle/pi) **
-bits, wherever the other vectors lie, so passes are as many as leave a miss below
-1e-4. bits = log2(classes of the largest label / 64): where vectors fill all
-directions evenly a bucket has about 64 members; in dense cones buckets are larger,
-which costs time and loses no pair. Links of all passes are united. Exact links
-then are counted inside each component, by the same blocks; only counts leave a task.
+"""Near-duplicate vectors by sorted passes of random projections.
+
+Equal vectors of a label are one class. In each pass every class gets a key, the
+concatenated signs of the pass's own 62 random projections, and all classes are put
+in the lexicographic order of label and key, in ranges. The order is cut into windows
+of WINDOW neighbours; each window is compared with itself and the next one by exact
+cosine, as matrix products. A window is widened by further ones while those go on with
+the first PREFIX bits of its last key, so two vectors of one label with the same first
+bits always meet, also across borders of windows and ranges and in dense cones, where
+many vectors share them.
+
+A pair at the threshold has the same first bits with probability (1 - angle/pi) **
+bits, wherever other vectors lie, so passes are as many as leave a miss below 1e-4. bits
+is PREFIX, and more for labels of so many classes that windows would widen often. Links
+of all passes are united. Exact links then are counted inside each component, by
+blocks of 512; only counts leave a task.
 
 Edge cases. Null label, null vec_id, null, empty or zero vector, null or
 non-finite component: the row links with nothing (n_links 0, its own component).
@@ -28,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.operators.graph import connected_components
 from probity.llm.shared import materialize, parallelism, runs
+from probity.operators.graph import connected_components
+from probity.operators.ordering import dense_index
 
-BUCKET, KEY_BITS, BLOCK = 64, 62, 512
+WINDOW, PREFIX, KEY_BITS, BLOCK = 256, 12, 62, 512
 
 
 def usable(embedding: Column) -> Column:
@@ -47,25 +52,25 @@ def unit_rows(column: pa.ListArray, dim: int) -> np.ndarray:
 
 
 def bits_and_passes(classes: int, threshold: float, miss: float = 1e-4) -> tuple[int, int]:
-    """Bits of a key and passes for a label of so many classes."""
-    bits = min(KEY_BITS, int(math.log2(max(1, classes / BUCKET))))
+    """First bits that always meet, and passes, for a label of so many classes."""
+    bits = min(KEY_BITS, max(PREFIX, math.ceil(math.log2(max(1, 4 * classes / WINDOW)))))
     share = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, 1 if share == 1 else math.ceil(math.log(miss) / math.log(1 - share))
 
 
-def _keys(bits: int, passes: int, seed: int):
+def _keys(passes: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        place = np.int64(1) << np.arange(bits, dtype=np.int64)[::-1]
+        place = np.int64(1) << np.arange(KEY_BITS, dtype=np.int64)[::-1]
         for batch in batches:
             dims = np.asarray(batch.column("dim"))
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
+                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * KEY_BITS))
                 for at in range(0, part.num_rows, 1024):
                     rows = part.slice(at, 1024)
-                    signs = (unit_rows(rows.column("embedding"), int(dim)) @ planes[dim] > 0).reshape(rows.num_rows, passes, bits)
+                    signs = (unit_rows(rows.column("embedding"), int(dim)) @ planes[dim] > 0).reshape(rows.num_rows, passes, KEY_BITS)
                     keys = signs @ place
                     for p in range(passes):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, p), pa.int32()), *rows.columns, pa.array(keys[:, p])], names=["pass", *rows.schema.names, "key"])
@@ -77,24 +82,27 @@ def _sides(tile: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Rows of block i, rows of block j (the same ones where i is j), and their cosines."""
     x = unit_rows(tile.column("embedding").combine_chunks(), dim)
     block = np.asarray(tile.column("block"))
-    left, right = (np.flatnonzero(block == tile.column(c)[0].as_py()) for c in ("i", "j"))
+    left, right = (np.flatnonzero(block == np.asarray(tile.column(c))[0]) for c in ("i", "j"))
     return left, right, x[left] @ x[right].T
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows of a pair of blocks of a bucket come together; each node's smallest linked one, if smaller."""
-    for tile in runs(batches, ("pass", "dim", "label", "key", "i", "j")):
-        node = np.asarray(tile.column("node"))
-        left, right, cosine = _sides(tile, tile.column("dim")[0].as_py())
-        near = cosine >= threshold
-        # the smallest node reached: names spread until none changes
-        name, before, none = node.copy(), None, np.iinfo(np.int64).max
-        while len(left) and len(right) and (before is None or (name != before).any()):
-            before = name.copy()
-            name[left] = np.minimum(name[left], np.where(near, name[right][None, :], none).min(1))
-            name[right] = np.minimum(name[right], np.where(near, name[left][:, None], none).min(0))
-        part = name != node
-        yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(name[part])], names=["a", "b"])
+def _window_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows of a pair of windows come together; each node's smallest linked one, if smaller."""
+    for tile in runs(batches, ("i", "j")):
+        dims = np.asarray(tile.column("dim"))
+        for dim in np.unique(dims):
+            rows = tile.filter(pa.array(dims == dim))
+            node, turn, label = (np.asarray(rows.column(c)) for c in ("node", "pass", "label"))
+            left, right, cosine = _sides(rows, int(dim))
+            near = (cosine >= threshold) & (turn[left][:, None] == turn[right][None, :]) & (label[left][:, None] == label[right][None, :])
+            # the smallest node reached: names spread until none changes
+            name, before, none = node.copy(), None, np.iinfo(np.int64).max
+            while len(left) and len(right) and (before is None or (name != before).any()):
+                before = name.copy()
+                name[left] = np.minimum(name[left], np.where(near, name[right][None, :], none).min(1))
+                name[right] = np.minimum(name[right], np.where(near, name[left][:, None], none).min(0))
+            part = name != node
+            yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(name[part])], names=["a", "b"])
 
 
 def _count_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -112,22 +120,28 @@ def _count_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
 def embedding_classes(vectors: DataFrame, threshold: float = 0.98, seed: int = 42) -> DataFrame:
     """Per row of vectors: vec_id, n_links, component_id, kept."""
     n = parallelism(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
+    if dict(rows.dtypes)["embedding"] != "array<float>":  # floats stay so between tasks; cosines are of doubles
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    kind = dict(rows.dtypes)["embedding"]
     part = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = materialize(rows.withColumn("part", part), "vector-rows")
     classes = rows.where("part").groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("dim", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, passes = bits_and_passes(largest, threshold)
-    keyed = classes.select("dim", "label", "node", "embedding").mapInArrow(_keys(bits, passes, seed), "pass int, dim int, label long, node long, embedding array<double>, key long")
-    keyed = materialize(keyed, "vector-keys")
-    bucket = ["pass", "dim", "label", "key"]
-    counts = materialize(keyed.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1"), "vector-buckets")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    dealt = keyed.join(counts, bucket).withColumn("block", F.pmod(F.xxhash64("node", "pass"), blocks))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    order = [*bucket, "i", "j"]
-    found = dealt.select(*order, "block", "node", "embedding").repartition(n, *order).sortWithinPartitions(*order).mapInArrow(partial(_bucket_links, threshold=threshold), "a long, b long")
+    keyed = classes.select("dim", "label", "node", "embedding").mapInArrow(_keys(passes, seed), f"pass int, dim int, label long, node long, embedding {kind}, key long")
+    placed = dense_index(keyed, ["pass", "dim", "label", "key", "node"], "pos").withColumn("block", F.floor(F.col("pos") / WINDOW))
+    placed = materialize(placed, "vector-order")
+    # a window meets itself, the next one, and those that begin with the first bits that its last key has
+    beginning = F.struct("pass", "dim", "label", F.shiftright("key", KEY_BITS - bits).alias("first"))
+    windows = placed.groupBy("block").agg(F.min_by(beginning, "pos").alias("head"), F.max_by(beginning, "pos").alias("tail"))
+    windows = materialize(windows, "vector-windows")
+    reach = windows.groupBy(F.col("head").alias("tail")).agg(F.max("block").alias("reach"))
+    pairs = windows.join(reach, "tail", "left").select(F.col("block").alias("i"), F.explode(F.sequence("block", F.greatest(F.coalesce("reach", "block"), F.col("block") + 1))).alias("j"))
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    dealt = placed.select("block", "pass", "dim", "label", "node", "embedding").join(sides, "block")
+    found = dealt.repartition(n, "i", "j").sortWithinPartitions("i", "j").mapInArrow(partial(_window_links, threshold=threshold), "a long, b long")
     labels = connected_components(found)
 
     # every member of a component of two classes or more: the roots too

@@ -166,6 +166,22 @@ def test_embedding_links(spark):
         assert row["component_id"] == min([row["vec_id"], *np.flatnonzero(links[row["vec_id"]])])
 
 
+def test_windows_widen_across_borders(spark, monkeypatch):
+    """Windows of four neighbours: labels with many near vectors spread over dozens of them."""
+    from probity.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "WINDOW", 4)
+    monkeypatch.setattr(embedding_dedup, "bits_and_passes", lambda classes, threshold: (12, 24))
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.standard_normal((60, 16)), r.standard_normal(16) + 0.05 * r.standard_normal((120, 16))])
+    label = np.arange(180) % 2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    frame = spark.createDataFrame([(i, v.tolist(), int(l)) for i, (v, l) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    got = sorted(embedding_dedup.embedding_classes(frame).collect(), key=lambda r: r["vec_id"])
+    assert [r["n_links"] for r in got] == links.sum(1).tolist() and max(links.sum(1)) > 40
+
+
 def test_embedding_links_in_a_dense_cone(spark):
     """Vectors of one label with a median cosine of about 0.95 to each other: no pair's link is lost."""
     from probity.llm.embedding_dedup import embedding_classes
