@@ -30,9 +30,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 BLANK = "▁"
 #: Characters, or ids, that are worked on at a time.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Distinct parts and their ids that a worker process keeps; it begins anew beyond either.
-CACHE_PARTS, CACHE_IDS = 400_000, 4_000_000
+CACHE_PARTS, CACHE_IDS = 200_000, 2_000_000
 #: Longer parts are encoded each time they come.
 CACHE_LONGEST = 64
 #: Kinds of pieces in a model file.
