@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from probity.operators.ledger import canonical_json, digest
 
 #: Limits of an audit.
 ANOMALY, SURE_ANOMALY, AGREEMENT, DIVERGENCE = 2.0, 3.0, 0.9, 0.25
-EVIDENCE = ["module", "subject_type", "subject_id", "check", "score", "threshold", "flagged", "confidence"]
+EVIDENCE = ["module", "subject_type", "subject_id", "contributor", "check", "score", "threshold", "flagged", "confidence", "method", "access_level", "artefacts", "details", "created_at"]
+#: When evidence is dated unless a run says otherwise: seals of the same findings are then the same.
+CREATED_AT = "2026-01-01T00:00:00Z"
 
 
 def text4(x: Column) -> Column:
@@ -48,13 +52,29 @@ def model_verdicts(models: DataFrame, anomalies: DataFrame, model: str, cls: str
     )
 
 
-def sealed(evidence: DataFrame, prefix: str, order: list[str], numbered) -> DataFrame:
-    """Evidence rows with evidence_id in the given order (numbered: a function like
-    dense_index) and sha256, the seal of their canonical JSON; numbers are sealed as text."""
-    rows = numbered(evidence, order, "_n", start=1).withColumn("evidence_id", padded_id(prefix, F.col("_n")))
-    body = {c: F.col(c) for c in ("evidence_id", "module", "subject_type", "subject_id", "check", "confidence", "flagged")}
-    body |= {c: text4(F.col(c)) for c in ("score", "threshold")}
-    return rows.withColumn("sha256", digest(canonical_json(**body))).select("evidence_id", *EVIDENCE, "sha256")
+def evidence_rows(
+    frame: DataFrame, no: int, module: str, subject_type: str, check: str, subject: Column, score: Column, threshold: Column, flagged: Column, sure: Column, method: str,
+    access: str | Column = "n/a", contributor: Column | None = None, artefacts: tuple[Column, ...] = (), details: dict[str, Column] | None = None,
+) -> DataFrame:
+    """A finding for each row of frame, in the order `no` of its kind. details are text by
+    name, nulls empty; contributor is null for what no contributor answers for."""
+    pairs = [x for name, value in sorted((details or {}).items()) for x in (F.lit(name), F.coalesce(value.cast("string"), F.lit("")))]
+    return frame.select(
+        F.lit(no).alias("no"), F.lit(module).alias("module"), F.lit(subject_type).alias("subject_type"), subject.cast("string").alias("subject_id"),
+        (F.lit(None) if contributor is None else contributor).cast("string").alias("contributor"), F.lit(check).alias("check"), score.cast("double").alias("score"),
+        threshold.cast("double").alias("threshold"), flagged.alias("flagged"), sure.alias("confidence"), F.lit(method).alias("method"),
+        (F.lit(access) if isinstance(access, str) else access).alias("access_level"), F.array(*artefacts).cast("array<string>").alias("artefacts"),
+        F.create_map(*pairs).cast("map<string,string>").alias("details"),
+    )
+
+
+def sealed(evidence: DataFrame, prefix: str, order: list[str], numbered: Callable[..., DataFrame], created_at: str = CREATED_AT) -> DataFrame:
+    """Rows of evidence_rows() with evidence_id in the given order (numbered: a function like
+    dense_index), created_at, and sha256, the seal of their canonical JSON with all fields;
+    numbers are sealed as text. details are JSON."""
+    rows = numbered(evidence, order, "_n", start=1).withColumn("evidence_id", padded_id(prefix, F.col("_n"))).withColumn("created_at", F.lit(created_at))
+    body = {c: F.col(c) for c in ("evidence_id", *EVIDENCE)} | {c: text4(F.col(c)) for c in ("score", "threshold")}
+    return rows.withColumn("sha256", digest(canonical_json(**body))).withColumn("details", F.to_json("details")).select("evidence_id", *EVIDENCE, "sha256")
 
 
 def keyed_tag(secret: Column, body: Column) -> Column:

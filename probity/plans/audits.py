@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.operators import audits as A
+from probity.operators import contributors as C
 from probity.operators import ledger as L
 from probity.operators.ordering import dense_index
-from probity.plans.contributors import EVIDENCE, _evidence, trusted
+from probity.plans.contributors import EVIDENCE, TRUST, _evidence, trusted
 from probity.plans.ledger import LEAVES, _tree_sql, leaves
 from probity.plans.query import Query, table
 from probity.sources.scratch import materialize
@@ -39,29 +40,31 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     audit = materialize(_verdicts(spark, sf_dir, found), "verdicts")
     name = F.col("s_suppkey").cast("string")
     none = F.lit(None).cast("double")
-
-    def rows(frame: DataFrame, no: int, check: str, subject, score, threshold, flagged, sure) -> DataFrame:  # noqa: ANN001
-        return frame.select(
-            F.lit(no).alias("no"), F.lit("audit").alias("module"), F.lit("model").alias("subject_type"), subject.alias("subject_id"), F.lit(check).alias("check"),
-            score.cast("double").alias("score"), threshold.cast("double").alias("threshold"), flagged.alias("flagged"), sure.alias("confidence"),
-        )
-
     white = found.join(audit.where("white_box").select("s_suppkey"), "s_suppkey")
+    finding = lambda frame, no, check, *more, **kept: A.evidence_rows(frame, no, "audit", "model", check, *more, METHODS[check], **kept)
     every = [
-        rows(audit, 0, "signature", name, F.col("signed").cast("int"), F.lit(1.0), ~F.col("signed"), F.lit("high")),
-        rows(audit, 1, "probe_fingerprint", name, F.col("agreement"), F.lit(A.AGREEMENT), F.col("drift"), F.lit("medium")),
-        rows(
+        finding(audit, 0, "signature", name, F.col("signed").cast("int"), F.lit(1.0), ~F.col("signed"), F.lit("high"), artefacts=(F.concat(F.lit("models/"), name, F.lit(".sig")),), details={"signed": F.col("signed")}),
+        finding(audit, 1, "probe_fingerprint", name, F.col("agreement"), F.lit(A.AGREEMENT), F.col("drift"), F.lit("medium"), access="black_box", details={"agreement": A.text4(F.col("agreement")), "kl": A.text4(F.col("kl"))}),
+        finding(
             white, 2, "backdoor_target_class", F.concat(name, F.lit("/class_"), F.col("l_linenumber").cast("string")), F.col("anomaly_index"), F.lit(A.ANOMALY), F.col("flagged"),
-            F.when(F.col("anomaly_index") > A.SURE_ANOMALY, "high").otherwise("medium"),
+            F.when(F.col("anomaly_index") > A.SURE_ANOMALY, "high").otherwise("medium"), access="white_box", details={"class": F.col("l_linenumber"), "model": name},
         ),
-        rows(audit, 3, "model_verdict", name, none, none, F.col("verdict") != "clean", F.col("confidence")),
+        finding(audit, 3, "model_verdict", name, none, none, F.col("verdict") != "clean", F.col("confidence"), access=F.when(F.col("white_box"), "white_box").otherwise("black_box"), details={"reason": F.col("reason"), "verdict": F.col("verdict")}),
     ]
     union = every[0]
     for more in every[1:]:
         union = union.unionByName(more)
-    return A.sealed(union, "ev-aud", ["no", "subject_id"], dense_index).withColumn("score", F.round("score", 4)).drop("module", "subject_type")
+    out = A.sealed(union, "ev-aud", ["no", "subject_id"], dense_index).withColumn("score", F.round("score", 4))
+    return out.withColumn("artefacts", F.array_join("artefacts", ",")).drop("module", "subject_type")
 
 
+#: How each check of an audit is made.
+METHODS = {
+    "signature": "signature over the manifest of the model's files",
+    "probe_fingerprint": "top-1 agreement and divergence on fixed probes",
+    "backdoor_target_class": "scaled median deviation of each class's mask size",
+    "model_verdict": "signature, drift and outlying class together",
+}
 AUDIT = """l AS (SELECT l_suppkey AS s_suppkey, l_linenumber, avg(l_quantity) AS l1 FROM lineitem GROUP BY ALL),
 m AS (SELECT s_suppkey, median(l1) AS md FROM l GROUP BY 1),
 o AS (SELECT l.*, md, abs(l1 - md) AS off FROM l JOIN m USING (s_suppkey)),
@@ -76,15 +79,20 @@ v AS (SELECT *, CASE WHEN target IS NOT NULL THEN 'backdoored' WHEN NOT signed O
   CASE WHEN ai > 3 THEN 'high' WHEN target IS NOT NULL OR NOT signed OR drift OR white THEN 'medium' ELSE 'low' END AS confidence,
   CASE WHEN target IS NOT NULL THEN 'class ' || target WHEN NOT signed THEN 'signature' WHEN drift THEN 'drift' ELSE 'none' END AS reason FROM x)"""
 _TEXT4 = "round({0}, 4)::DECIMAL(20,4)::VARCHAR"
+_METHOD = 'CASE "check" ' + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in METHODS.items()) + " END"
 RECORDS = f"""WITH {AUDIT}, e AS (
-  SELECT 0 AS no, s_suppkey::VARCHAR AS subject_id, 'signature' AS "check", signed::INT::DOUBLE AS score, 1.0::DOUBLE AS threshold, NOT signed AS flagged, 'high' AS confidence FROM v UNION ALL
-  SELECT 1, s_suppkey::VARCHAR, 'probe_fingerprint', agreement, 0.9, drift, 'medium' FROM v UNION ALL
-  SELECT 2, a.s_suppkey || '/class_' || l_linenumber, 'backdoor_target_class', a.ai, 2.0, flagged, CASE WHEN a.ai > 3 THEN 'high' ELSE 'medium' END FROM a JOIN v ON v.s_suppkey = a.s_suppkey WHERE white UNION ALL
-  SELECT 3, s_suppkey::VARCHAR, 'model_verdict', NULL, NULL, verdict <> 'clean', confidence FROM v),
+  SELECT 0 AS no, s_suppkey::VARCHAR AS subject_id, 'signature' AS "check", signed::INT::DOUBLE AS score, 1.0::DOUBLE AS threshold, NOT signed AS flagged, 'high' AS confidence, 'n/a' AS access_level,
+    'models/' || s_suppkey || '.sig' AS artefacts, '{{"signed":"' || signed || '"}}' AS details FROM v UNION ALL
+  SELECT 1, s_suppkey::VARCHAR, 'probe_fingerprint', agreement, 0.9, drift, 'medium', 'black_box', '', '{{"agreement":"' || {_TEXT4.format('agreement')} || '","kl":""}}' FROM v UNION ALL
+  SELECT 2, a.s_suppkey || '/class_' || l_linenumber, 'backdoor_target_class', a.ai, 2.0, flagged, CASE WHEN a.ai > 3 THEN 'high' ELSE 'medium' END, 'white_box', '',
+    '{{"class":"' || l_linenumber || '","model":"' || a.s_suppkey || '"}}' FROM a JOIN v ON v.s_suppkey = a.s_suppkey WHERE white UNION ALL
+  SELECT 3, s_suppkey::VARCHAR, 'model_verdict', NULL, NULL, verdict <> 'clean', confidence, CASE WHEN white THEN 'white_box' ELSE 'black_box' END, '', '{{"reason":"' || reason || '","verdict":"' || verdict || '"}}' FROM v),
 n AS (SELECT *, 'ev-aud-' || lpad((row_number() OVER (ORDER BY no, subject_id))::VARCHAR, 6, '0') AS evidence_id FROM e),
-q AS (SELECT *, coalesce('"' || {_TEXT4.format('score')} || '"', 'null') AS st, coalesce('"' || {_TEXT4.format('threshold')} || '"', 'null') AS tt FROM n)
-SELECT evidence_id, subject_id, "check", round(score, 4) AS score, threshold, flagged, confidence,
-  sha256('{{"check":"' || "check" || '","confidence":"' || confidence || '","evidence_id":"' || evidence_id || '","flagged":' || flagged || ',"module":"audit","score":' || st || ',"subject_id":"' || subject_id || '","subject_type":"model","threshold":' || tt || '}}') AS sha256
+q AS (SELECT *, {_METHOD} AS method, coalesce('"' || {_TEXT4.format('score')} || '"', 'null') AS st, coalesce('"' || {_TEXT4.format('threshold')} || '"', 'null') AS tt,
+  CASE WHEN artefacts = '' THEN '' ELSE '"' || artefacts || '"' END AS files FROM n)
+SELECT evidence_id, subject_id, NULL::VARCHAR AS contributor, "check", round(score, 4) AS score, threshold, flagged, confidence, method, access_level, artefacts, details, '{A.CREATED_AT}' AS created_at,
+  sha256('{{"access_level":"' || access_level || '","artefacts":[' || files || '],"check":"' || "check" || '","confidence":"' || confidence || '","contributor":null,"created_at":"{A.CREATED_AT}","details":' || details ||
+    ',"evidence_id":"' || evidence_id || '","flagged":' || flagged || ',"method":"' || method || '","module":"audit","score":' || st || ',"subject_id":"' || subject_id || '","subject_type":"model","threshold":' || tt || '}}') AS sha256
 FROM q"""
 
 
@@ -110,12 +118,32 @@ SELECT 'evidence_batch', 'evidence_batch-' || substr(sha256(string_agg(part, ''
 
 def _metric_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence on contributors: each metric's distance from its peers, and the trust score."""
-    from probity.operators import contributors as C
-
     scores = materialize(trusted(spark, sf_dir), "trusted")
-    metrics = C.drill_down(scores).select("contributor", F.col("metric").alias("check"), F.round("z", 6).alias("score"), F.lit(3.5).alias("threshold"), (F.col("z") >= 3.5).alias("flagged"), F.when(F.col("z") >= 7, "high").otherwise("medium").alias("confidence"))
-    trust = scores.select("contributor", F.lit("trust_score").alias("check"), F.round(F.col("trust").cast("double"), 6).alias("score"), F.lit(None).cast("double").alias("threshold"), F.col("flagged"), F.lit("medium").alias("confidence"))
-    return metrics.unionByName(trust)
+    who = F.col("contributor")
+    rows = lambda frame, no, check, *more, **kept: A.evidence_rows(frame, no, "risk", "contributor", check, who, *more, contributor=who, **kept)
+    drilled = materialize(C.drill_down(scores), "metrics")
+    union = rows(
+        scores, len(C.METRICS), "trust_score", F.col("trust"), F.lit(None), F.col("flagged"), F.lit("medium"), "weighted distances above the peers' median, as 100 * exp(-risk / 5)",
+        details={"n_samples": F.col("n_samples"), "reasons": F.array_join("flag_reasons", ","), "risk": A.text4(F.col("risk"))},
+    )
+    for no, metric in enumerate(C.METRICS):
+        own = drilled.where(F.col("metric") == metric)
+        z = F.col("z")
+        union = union.unionByName(rows(own, no, metric, z, F.lit(C.FLAG_Z), F.round(z, 9) >= C.FLAG_Z, F.when(z >= 2 * C.FLAG_Z, "high").otherwise("medium"), "scaled median deviation from all contributors", details={"peer_median": A.text4(F.col("peer_median")), "value": A.text4(F.col("value"))}))
+    return A.sealed(union, "ev-rsk", ["no", "subject_id"], dense_index).withColumn("score", F.round("score", 6)).withColumn("artefacts", F.array_join("artefacts", ","))
+
+
+_Z = [f"round(z_{m}, 9) >= {C.FLAG_Z}" for m in C.METRICS]
+METRIC_EVIDENCE = f"""WITH {TRUST}, e AS (
+  SELECT {len(C.METRICS)} AS no, contributor, 'trust_score' AS "check", trust AS score, NULL::DOUBLE AS threshold, flagged, 'medium' AS confidence, 'weighted distances above the peers'' median, as 100 * exp(-risk / 5)' AS method,
+    '{{"n_samples":"' || n_samples || '","reasons":"' || concat_ws(',', {", ".join(f"CASE WHEN {z} THEN '{m}' END" for m, z in zip(C.METRICS, _Z, strict=True))}) || '","risk":"' || {_TEXT4.format("risk")} || '"}}' AS details FROM tt UNION ALL
+  {" UNION ALL ".join(f"""SELECT {i}, contributor, '{m}', z_{m}, {C.FLAG_Z}, {_Z[i]}, CASE WHEN z_{m} >= {2 * C.FLAG_Z} THEN 'high' ELSE 'medium' END, 'scaled median deviation from all contributors',
+    '{{"peer_median":"' || {_TEXT4.format(f"median_{m}")} || '","value":"' || {_TEXT4.format(m)} || '"}}' FROM tt""" for i, m in enumerate(C.METRICS))}),
+n AS (SELECT *, 'ev-rsk-' || lpad((row_number() OVER (ORDER BY no, contributor))::VARCHAR, 6, '0') AS evidence_id, coalesce('"' || {_TEXT4.format("score")} || '"', 'null') AS st, coalesce('"' || {_TEXT4.format("threshold")} || '"', 'null') AS tt FROM e)
+SELECT evidence_id, 'risk' AS module, 'contributor' AS subject_type, contributor AS subject_id, contributor, "check", round(score, 6) AS score, threshold, flagged, confidence, method, 'n/a' AS access_level, '' AS artefacts, details, '{A.CREATED_AT}' AS created_at,
+  sha256('{{"access_level":"n/a","artefacts":[],"check":"' || "check" || '","confidence":"' || confidence || '","contributor":"' || contributor || '","created_at":"{A.CREATED_AT}","details":' || details ||
+    ',"evidence_id":"' || evidence_id || '","flagged":' || flagged || ',"method":"' || method || '","module":"risk","score":' || st || ',"subject_id":"' || contributor || '","subject_type":"contributor","threshold":' || tt || '}}') AS sha256
+FROM n"""
 
 
 def _browser(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +211,7 @@ QUERIES = {
     "model_audit_verdicts": Query(_audit, f"WITH {AUDIT} SELECT s_suppkey, target, drift, verdict, confidence, reason FROM v", "B7 H22 D23"),
     "audit_evidence": Query(_records, RECORDS, "P-signature P-probe_fingerprint P-backdoor_target_class P-model_verdict J4 B6"),
     "ledger_entries": Query(_ledger, LEDGER, "Q-audit_report Q-evidence_batch"),
-    "metric_evidence": Query(_metric_evidence, None, "P-metric P-trust_score"),
+    "metric_evidence": Query(_metric_evidence, METRIC_EVIDENCE, "P-metric P-trust_score"),
     "evidence_browser": Query(_browser, f"WITH {EVIDENCE} SELECT evidence_id, \"check\", sample_id, (SELECT count(DISTINCT \"check\") FROM ev WHERE contributor = 'src0') AS checks FROM ev WHERE contributor = 'src0' ORDER BY evidence_id LIMIT 500", "O4"),
     "manifest_digests": Query(_manifests, "SELECT page_id // 50 AS model, count(*) AS files, sha256('{' || string_agg('\"' || lpad(page_id::VARCHAR, 12, '0') || '\":\"' || sha256(html) || '\"', ',' ORDER BY page_id) || '}') AS sha256 FROM pages GROUP BY 1", "J3"),
     "merkle_append_roots": Query(_append_roots, ROOTS, "J9 E7"),

@@ -24,32 +24,32 @@ from probity.sources.scratch import materialize
 SURE_DUPLICATE, SURE_ISSUE, SOURCE_SHARE, SURE_SHARE = 0.97, 0.05, 0.5, 0.8
 
 
-def _rows(frame: DataFrame, no: int, module: str, kind: str, check: str, subject: Column, score: Column, threshold: Column, flagged: Column, sure: Column) -> DataFrame:
-    return frame.select(
-        F.lit(no).alias("no"), F.lit(module).alias("module"), F.lit(kind).alias("subject_type"), subject.cast("string").alias("subject_id"), F.lit(check).alias("check"),
-        score.cast("double").alias("score"), threshold.cast("double").alias("threshold"), flagged.alias("flagged"), sure.alias("confidence"),
-    )
-
-
 def scan_evidence(found: DataFrame, limit: Column) -> DataFrame:
     """A sealed row for each detector's finding on a sample; limit is the pool's
     threshold of the outlier score."""
     none, yes, name = F.lit(None), F.lit(True), F.col("id")
+    finding = lambda which, no, check, *more, **kept: A.evidence_rows(found.where(flag(which)), no, "scan", "sample", check, name, *more, contributor=F.col("contributor"), **kept)
     parts = [
-        _rows(found.where(flag("in_dup")), 0, "scan", "sample", "near_duplicate", name, F.col("best_cosine"), F.lit(0.93), yes, confidence(F.col("best_cosine") >= SURE_DUPLICATE)),
-        _rows(found.where(flag("ood_flag")), 1, "scan", "sample", "out_of_distribution", name, F.col("ood_score"), limit, yes, F.lit("medium")),
-        _rows(found.where(flag("label_issue")), 2, "scan", "sample", "label_issue", name, 1 - F.col("label_quality"), none, yes, confidence(F.col("label_quality") < SURE_ISSUE)),
-        _rows(found.where(flag("poison_flag")), 3, "scan", "sample", "trigger_poison", name, F.col("ss_score"), none, yes, confidence(flag("ac_flag") & flag("ss_flag"))),
+        finding("in_dup", 0, "near_duplicate", F.col("best_cosine"), F.lit(0.93), yes, confidence(F.col("best_cosine") >= SURE_DUPLICATE), "cosine of vectors, components of three and more", details={"cluster": F.col("dup_cluster"), "cluster_size": F.col("dup_cluster_size")}),
+        finding("ood_flag", 1, "out_of_distribution", F.col("ood_score"), limit, yes, F.lit("medium"), "mean distance to the ten nearest samples of other contributors", details={"label": F.col("label")}),
+        finding("label_issue", 2, "label_issue", 1 - F.col("label_quality"), none, yes, confidence(F.col("label_quality") < SURE_ISSUE), "confident learning on out-of-fold probabilities", details={"given": F.col("label"), "suggested": F.col("suggested_label")}),
+        finding("poison_flag", 3, "trigger_poison", F.col("ss_score"), none, yes, confidence(flag("ac_flag") & flag("ss_flag")), "activation clusters and spectral signatures of a class", details={"cluster": flag("ac_flag"), "label": F.col("label"), "spectral": flag("ss_flag")}),
     ]
     return A.sealed(reduce(DataFrame.unionByName, parts), "ev-dat", ["no", "subject_id"], dense_index)
 
 
 def trace_evidence(traces: DataFrame, sources: DataFrame) -> DataFrame:
     """A sealed row on the likeliest source, and one for each candidate."""
-    share = F.col("share")
+    share, who = F.col("share"), F.col("contributor")
     parts = [
-        _rows(sources.where("source"), 0, "trace", "contributor", "backdoor_source", F.col("contributor"), share, F.lit(SOURCE_SHARE), share >= SOURCE_SHARE, confidence(share >= SURE_SHARE, share >= SOURCE_SHARE)),
-        _rows(traces.where("candidate"), 1, "trace", "sample", "carries_recovered_trigger", F.col("id"), F.col("trace_score"), F.col("threshold"), F.lit(True), confidence(F.col("over") & F.col("ac_flag"))),
+        A.evidence_rows(
+            sources.where("source"), 0, "trace", "contributor", "backdoor_source", who, share, F.lit(SOURCE_SHARE), share >= SOURCE_SHARE, confidence(share >= SURE_SHARE, share >= SOURCE_SHARE),
+            "share of all samples that carry the recovered trigger", "white_box", who, details={"candidates": F.col("candidates"), "samples": F.col("samples")},
+        ),
+        A.evidence_rows(
+            traces.where("candidate"), 1, "trace", "sample", "carries_recovered_trigger", F.col("id"), F.col("trace_score"), F.col("threshold"), F.lit(True), confidence(F.col("over") & F.col("ac_flag")),
+            "match with the recovered trigger above clean samples' 99th percentile, or a suspicious cluster", "white_box", who, details={"cluster": F.col("ac_flag"), "over": F.col("over")},
+        ),
     ]
     return A.sealed(reduce(DataFrame.unionByName, parts), "ev-trc", ["no", "subject_id"], dense_index)
 

@@ -1,6 +1,7 @@
 """Operators on small fixtures, and properties that any input must keep."""
 
 import hashlib
+import json
 import math
 import random
 
@@ -252,6 +253,14 @@ def test_scan_and_trace_evidence(spark):
     trace = QUERIES["trace_evidence"].run(spark, SMALL).collect()
     assert [r["check"] for r in sorted(trace, key=lambda r: r["evidence_id"])].count("backdoor_source") <= 1
     assert len({r["sha256"] for r in scan + trace}) == len(scan) + len(trace)
+    # a seal is the digest of the whole record's canonical JSON, numbers as text
+    for r in scan + trace:
+        body = {k: v for k, v in r.asDict().items() if k != "sha256"} | {k: r[k] if r[k] is None else f"{r[k]:.4f}" for k in ("score", "threshold")}
+        body["details"] = json.loads(r["details"])
+        assert len(body) == 15 and r["contributor"] and r["method"] and body["details"]
+        if r["check"] != "near_duplicate":  # rounding of scores differs in Python's last digit
+            continue
+        assert hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest() == r["sha256"]
 
 
 def test_reports_of_the_pool(spark):
