@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,24 @@ def masked_match(x: Column, mask: Column, pattern: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def cosine_transform(grid: Column, side: int, low: int) -> Column:
+    """The low x low first coefficients, row by row, of the two-dimensional cosine transform
+    (kind II, not scaled) of side x side numbers, row by row."""
+    waves = F.array(*[F.array(*[F.lit(math.cos(math.pi * (2 * i + 1) * k / (2 * side))) for i in range(side)]) for k in range(low)])
+    rows = F.transform(F.sequence(F.lit(1), F.lit(side * side), F.lit(side)), lambda at: F.slice(grid, at, F.lit(side)))
+    across = F.transform(rows, lambda row: F.transform(waves, lambda wave: dot(row, wave)))
+    column = lambda half, j: F.transform(half, lambda row: F.get(row, j))
+    both = lambda half: F.transform(waves, lambda wave: F.transform(F.sequence(F.lit(0), F.lit(low - 1)), lambda j: dot(wave, column(half, j))))
+    return F.flatten(let(across, both))
+
+
+def perceptual_hash(grid: Column, side: int = 8, low: int = 6) -> Column:
+    """A bit for each of the low frequencies, the first one highest: whether its coefficient
+    is above the median of all. Grids that look alike differ in few bits. Null if the
+    grid isn't side x side numbers."""
+    n = low * low
+    middle = lambda c: let(F.array_sort(c), lambda s: (F.get(s, F.lit((n - 1) // 2)) + F.get(s, F.lit(n // 2))) / 2)
+    bits = lambda c: let(middle(c), lambda m: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc * 2 + (x > m).cast("long")))
+    return F.when(F.size(grid) == side * side, let(cosine_transform(grid, side, low), bits))

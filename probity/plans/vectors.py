@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from probity.functions.vectors import argmax, cosine, hamming, masked_match, norm, normalised, softmax, top
+from probity.functions.vectors import argmax, cosine, hamming, masked_match, norm, normalised, perceptual_hash, softmax, top
 from probity.operators import audits, contributors, evaluation, neighbours, poison, triggers
 from probity.operators.fixtures import TRIGGER_DIMS, near_copies, planted_pool
 from probity.plans.query import Query, table
@@ -77,6 +77,23 @@ def _hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(other, "id").select("id", "h", hamming(F.col("h"), F.col("other")).cast("int").alias("distance"))
 
 
+def _perceptual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perceptual hashes of vectors as grids of 8 x 8, and how many bits the hash of each one's
+    near copy differs in."""
+    v = vectors(spark, sf_dir).select("id", "vector")
+    copies = near_copies(v, copies=1, noise=0.01).select(F.col("origin").alias("id"), perceptual_hash(F.col("vector")).alias("copy"))
+    own = v.select("id", perceptual_hash(F.col("vector")).alias("h"))
+    return own.join(copies, "id").select("id", "h", hamming(F.col("h"), F.col("copy")).cast("int").alias("distance"))
+
+
+_COEFFICIENTS = "list_transform(range(36), lambda k: list_sum(list_transform(x, lambda y, p: y * cos(pi() * (2 * ((p - 1) // 8) + 1) * (k // 6) / 16) * cos(pi() * (2 * ((p - 1) % 8) + 1) * (k % 6) / 16))))"
+PERCEPTUAL = f"""WITH v AS (SELECT vec_id AS id, {D} AS x FROM embeddings),
+m AS (SELECT id, x FROM v), c AS (SELECT id, list_transform(x, lambda y, i: y + 0.01::DOUBLE * sin(id * 13.0::DOUBLE + (i - 1) * 7.0::DOUBLE + 3.0::DOUBLE)) AS x FROM v),
+k AS (SELECT id, 'own' AS part, {_COEFFICIENTS} AS c FROM m UNION ALL SELECT id, 'copy', {_COEFFICIENTS} FROM c),
+h AS (SELECT id, part, list_reduce(list_prepend(0::BIGINT, list_transform(c, lambda y: (y > list_median(c))::INT::BIGINT)), lambda a, b: a * 2 + b) AS h FROM k)
+SELECT a.id, a.h, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.id = b.id AND a.part = 'own' AND b.part = 'copy'"""
+
+
 def _calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).select("id", "vector")
     pairs = near_copies(v, copies=2, noise=0.05).select("origin", F.col("vector").alias("copy")).join(v.withColumnRenamed("id", "origin"), "origin")
@@ -282,6 +299,7 @@ QUERIES = {
     "connected_components": Query(_components, f"WITH RECURSIVE {COMPONENTS} SELECT id, root FROM comp QUALIFY count(*) OVER (PARTITION BY root) > 1", "H6"),
     "dup_clusters": Query(_clusters, f"WITH RECURSIVE {COMPONENTS}, z AS (SELECT id, root, count(*) OVER (PARTITION BY root) AS dup_cluster_size FROM comp) SELECT dup_cluster_size >= 3 AS in_dup, dup_cluster_size, count(*) AS samples, count(DISTINCT CASE WHEN dup_cluster_size >= 3 THEN root END) AS clusters FROM z GROUP BY ALL", "H5 D20"),
     "hamming_phash": Query(_hamming, "WITH h AS (SELECT vec_id AS id, list_sum(list_transform(embedding[1:62], lambda x, i: CASE WHEN x > 0 THEN 1::BIGINT << (i - 1)::INT ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings) SELECT a.id, a.h, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON b.id = a.id + 1", "H2 H3"),
+    "perceptual_hash": Query(_perceptual, PERCEPTUAL, "H2 H3"),
     "calibration_percentiles": Query(_calibration, f"WITH v AS (SELECT vec_id AS id, {D} AS x FROM embeddings), m AS (SELECT x, list_transform(x, lambda y, i: y + 0.05::DOUBLE * sin(id * 13.0::DOUBLE + (i - 1) * 7.0::DOUBLE + c * 3.0::DOUBLE)) AS m FROM v, range(1, 3) r(c)), k AS (SELECT list_inner_product(x, m) / sqrt(list_inner_product(x, x) * list_inner_product(m, m)) AS c FROM m) SELECT round(quantile_cont(c, 0.05), 6) AS p5, round(median(c), 6) AS median FROM k", "H7 C6"),
     "pixel_match": Query(_match, f"WITH v AS (SELECT vec_id AS id, {D} AS x FROM embeddings) SELECT id, round(1 - list_sum(list_transform(x[1:8], lambda y: abs(y - 0.1::DOUBLE))) / (8 + 1e-8), 6) AS score FROM v", "H17"),
     "signature_cosine": Query(_signature, f"WITH {KNN}, p AS (SELECT unnest(x) AS y, generate_subscripts(x, 1) AS i FROM v JOIN embeddings ON vec_id = id WHERE label = 0), m AS (SELECT i, avg(y) AS y FROM p GROUP BY i), s AS (SELECT list(y ORDER BY i) AS s FROM m) SELECT id, round(list_inner_product(x, s) / (len * sqrt(list_inner_product(s, s)) + 1e-8), 6) AS cosine FROM n, s", "H18 D25"),

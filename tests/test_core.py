@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,15 @@ def test_class_report_counts_every_class(spark):
 
     rows = QUERIES["activation_report"].run(spark, SMALL).collect()
     assert rows and all(r["samples"] >= poison.LEAST_CLASS and 1 <= r["clusters"] <= poison.CLUSTERS and r["smallest_share"] <= 1 / r["clusters"] + 1e-9 for r in rows)
+
+
+def test_cosine_transform(spark):
+    from probity.functions.vectors import cosine_transform, perceptual_hash
+
+    grid = np.random.default_rng(2).normal(size=(8, 8))
+    wave = np.cos(np.pi * (2 * np.arange(8)[None, :] + 1) * np.arange(8)[:, None] / 16)
+    want = (wave @ grid @ wave.T)[:6, :6].ravel()
+    df = spark.createDataFrame([(grid.ravel().tolist(),), ([1.0],), (None,)], "v array<double>")
+    got = df.select(F.when(F.size("v") == 64, cosine_transform(F.col("v"), 8, 6)).alias("c"), perceptual_hash(F.col("v")).alias("h")).collect()
+    assert np.allclose(got[0]["c"], want) and got[1]["h"] is None and got[2]["h"] is None
+    assert got[0]["h"] == int("".join("1" if x > np.median(want) else "0" for x in want), 2)
