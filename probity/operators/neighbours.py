@@ -8,11 +8,11 @@ exact search costs: give a bounded or thinned query set at scale.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.functions.vectors import cosine
@@ -108,7 +108,7 @@ def duplicate_clusters(vectors: DataFrame, k: int = 10, cos: float = 0.8, least:
     return out.select("id", F.when(F.col("dup_cluster_size") > 1, F.col("root")).otherwise(F.lit(-1)).alias("dup_cluster"), "dup_cluster_size", (F.col("dup_cluster_size") >= least).alias("in_dup"), "best_cosine")
 
 
-def calibrate(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: the 5th percentile and median cosine of known pairs."""
-    scored = pairs.select(cosine(F.col(a), F.col(b)).alias("c"))
+def calibrate(pairs: DataFrame, a: str, b: str, measure: Callable[[Column, Column], Column] = cosine) -> DataFrame:
+    """One row: the 5th percentile and median of a measure, the cosine by default, of known pairs."""
+    scored = materialize(pairs.select(measure(F.col(a), F.col(b)).alias("c")), "measured")
     return exact_percentile(scored, F.col("c"), 0.05, "p5").join(exact_percentile(scored, F.col("c"), 0.5, "median"), how="cross")

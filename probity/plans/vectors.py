@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from probity.functions.vectors import argmax, cosine, hamming, masked_match, norm, normalised, perceptual_hash, softmax, top
 from probity.operators import audits, contributors, evaluation, neighbours, poison, triggers
 from probity.operators.fixtures import TRIGGER_DIMS, near_copies, planted_pool
+from probity.operators.grids import aligned_correlation
 from probity.plans.query import Query, table
 from probity.sources.cache import kept
 from probity.sources.scratch import materialize
@@ -77,6 +78,46 @@ def _hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(other, "id").select("id", "h", hamming(F.col("h"), F.col("other")).cast("int").alias("distance"))
 
 
+ALIGNED = 0.9
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed duplicates that the aligned correlation of their vectors as grids of 8 x 8
+    confirms, with both measures."""
+    rows = with_copies(spark, sf_dir)
+    holds = lambda a, b: F.round(aligned_correlation(a, b), 9) >= ALIGNED
+    edges = materialize(neighbours.duplicate_edges(rows, 10, 0.8, verify=holds), "aligned")
+    side = lambda name: rows.select(F.col("id").alias(name), F.col("vector").alias(f"v{name}"))
+    both = edges.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", F.round("cosine", 6).alias("cosine"), F.round(aligned_correlation(F.col("va"), F.col("vb")), 6).alias("aligned"))
+
+
+def _aligned_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5th percentile and median of the aligned correlation of vectors and their near copies."""
+    v = vectors(spark, sf_dir).select("id", "vector")
+    pairs = near_copies(v, copies=2, noise=0.05).select("origin", F.col("vector").alias("copy")).join(v.withColumnRenamed("id", "origin"), "origin")
+    found = neighbours.calibrate(pairs, "vector", "copy", aligned_correlation)
+    return found.select(F.round("p5", 4).alias("p5"), F.round("median", 4).alias("median"))
+
+
+def _window_sql(x: str, y: str, dx: str, mirrored: str) -> str:
+    """A centred window of 6 x 6 of a grid, at length one."""
+    return f"list_transform(range(36), lambda p: {x}[(p // 6 + {y}) * 8 + CASE WHEN {mirrored} THEN 8 - (p % 6 + {dx}) ELSE p % 6 + {dx} + 1 END])"
+
+
+def _unit_sql(cells: str) -> str:
+    gap = f"list_transform({cells}, lambda q: q - list_avg({cells}))"
+    return f"list_transform({gap}, lambda q: q / (sqrt(list_inner_product({gap}, {gap})) + 1e-6))"
+
+
+def _aligned_sql(pairs: str) -> str:
+    """Tables ending in `aligned` (a, b, cosine, aligned) of pairs (a, b, cosine, va, vb)."""
+    return f"""pr AS ({pairs}),
+wa AS (SELECT *, {_window_sql("va", "1", "1", "false")} AS ca FROM pr),
+wb AS (SELECT a, b, cosine, ca, {_window_sql("vb", "y.y", "x.x", "m.m")} AS cb FROM wa, range(3) y(y), range(3) x(x), (VALUES (false), (true)) m(m)),
+aligned AS (SELECT a, b, any_value(cosine) AS cosine, max(list_inner_product({_unit_sql("ca")}, {_unit_sql("cb")})) AS aligned FROM wb GROUP BY a, b)"""
+
+
 def _perceptual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perceptual hashes of vectors as grids of 8 x 8, and how many bits the hash of each one's
     near copy differs in."""
@@ -300,6 +341,8 @@ QUERIES = {
     "dup_clusters": Query(_clusters, f"WITH RECURSIVE {COMPONENTS}, z AS (SELECT id, root, count(*) OVER (PARTITION BY root) AS dup_cluster_size FROM comp) SELECT dup_cluster_size >= 3 AS in_dup, dup_cluster_size, count(*) AS samples, count(DISTINCT CASE WHEN dup_cluster_size >= 3 THEN root END) AS clusters FROM z GROUP BY ALL", "H5 D20"),
     "hamming_phash": Query(_hamming, "WITH h AS (SELECT vec_id AS id, list_sum(list_transform(embedding[1:62], lambda x, i: CASE WHEN x > 0 THEN 1::BIGINT << (i - 1)::INT ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings) SELECT a.id, a.h, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON b.id = a.id + 1", "H2 H3"),
     "perceptual_hash": Query(_perceptual, PERCEPTUAL, "H2 H3"),
+    "aligned_edges": Query(_aligned, f"WITH {COPIES}, {_aligned_sql('SELECT a, b, e.cosine, p.vector AS va, q.vector AS vb FROM edges e JOIN pool p ON p.id = a JOIN pool q ON q.id = b')} SELECT a, b, round(cosine, 6) AS cosine, round(aligned, 6) AS aligned FROM aligned WHERE round(aligned, 9) >= {ALIGNED}", "H4 C5 H5"),
+    "aligned_calibration": Query(_aligned_calibration, f"WITH v AS (SELECT vec_id AS id, {D} AS x FROM embeddings), {_aligned_sql('SELECT id AS a, c AS b, 0 AS cosine, x AS va, list_transform(x, lambda y, i: y + 0.05::DOUBLE * sin(id * 13.0::DOUBLE + (i - 1) * 7.0::DOUBLE + c * 3.0::DOUBLE)) AS vb FROM v, range(1, 3) r(c)')} SELECT round(quantile_cont(aligned, 0.05), 4) AS p5, round(median(aligned), 4) AS median FROM aligned", "H4 H7"),
     "calibration_percentiles": Query(_calibration, f"WITH v AS (SELECT vec_id AS id, {D} AS x FROM embeddings), m AS (SELECT x, list_transform(x, lambda y, i: y + 0.05::DOUBLE * sin(id * 13.0::DOUBLE + (i - 1) * 7.0::DOUBLE + c * 3.0::DOUBLE)) AS m FROM v, range(1, 3) r(c)), k AS (SELECT list_inner_product(x, m) / sqrt(list_inner_product(x, x) * list_inner_product(m, m)) AS c FROM m) SELECT round(quantile_cont(c, 0.05), 6) AS p5, round(median(c), 6) AS median FROM k", "H7 C6"),
     "pixel_match": Query(_match, f"WITH v AS (SELECT vec_id AS id, {D} AS x FROM embeddings) SELECT id, round(1 - list_sum(list_transform(x[1:8], lambda y: abs(y - 0.1::DOUBLE))) / (8 + 1e-8), 6) AS score FROM v", "H17"),
     "signature_cosine": Query(_signature, f"WITH {KNN}, p AS (SELECT unnest(x) AS y, generate_subscripts(x, 1) AS i FROM v JOIN embeddings ON vec_id = id WHERE label = 0), m AS (SELECT i, avg(y) AS y FROM p GROUP BY i), s AS (SELECT list(y ORDER BY i) AS s FROM m) SELECT id, round(list_inner_product(x, s) / (len * sqrt(list_inner_product(s, s)) + 1e-8), 6) AS cosine FROM n, s", "H18 D25"),

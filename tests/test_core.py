@@ -294,3 +294,15 @@ def test_cosine_transform(spark):
     got = df.select(F.when(F.size("v") == 64, cosine_transform(F.col("v"), 8, 6)).alias("c"), perceptual_hash(F.col("v")).alias("h")).collect()
     assert np.allclose(got[0]["c"], want) and got[1]["h"] is None and got[2]["h"] is None
     assert got[0]["h"] == int("".join("1" if x > np.median(want) else "0" for x in want), 2)
+
+
+def test_aligned_correlation_finds_shifts_and_mirrors(spark):
+    from probity.operators.grids import aligned_correlation
+
+    r = np.random.default_rng(4)
+    grid = r.normal(size=(8, 8))
+    moved = np.roll(grid, (1, -1), (0, 1)) * 3 + 5
+    rows = [(0, grid, grid), (1, grid, grid[:, ::-1]), (2, grid, moved), (3, grid, r.normal(size=(8, 8)))]
+    df = spark.createDataFrame([(i, a.ravel().tolist(), b.ravel().tolist()) for i, a, b in rows] + [(4, [1.0], [2.0]), (5, None, [1.0] * 64), (6, [1.0] * 64, [1.0] * 64)], "i int, a array<double>, b array<double>")
+    got = {x["i"]: x["c"] for x in df.repartition(2).select("i", aligned_correlation(F.col("a"), F.col("b")).alias("c")).collect()}
+    assert min(got[0], got[1], got[2]) > 0.9999 and got[3] < 0.9 and got[4] is None and got[5] is None and got[6] == 0
