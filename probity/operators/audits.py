@@ -79,7 +79,7 @@ def sealed(evidence: DataFrame, prefix: str, order: list[str], numbered: Callabl
 
 def keyed_tag(secret: Column, body: Column) -> Column:
     """A keyed digest that stands for a signature where a whole log is checked:
-    Ed25519 in Python (operators.signatures) takes milliseconds a record."""
+    Ed25519 in Python (operators.signatures) takes half a millisecond a record."""
     return digest(F.concat_ws("|", secret, body))
 
 

@@ -160,10 +160,10 @@ def _sealed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns signed; every seventh conversation's are changed later, every eleventh's lose a byte.
-    A turn costs some milliseconds (see operators.signatures)."""
+    Turns are dealt out in order, so that a conversation's lie in one batch."""
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat_ws("|", "role", "text").cast("binary").alias("body"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = signatures.sign_records(turns.repartition(n, "id"), bytes(range(32)))
+    signed = signatures.sign_records(turns.repartitionByRange(n, "id").sortWithinPartitions("id"), bytes(range(32)))
     changed = F.when(F.floor(F.col("id") / 1000) % 7 == 0, F.concat("body", F.lit("!").cast("binary"))).otherwise(F.col("body"))
     short = F.when(F.floor(F.col("id") / 1000) % 11 == 0, F.substring("signature", 1, 63)).otherwise(F.col("signature"))
     return signatures.verify_signatures(signed.withColumn("body", changed).withColumn("signature", short)).select(F.floor(F.col("id") / 1000).alias("conv_id"), (F.col("id") % 1000).alias("turn"), "verdict")
