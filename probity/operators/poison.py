@@ -23,7 +23,7 @@ from probity.functions.vectors import argmax, dot, masked_match
 from probity.operators.ordering import dense_index, exact_percentile
 from probity.sources.scratch import materialize
 
-LEAST_CLASS, DIMS, CLUSTERS, ROUNDS = 20, 10, 5, 10
+LEAST_CLASS, DIMS, CLUSTERS, ROUNDS, STARTS = 20, 10, 5, 10, 4
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def class_axes(samples: DataFrame) -> DataFrame:
 def _projected(samples: DataFrame, axes: DataFrame) -> DataFrame:
     """samples of kept classes with z, their coordinates on the class's axes."""
     gap = F.zip_with("vector", "mean", lambda x, m: x.cast("double") - m)
-    rows = samples.withColumn("label", F.col("label").cast("long")).join(F.broadcast(axes), "label")
+    rows = samples.withColumn("label", F.col("label").cast("long")).join(axes, "label")
     return rows.withColumn("_gap", gap).withColumn("z", F.transform("axes", lambda a: dot(F.col("_gap"), a))).drop("_gap", "axes", "mean", "n")
 
 
@@ -69,36 +69,77 @@ def spectral_signatures(samples: DataFrame, rate: float = 0.05, multiple: float
     scored = _projected(samples, class_axes(samples)).select("id", "label", F.pow(F.get("z", F.lit(0)), 2).alias("s"))
     scored = materialize(scored, "spectral")
     limits = scored.groupBy("label").agg(F.max("s").alias("top")).join(exact_percentile(scored, F.col("s"), 1 - multiple * rate, "cut", ("label",)), "label")
-    return scored.join(F.broadcast(limits), "label").select("id", (F.col("s") / F.col("top")).alias("ss_score"), (F.col("s") >= F.col("cut")).alias("ss_flag"))
+    return scored.join(limits, "label").select("id", (F.col("s") / F.col("top")).alias("ss_score"), (F.col("s") >= F.col("cut")).alias("ss_flag"))
 
 
-def class_clusters(samples: DataFrame, clusters: int = CLUSTERS) -> DataFrame:
-    """(id, label, cluster, share, ...): k-means in each class of 20 or more on its main
-    axes, from centres spread along the first; share is the cluster's of its class.
-    Further columns of samples stay. Classes, and so centres, are few."""
-    axes = class_axes(samples)
+def _squared(z: Column | str, c: Column) -> Column:
+    return F.aggregate(F.zip_with(z, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, d: a + d)
+
+
+def _first_centres(rows: DataFrame, clusters: int, starts: int) -> DataFrame:
+    """(label, start, centres): start 0 lies evenly along the main axis, in each other one
+    centres are samples, one from each of as many hashed parts of the class."""
+    # the root of the second moment along each axis; coordinates have mean zero
+    along = F.sqrt(F.avg(F.pow(F.get("z", F.lit(0)), 2)))
+    pick = lambda s, k: F.min_by(F.when(F.pmod(F.xxhash64("id", F.lit(s)), F.lit(clusters)) == k, F.col("z")), F.when(F.pmod(F.xxhash64("id", F.lit(s)), F.lit(clusters)) == k, F.xxhash64(F.lit(s), "id")))
+    size = F.size("any")
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(clusters - 1)), lambda k: F.concat(F.array((k - (clusters - 1) / 2) * 0.8 * F.col("along")), F.array_repeat(F.lit(0.0), size - 1)))
+    drawn = [F.filter(F.array(*[F.col(f"p{s}_{k}") for k in range(clusters)]), lambda c: c.isNotNull()) for s in range(1, starts)]
+    each = rows.groupBy("label").agg(along.alias("along"), F.any_value("z").alias("any"), *[pick(s, k).alias(f"p{s}_{k}") for s in range(1, starts) for k in range(clusters)])
+    return each.select("label", F.posexplode(F.array(spaced, *drawn)).alias("start", "centres"))
+
+
+def class_clusters(samples: DataFrame, clusters: int = CLUSTERS, starts: int = STARTS) -> DataFrame:
+    """(id, label, z, cluster, share, ...): k-means in each class of 20 or more on z, its
+    coordinates on the class's main axes, from several starts, of which that with the
+    smallest sum of squared distances stays; share is the cluster's of its class. Further
+    columns of samples stay. Centres are tables: a row for each class and start."""
     kept = [c for c in samples.columns if c not in ("id", "label", "vector")]
-    rows = materialize(_projected(samples, axes).select("id", "label", *kept, "z"), "activations")
-    centres = {r["label"]: [[(k - (clusters - 1) / 2) * 0.8 * r["spread"][0], *[0.0] * (len(r["spread"]) - 1)] for k in range(clusters)] for r in axes.select("label", "spread").collect()}
-
-    def assign(centres: dict[int, list[list[float]]]) -> DataFrame:
-        table = samples.sparkSession.createDataFrame([(k, v) for k, v in centres.items()], "label long, centres array<array<double>>")
-        gaps = F.transform("centres", lambda c: F.aggregate(F.zip_with("z", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, d: a + d))
-        return rows.join(F.broadcast(table), "label").withColumn("cluster", F.array_position(gaps, F.array_min(gaps)).cast("int") - 1)
-
-    for _ in range(ROUNDS if centres else 0):
-        size = len(next(iter(centres.values()))[0])
-        means = assign(centres).groupBy("label", "cluster").agg(*[F.avg(F.get("z", F.lit(i))).alias(f"m{i}") for i in range(size)]).collect()
-        moved = {k: [list(c) for c in v] for k, v in centres.items()}
-        for r in means:
-            moved[r["label"]][r["cluster"]] = [r[f"m{i}"] for i in range(size)]
-        if moved == centres:
+    rows = materialize(_projected(samples, class_axes(samples)).select("id", "label", *kept, "z"), "activations")
+    centres, before = materialize(_first_centres(rows, clusters, starts), "centres"), None
+    nearest = lambda c: F.array_min(F.transform(c, lambda x, i: F.struct(_squared("z", x).alias("gap"), i.alias("k"))))
+    parts = materialize(rows.select("label", "z"), "coordinates")
+    for _ in range(ROUNDS):
+        hit = parts.join(centres, "label").withColumn("hit", nearest("centres"))
+        first = hit.select("label", "start", "hit.k", "hit.gap", "z", F.get("centres", F.col("hit.k")).alias("old"))
+        means = [F.avg(F.get("z", F.lit(i))).alias(f"m{i}") for i in range(DIMS)]
+        moved = first.groupBy("label", "start", "k").agg(F.sum("gap").alias("gap"), F.any_value("old").alias("old"), *means)
+        centre = F.filter(F.array(*[f"m{i}" for i in range(DIMS)]), lambda m: m.isNotNull())
+        grouped = moved.groupBy("label", "start").agg(F.sum("gap").alias("gap"), F.collect_list(F.struct("k", centre.alias("c"))).alias("new"))
+        # a cluster without members keeps its centre
+        held = F.map_from_entries(F.col("new"))
+        joined = grouped.join(centres.select("label", "start", "centres"), ["label", "start"])
+        centres = materialize(joined.select("label", "start", F.transform("centres", lambda c, i: F.coalesce(F.try_element_at(held, i), c)).alias("centres"), "gap"), "centres")
+        total = centres.agg(F.sum("gap")).first()[0]
+        if total is None or before is not None and total >= before * (1 - 1e-9):
             break
-        centres = moved
-    out = assign(centres).select("id", "label", "cluster", *kept)
+        before = total
+    best = centres.groupBy("label").agg(F.min_by("centres", F.struct("gap", "start")).alias("centres"))
+    out = materialize(rows.join(best, "label").withColumn("cluster", nearest("centres")["k"].cast("int")).drop("centres"), "clusters")
     sizes = out.groupBy("label", "cluster").agg(F.count("*").alias("size"))
     total = sizes.groupBy("label").agg(F.sum("size").alias("total"))
-    return out.join(F.broadcast(sizes.join(total, "label").select("label", "cluster", (F.col("size") / F.col("total")).alias("share"))), ["label", "cluster"])
+    return out.join(sizes.join(total, "label").select("label", "cluster", (F.col("size") / F.col("total")).alias("share")), ["label", "cluster"])
+
+
+def silhouettes(points: DataFrame, by: str, cluster: str, z: str) -> DataFrame:
+    """(by, points, silhouette) of points in clusters within groups: the mean, over all
+    points, of how much nearer a point lies to its own cluster than to the nearest other
+    one. Nearness is the mean squared distance, which follows from a cluster's number, sum
+    and sum of squares, so no pairs are made and no group is gathered. A point alone in its
+    cluster counts 0; a group of one cluster has null. Rows without a vector are left out."""
+    own = points.where(F.col(z).isNotNull()).select(by, F.col(cluster).alias("_k"), F.transform(z, lambda x: x.cast("double")).alias("_z"))
+    width = own.agg(F.max(F.size("_z"))).first()[0] or 0
+    sums = own.groupBy(by, "_k").agg(F.count("*").alias("n"), F.sum(dot(F.col("_z"), F.col("_z"))).alias("q"), F.array(*[F.sum(F.get("_z", F.lit(i))) for i in range(width)]).cast("array<double>").alias("s"))
+    every = sums.groupBy(by).agg(F.collect_list(F.struct(F.col("_k").alias("k"), "n", "q", "s")).alias("_all"))
+    z2 = dot(F.col("_z"), F.col("_z"))
+    # the sum of squared distances from a point to all of a cluster
+    to = lambda c: F.greatest(c["n"] * z2 + c["q"] - 2 * dot(F.col("_z"), c["s"]), F.lit(0.0))
+    mine = F.get(F.filter("_all", lambda c: c["k"].eqNullSafe(F.col("_k"))), F.lit(0))
+    inner = F.when(mine["n"] > 1, to(mine) / (mine["n"] - 1))
+    outer = F.array_min(F.transform(F.filter("_all", lambda c: ~c["k"].eqNullSafe(F.col("_k"))), lambda c: to(c) / c["n"]))
+    both = own.join(every, by).select(by, inner.alias("a"), outer.alias("b"))
+    value = F.when(F.col("b").isNotNull(), F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
+    return both.groupBy(by).agg(F.count("*").alias("points"), F.avg(value).alias("silhouette"))
 
 
 def suspicious_clusters(clustered: DataFrame, small: float = 0.25, disagree: float = 0.5) -> DataFrame:
@@ -113,14 +154,15 @@ def activation_clusters(samples: DataFrame, predicted: Column) -> DataFrame:
     """(id, cluster, ac_flag): the sample's cluster in its class, and whether it is suspicious."""
     clustered = class_clusters(samples.select("id", "label", "vector", (predicted != F.col("label")).alias("other")))
     found = suspicious_clusters(clustered).select("label", "cluster", F.col("suspicious").alias("ac_flag"))
-    return clustered.join(F.broadcast(found), ["label", "cluster"]).select("id", "cluster", "ac_flag")
+    return clustered.join(found, ["label", "cluster"]).select("id", "cluster", "ac_flag")
 
 
 def class_report(samples: DataFrame, predicted: Column) -> DataFrame:
     """Per class of 20 or more: samples, clusters, the smallest cluster's share, the
-    largest disagreement of a cluster, suspicious."""
-    found = suspicious_clusters(class_clusters(samples.select("id", "label", "vector", (predicted != F.col("label")).alias("other"))))
-    return found.groupBy("label").agg(F.sum("size").alias("samples"), F.count("*").alias("clusters"), F.min("share").alias("smallest_share"), F.max("others").alias("most_disagreement"), F.bool_or("suspicious").alias("suspicious"))
+    largest disagreement of a cluster, suspicious, the clusters' silhouette."""
+    clustered = class_clusters(samples.select("id", "label", "vector", (predicted != F.col("label")).alias("other")))
+    found = suspicious_clusters(clustered)
+    return found.join(silhouettes(clustered, "label", "cluster", "z").drop("points"), "label").groupBy("label").agg(F.sum("size").alias("samples"), F.count("*").alias("clusters"), F.min("share").alias("smallest_share"), F.max("others").alias("most_disagreement"), F.bool_or("suspicious").alias("suspicious"), F.max("silhouette").alias("silhouette"))
 
 
 def two_means(samples: DataFrame, small: float = 0.35) -> DataFrame:
@@ -135,7 +177,7 @@ def poison_flags(samples: DataFrame, predicted: Column) -> DataFrame:
     ac = activation_clusters(samples, predicted)
     both = samples.select("id", "label").join(ac, "id", "left").join(spectral_signatures(samples), "id", "left")
     suspicious = both.where(flag("ac_flag")).select("label").distinct().withColumn("_bad", F.lit(True))
-    both = both.join(F.broadcast(suspicious), "label", "left")
+    both = both.join(suspicious, "label", "left")
     return both.select("id", flag("ac_flag").alias("ac_flag"), "ss_score", flag("ss_flag").alias("ss_flag"), (flag("ac_flag") | (flag("ss_flag") & flag("_bad"))).alias("poison_flag"))
 
 
@@ -176,7 +218,7 @@ def label_issues(probabilities: DataFrame) -> DataFrame:
     joint = rows.where("counted is not null").groupBy("label", "counted").agg(F.count("*").alias("c"))
     totals = joint.groupBy("label").agg(F.sum("c").alias("total"))
     quota = joint.join(totals, "label").join(thresholds, "label").where("label <> counted").select("label", F.col("counted").alias("other"), F.round(F.col("c") * F.col("n") / F.col("total")).cast("long").alias("quota")).where("quota > 0")
-    margins = rows.join(F.broadcast(quota), "label").withColumn("margin", F.get("p", F.col("other")) - F.get("p", F.col("label")))
+    margins = rows.join(quota, "label").withColumn("margin", F.get("p", F.col("other")) - F.get("p", F.col("label")))
     place = F.row_number().over(Window.partitionBy("label", "other").orderBy(F.desc("margin"), "id"))
     pruned = margins.withColumn("place", place).where("place <= quota").select("id").distinct().withColumn("_pruned", F.lit(True))
     suggested = argmax(F.col("p"))

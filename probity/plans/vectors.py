@@ -301,6 +301,20 @@ def _class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poison.class_report(_predicted(rows, probabilities(rows)), F.col("predicted"))
 
 
+def _silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the labels of each kind of id (five of them) lie apart as clusters."""
+    v = vectors(spark, sf_dir).withColumn("peer", F.col("id") % 5)
+    return poison.silhouettes(v, "peer", "label", "vector").select("peer", "points", F.round("silhouette", 6).alias("silhouette"))
+
+
+# straight from all pairs
+SILHOUETTE = f"""WITH v AS (SELECT vec_id AS id, vec_id % 5 AS peer, label, {D} AS x FROM embeddings WHERE embedding IS NOT NULL),
+g AS (SELECT a.peer, a.id, a.label, b.label AS other, sum(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS total, count(*) AS n
+  FROM v a JOIN v b ON a.peer = b.peer AND a.id <> b.id GROUP BY ALL),
+s AS (SELECT peer, id, max(total / n) FILTER (other IS NOT DISTINCT FROM label) AS a, min(total / n) FILTER (other IS DISTINCT FROM label) AS b FROM g GROUP BY ALL)
+SELECT peer, count(*) AS points, round(avg(CASE WHEN b IS NOT NULL THEN coalesce((b - a) / greatest(a, b), 0) END), 6) AS silhouette FROM s GROUP BY peer"""
+
+
 def _two_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poison.two_means(pool(spark, sf_dir))
 
@@ -354,6 +368,7 @@ QUERIES = {
     "activation_clustering": Query(_activation, None, "H11"),
     "detector_agreement": Query(_agreement, None, "D27"),
     "activation_report": Query(_class_report, None, "D21"),
+    "label_silhouette": Query(_silhouette, SILHOUETTE, "H11"),
     "two_means_check": Query(_two_means, None, "H13"),
     "trace_top32": Query(_trace_top, None, "F3"),
     "label_issues_cl": Query(_issues, None, "H9 H10"),

@@ -179,6 +179,35 @@ def test_signatures(spark):
     assert {r["id"]: r["verdict"] for r in S.verify_signatures(records).collect()} == {1: "valid", 2: "malformed"}
 
 
+def test_batches_of_signatures(monkeypatch):
+    from probity.operators import signatures as S
+
+    seeds = [bytes([i]) * 32 for i in range(3)]
+    good = [(S.public_key(seeds[i % 3]), b"row %d" % i, S.sign(seeds[i % 3], b"row %d" % i)) for i in range(300)]
+    done, add = [0], S._add
+
+    def counted(p, q):
+        done[0] += 1
+        return add(p, q)
+
+    def cost(find):
+        done[0] = 0
+        return find(), done[0]
+
+    monkeypatch.setattr(S, "_add", counted)
+    # another body, another's key, swapped halves of two signatures that would cancel out in a plain sum
+    few = list(good)
+    few[3], few[77], few[250] = (good[3][0], b"x", good[3][2]), (good[1][0], *good[77][1:]), (None, b"", good[0][2])
+    half = int.from_bytes(good[9][2][32:], "little"), int.from_bytes(good[12][2][32:], "little")
+    for i, s in ((9, half[0] + 1), (12, half[1] - 1)):
+        few[i] = (*good[i][:2], good[i][2][:32] + s.to_bytes(32, "little"))
+    many = [(k, b + b"!" if i % 3 else b, s) for i, (k, b, s) in enumerate(good[:60])]
+    for rows, gain in ((good, 10), (few, 2), (many, 0), ([], 0)):
+        (found, batched), (single, plain) = cost(lambda: S.verdicts(rows)), cost(lambda: [S.verdict(*r) for r in rows])  # noqa: B023
+        assert found == single and plain >= gain * batched
+    assert [i for i, v in enumerate(S.verdicts(few)) if v == "altered"] == [3, 9, 12, 77]
+
+
 def test_detectors_agree_on_most(spark):
     from probity.plans.catalog import QUERIES
 
@@ -238,6 +267,32 @@ def test_class_probabilities_of_few_samples(spark):
     assert [tuple(r) for r in poison.class_probabilities(two).collect()] == [(1, 0, [1.0])]
 
 
+def test_silhouettes_and_starts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    z, k = rng.normal(size=(60, 3)), rng.integers(0, 4, 60)
+    z[:, 0] += 3 * k
+    k[59] = 7  # alone in its cluster
+    pair = ((z[:, None] - z[None]) ** 2).sum(-1)
+    want = []
+    for i in range(60):
+        same = [j for j in range(60) if k[j] == k[i] and j != i]
+        b = min(pair[i, k == c].mean() for c in set(k) - {k[i]})
+        want.append((b - pair[i, same].mean()) / max(b, pair[i, same].mean()) if same else 0.0)
+    rows = [("a", int(c), p.tolist()) for c, p in zip(k, z, strict=True)] + [("one", 1, [1.0, 2.0, 3.0])] * 3 + [("a", 1, None), ("same", 1, [0.0] * 3), ("same", 1, [0.0] * 3), ("same", 2, [0.0] * 3)]
+    got = {r["g"]: r for r in poison.silhouettes(spark.createDataFrame(rows, "g string, k int, z array<double>"), "g", "k", "z").collect()}
+    assert got["a"]["points"] == 60 and abs(got["a"]["silhouette"] - np.mean(want)) < 1e-9
+    assert got["one"]["silhouette"] is None and got["same"]["silhouette"] == 0
+    # five clusters around a ring: starts along one axis alone end worse
+    ring = [(i, 0, [float(10 * np.cos(i % 5 * 1.2566) + rng.normal() / 5), float(10 * np.sin(i % 5 * 1.2566) + rng.normal() / 5), *[0.0] * 10]) for i in range(200)]
+    samples = spark.createDataFrame(ring, "id long, label long, vector array<double>")
+    found = poison.class_clusters(samples, starts=6).select("id", "cluster").collect()
+    assert len({(r["id"] % 5, r["cluster"]) for r in found}) == 5
+    empty = poison.class_clusters(samples.where("id < 0"))
+    assert empty.count() == 0 and poison.silhouettes(empty, "label", "cluster", "z").count() == 0
+
+
 def test_two_means_flags_the_smaller_cluster(spark):
     rows = spark.range(100).select("id", F.lit(0).alias("label"), F.array(F.when(F.col("id") < 20, 5.0).otherwise(0.0) + F.sin("id") * 0.1, F.cos("id") * 0.1).alias("vector"))
     got = poison.two_means(rows).where("tm_flag").select("id").collect()
