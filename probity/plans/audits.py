@@ -116,9 +116,9 @@ SELECT 'audit_report' AS kind, 'audit-' || subject_id || '-' || substr(sha256, 1
 SELECT 'evidence_batch', 'evidence_batch-' || substr(sha256(string_agg(part, '' ORDER BY block)), 1, 16), sum(n)::BIGINT FROM p GROUP BY "check\""""
 
 
-def _metric_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence on contributors: each metric's distance from its peers, and the trust score."""
-    scores = materialize(trusted(spark, sf_dir), "trusted")
+def contributor_evidence(scores: DataFrame) -> DataFrame:
+    """Sealed rows on contributors of C.trust(): each metric's distance from its peers, and
+    the trust score."""
     who = F.col("contributor")
     rows = lambda frame, no, check, *more, **kept: A.evidence_rows(frame, no, "risk", "contributor", check, who, *more, contributor=who, **kept)
     drilled = materialize(C.drill_down(scores), "metrics")
@@ -130,7 +130,11 @@ def _metric_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = drilled.where(F.col("metric") == metric)
         z = F.col("z")
         union = union.unionByName(rows(own, no, metric, z, F.lit(C.FLAG_Z), F.round(z, 9) >= C.FLAG_Z, F.when(z >= 2 * C.FLAG_Z, "high").otherwise("medium"), "scaled median deviation from all contributors", details={"peer_median": A.text4(F.col("peer_median")), "value": A.text4(F.col("value"))}))
-    return A.sealed(union, "ev-rsk", ["no", "subject_id"], dense_index).withColumn("score", F.round("score", 6)).withColumn("artefacts", F.array_join("artefacts", ","))
+    return A.sealed(union, "ev-rsk", ["no", "subject_id"], dense_index)
+
+
+def _metric_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contributor_evidence(materialize(trusted(spark, sf_dir), "trusted")).withColumn("score", F.round("score", 6)).withColumn("artefacts", F.array_join("artefacts", ","))
 
 
 _Z = [f"round(z_{m}, 9) >= {C.FLAG_Z}" for m in C.METRICS]

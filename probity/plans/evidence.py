@@ -14,6 +14,7 @@ from probity.operators import contributors as C
 from probity.operators import ledger as L
 from probity.operators.ordering import dense_index
 from probity.operators.poison import trace_sources
+from probity.plans.audits import contributor_evidence
 from probity.plans.ledger import QUERIES as LEDGER
 from probity.plans.ledger import _quotes
 from probity.plans.query import Query, table
@@ -85,6 +86,48 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_entry(trusted, "risk_report", "risk-", "contributor", risk).unionByName(report_entry(trace_sources(traced(samples), samples), "trace_report", "trace-", "contributor", source))
 
 
+def evidence_entry(kind: str, prefix: str, said: DataFrame, evidence: DataFrame) -> DataFrame:
+    """A ledger entry (kind, entry_id, payload) of one row of said: its fields and the digest
+    of the sealed evidence behind it, as canonical JSON; the entry is named by that digest.
+    Evidence has any number of rows, or none; it is summed up, not gathered."""
+    seals = L.set_digest(evidence.select(F.lit(kind).alias("kind"), F.concat("evidence_id", "sha256").alias("seal")), "kind", F.col("seal"))
+    whole = seals.agg(L.digest(F.coalesce(F.max("digest"), F.lit(""))).alias("evidence_sha256"))
+    rows = said.crossJoin(F.broadcast(whole))
+    payload = L.canonical_json(**{c: F.col(c) for c in rows.columns})
+    return rows.select(F.lit(kind).alias("kind"), F.concat(F.lit(prefix), F.substring("evidence_sha256", 1, 16)).alias("entry_id"), payload.alias("payload"))
+
+
+def risk_report(trusted: DataFrame) -> DataFrame:
+    """The entry on contributors of C.trust(): everyone's trust with three decimals, who is
+    flagged. Contributors are a dimension."""
+    trust = F.round("trust", 3).cast("decimal(9,3)").cast("string")
+    said = trusted.agg(
+        F.array_sort(F.collect_list(F.when(flag("flagged"), F.col("contributor")))).alias("flagged"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("contributor", trust.alias("trust"))))).alias("trust"),
+    )
+    return evidence_entry("risk_report", "risk-", said, contributor_evidence(trusted))
+
+
+def trace_report(samples: DataFrame, traces: DataFrame) -> DataFrame:
+    """The entry on a trace: the target class, the likeliest source with its share of all
+    candidates (four decimals), and their number. Without candidates, source and share are null."""
+    sources = materialize(trace_sources(traces, samples), "sources")
+    target = traces.join(samples.select("id", "label"), "id").agg(F.max("label").alias("target_class"))
+    first = sources.agg(
+        F.max(F.when(F.col("source"), F.col("contributor"))).alias("source"),
+        F.max(F.when(F.col("source"), F.round("share", 4).cast("decimal(9,4)").cast("string"))).alias("source_share"), F.coalesce(F.sum("candidates"), F.lit(0)).cast("long").alias("n_candidates"),
+    )
+    return evidence_entry("trace_report", "trace-", target.crossJoin(F.broadcast(first)), trace_evidence(traces, sources))
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A risk report of the pool's contributors and a trace report of its trigger."""
+    samples = pool(spark, sf_dir)
+    found = detected(samples).withColumnRenamed("id", "sample_id")
+    trusted = materialize(C.trust(C.contributor_metrics(found)), "trusted")
+    return risk_report(trusted).unionByName(trace_report(samples, traced(samples)))
+
+
 def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders issued as receipts in the order of their keys: each is a ledger entry whose
     id holds its day, the log's size at its issue, and four digits of its digest."""
@@ -120,6 +163,7 @@ QUERIES = {
     "scan_evidence": Query(_scan, None, "P-near_duplicate P-out_of_distribution P-label_issue P-trigger_poison H15"),
     "trace_evidence": Query(_trace, None, "P-backdoor_source P-carries_recovered_trigger H19"),
     "report_entries": Query(_reports, None, "Q-risk_report Q-trace_report"),
+    "report_payloads": Query(_payloads, None, "Q-risk_report Q-trace_report"),
     "receipt_entries": Query(_receipts, RECEIPTS, "Q-receipt J12"),
     "key_releases": Query(_releases, RELEASES.format(quotes=LEDGER["quote_checks"].sql), "Q-key_release"),
 }

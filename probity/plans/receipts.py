@@ -125,7 +125,29 @@ r AS (SELECT *, concat_ws('; ', CASE WHEN NOT platform_signature THEN 'platform_
   CASE WHEN NOT report_data_binding THEN 'report_data_binding' END, CASE WHEN NOT nonce THEN 'nonce' END, CASE WHEN NOT fresh THEN 'fresh' END) AS reason FROM q)
 SELECT *, CASE WHEN reason = '' THEN 'released' ELSE 'refused' END AS decision FROM r"""
 
+def _releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger entry of every attested request: the decision, the names of the keys that
+    are released, what was measured and why it was refused. Keys are named after regions;
+    every third customer asks for all, others for their own region's and one that doesn't exist."""
+    decided = _requests(spark, sf_dir).select("c_custkey", "reason", "decision")
+    nations, regions = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), table(spark, sf_dir, "region")
+    homes = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "r_name")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    wanted = F.when(F.col("c_custkey") % 3 != 0, F.array("r_name", F.lit("none")))
+    rows = decided.join(customers, "c_custkey").join(homes, "n_nationkey", "left").withColumn("wanted", wanted).withColumn("allowed", F.col("decision") == "released")
+    rows = L.released_names(rows, "allowed", "wanted", regions.select("r_name"), "r_name")
+    said = {"decision": F.col("decision"), "keys": F.col("released"), "measurement": _code(F.col("n_nationkey").cast("long")), "quote_id": F.col("c_custkey").cast("string"), "reason": F.col("reason")}
+    payload = L.canonical_json(**said)
+    return rows.select(F.lit("key_release").alias("kind"), F.concat(F.lit("kr-"), F.substring(L.digest(payload), 1, 12)).alias("entry_id"), payload.alias("payload"))
+
+
+RELEASES = f"""WITH d AS ({REQUESTS}), w AS (SELECT d.*, c_nationkey, r_name FROM d JOIN customer c ON c.c_custkey = d.c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey),
+p AS (SELECT '{{"decision":"' || decision || '","keys":[' || CASE WHEN decision = 'refused' THEN '' WHEN c_custkey % 3 = 0 THEN (SELECT string_agg('"' || r_name || '"', ',' ORDER BY r_name) FROM region) ELSE '"' || r_name || '"' END ||
+  '],"measurement":"' || sha256('code' || c_nationkey) || '","quote_id":"' || c_custkey || '","reason":"' || reason || '"}}' AS payload FROM w)
+SELECT 'key_release' AS kind, 'kr-' || substr(sha256(payload), 1, 12) AS entry_id, payload FROM p"""
+
 QUERIES = {
     "verified_receipts": Query(_receipts, RECEIPTS, "C9 C10 J13 J16 K4 B9"),
     "attested_requests": Query(_requests, REQUESTS, "K3 K4 B8"),
+    "release_entries": Query(_releases, RELEASES, "Q-key_release K6"),
 }

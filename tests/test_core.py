@@ -332,6 +332,34 @@ def test_reports_of_the_pool(spark):
     assert len(top) <= 32 and [r["trace_score"] for r in top] == sorted((r["trace_score"] for r in top), reverse=True)
 
 
+def test_reports_name_their_evidence(spark):
+    from probity.operators import contributors as C
+    from probity.operators import poison as P
+    from probity.plans import evidence as E
+
+    rows = [(f"s{i}", f"C{i % 5 + 1}", i % 3, i % 5 == 2 and i % 2 == 0, False, False, i == 7, -1) for i in range(200)]
+    found = spark.createDataFrame(rows, "sample_id string, contributor string, label long, poison_flag boolean, label_issue boolean, in_dup boolean, ood_flag boolean, dup_cluster long")
+    trusted = C.trust(C.contributor_metrics(found)).cache()
+    risk = E.risk_report(trusted).first()
+    said = json.loads(risk["payload"])
+    seals = E.contributor_evidence(trusted)
+    assert said["flagged"] == sorted(r["contributor"] for r in trusted.where("flagged").collect()) and "C3" in said["flagged"]
+    assert {k: float(v) for k, v in said["trust"].items()} == {r["contributor"]: round(r["trust"], 3) for r in trusted.collect()}
+    assert risk["entry_id"] == "risk-" + said["evidence_sha256"][:16]
+    # the digest covers the seals, whatever their order
+    assert E.evidence_entry("risk_report", "risk-", trusted.limit(1).select("contributor"), seals.repartition(7)).first()["entry_id"] == risk["entry_id"]
+    assert E.evidence_entry("risk_report", "risk-", trusted.limit(1).select("contributor"), seals.where("evidence_id <> 'ev-rsk-000003'")).first()["entry_id"] != risk["entry_id"]
+
+    samples = spark.createDataFrame([(i, f"C{i % 5 + 1}", 4) for i in range(20)], "id long, contributor string, label long")
+    traces = samples.select("id", "contributor", F.lit(0.9).alias("trace_score"), F.lit(0.5).alias("threshold"), F.lit(True).alias("ac_flag"), F.lit(True).alias("over"), ((F.col("contributor") == "C3") | (F.col("id") == 0)).alias("candidate"))
+    said = json.loads(E.trace_report(samples, traces).first()["payload"])
+    assert (said["target_class"], said["source"], said["source_share"], said["n_candidates"]) == (4, "C3", "0.8000", 5)
+    none = E.trace_report(samples, traces.where("false")).first()
+    said = json.loads(none["payload"])
+    assert (said["target_class"], said["source"], said["n_candidates"]) == (None, None, 0) and none["entry_id"].startswith("trace-")
+    assert P.trace_sources(traces, samples).where("source").count() == 1
+
+
 def test_class_report_counts_every_class(spark):
     from probity.plans.catalog import QUERIES
 
