@@ -9,12 +9,18 @@ bands of five for 0.85, 25 of four for 0.8.
 Classes. Documents with one shingle set are one class; only its first row goes on.
 
 Candidates. Documents with an equal band form a bucket. First every member is
-compared with the bucket's leader, its smallest row, which unites most. Then the
-members outside the leader's component, the guests, meet all members of the bucket:
-both are dealt into blocks, and every pair of different components is verified in
-the block pair of the first band that it shares. So no pair that shares a band is
-left out, no bucket lies in one task, and only links leave a task. The cost of the
-second step grows with guests times members; a group of copies has no guests.
+compared with the bucket's leader, the member whose buckets hold most documents: the
+least edited of near copies, which unites most. Then the members outside the leader's
+component, the guests, meet all members of the bucket: both are dealt into blocks, and
+every pair of different components is verified in the block pair of the first band
+that it shares. So no pair that shares a band is left out, no bucket lies in one task,
+and only links leave a task. A group of copies has no guests.
+
+Bounds. Of the documents in buckets with guests, shingles that one document alone holds
+lie in no intersection. So an intersection is at most the smaller number of the others.
+Pairs, and whole documents, which cannot reach the threshold even so are not verified:
+most guests among near copies, by edits of their own. The cost of the second step grows
+with the remaining guests times members.
 
 Links. The whole texts of a candidate pair come together, and the pair is linked if
 100 * intersection >= percent * union of the full sets. Intersections of a block pair
@@ -115,20 +121,20 @@ def _describe(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             )
 
 
-_TILE = pa.schema([*((c, pa.int64()) for c in ("key", "i", "j", "side", "node", "comp", "guest", "n")), ("bands", pa.list_(pa.int64()))])
-_TILE_SCHEMA = "key long, i long, j long, side long, node long, comp long, guest long, n long, bands array<long>"
+_TILE = pa.schema([*((c, pa.int64()) for c in ("key", "i", "j", "side", "node", "comp", "guest", "n", "shared")), ("bands", pa.list_(pa.int64()))])
+_TILE_SCHEMA = "key long, i long, j long, side long, node long, comp long, guest long, n long, shared long, bands array<long>"
 
 
 def _open_pairs(tile: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of side 0, rows of side 1, and for which pairs of them the tile's bucket
     is the first that they share, with components and sizes that allow a link."""
-    side, node, comp, guest, n = (np.asarray(tile.column(c)) for c in ("side", "node", "comp", "guest", "n"))
+    side, node, comp, guest, n, shared = (np.asarray(tile.column(c)) for c in ("side", "node", "comp", "guest", "n", "shared"))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     ok = comp[left][:, None] != comp[right][None, :]
     # two guests meet twice
     ok &= (guest[right] == 0)[None, :] | (node[left][:, None] < node[right][None, :])
-    small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
-    ok &= 100 * small >= percent * large
+    most = np.minimum(shared[left][:, None], shared[right][None, :])
+    ok &= 100 * most >= percent * (n[left][:, None] + n[right][None, :] - most)
     if ok.any():
         bands = np.asarray(tile.column("bands").combine_chunks().flatten()).reshape(len(node), -1)
         for band in bands.T[: int(np.flatnonzero(bands[0] == tile.column("key")[0].as_py())[0])]:
@@ -207,6 +213,22 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document and shingle."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = shingle_sets(part.column("text").to_pylist())
+            node = np.repeat(np.asarray(part.column("node")), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
+
+
+def lone_shingles(texts: DataFrame) -> DataFrame:
+    """Of rows (node, text): node, lone, the number of its shingles that no other row holds, if any."""
+    held = texts.mapInArrow(_shingle_rows, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
+    return held.where("holders = 1").groupBy("node").agg(F.count("*").alias("lone"))
+
+
 def _classes(numbered: DataFrame, percent: int) -> DataFrame:
     """Of rows (node, doc_id, text): node, doc_id, n_shingles, component_id and
     comp, the component's smallest class (null without words)."""
@@ -217,14 +239,18 @@ def _classes(numbered: DataFrame, percent: int) -> DataFrame:
     # merge: what grows with the documents is joined alike at every size
     ahead = rows.select("node", F.col("n_shingles").alias("n"), "bands").join(classes.select("node").hint("merge"), "node", "left_semi")
     buckets = materialize(ahead.select("node", "n", F.explode("bands").alias("key")), "minhash-bands")
-    leaders = buckets.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.min(F.struct("node", "n")).alias("leader")).where("members > 1")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     # written first: a join of tables alone is dealt anew where a key is hot
-    members = materialize(buckets.join(materialize(leaders, "minhash-leaders").hint("merge"), "key"), "minhash-members")
+    members = materialize(buckets.join(materialize(sizes, "minhash-sizes").hint("merge"), "key"), "minhash-members")
+    reach = materialize(members.groupBy("node").agg(F.sum("members").alias("reach")), "minhash-reach")
+    # the node that most documents meet, of such ones the smallest
+    leaders = members.join(reach.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("reach", (-F.col("node")).alias("least"), "node", "n")).alias("leader"))
+    members = materialize(members.join(materialize(leaders, "minhash-leaders").hint("merge"), "key"), "minhash-led")
 
     texts = rows.select("node", "text").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
     texts = materialize(texts, "minhash-texts")
     led = members.where(F.col("node") != F.col("leader.node")).where(100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n"))
-    pairs = led.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = led.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
     asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
     both = asked.join(texts.hint("merge"), "node").repartition(n, "a", "b").sortWithinPartitions("a", "b").select("a", "b", "node", "text")
     links = materialize(both.mapInArrow(partial(_verify, percent=percent), "a long, b long"), "minhash-links")
@@ -234,21 +260,26 @@ def _classes(numbered: DataFrame, percent: int) -> DataFrame:
     led_by = labels.select(F.col("node").alias("leader_node"), F.col("root").alias("leader_comp"))
     state = (
         members.where("members > 2")
-        .select("key", "members", "weight", "node", "n", F.col("leader.node").alias("leader_node"))
+        .select("key", "node", "n", F.col("leader.node").alias("leader_node"))
         .join(labels, "node", "left")
         .join(led_by, "leader_node", "left")
         .withColumn("comp", F.coalesce("root", "node"))
         .withColumn("guest", (F.col("comp") != F.coalesce("leader_comp", "leader_node")).cast("long"))
-        .select("key", "members", "weight", "node", "comp", "guest", "n")
+        .select("key", "node", "comp", "guest", "n")
     )
     state = materialize(state, "minhash-state")
     blocks = lambda count, weight: F.ceil(F.greatest(F.col(count) / BLOCK, F.col(weight) / BLOCK_SHINGLES))
-    mixed = state.where("guest = 1").groupBy("key").agg(F.count("*").alias("guests"), F.sum("n").alias("guest_weight"))
-    state = state.join(materialize(mixed.withColumn("guest_blocks", blocks("guests", "guest_weight")), "minhash-mixed"), "key")
-    state = state.withColumn("blocks", blocks("members", "weight")).join(ahead.select("node", "bands"), "node")
+    mixed = materialize(state.where("guest = 1").select("key").distinct(), "minhash-mixed")
+    state = materialize(state.join(mixed.hint("merge"), "key", "left_semi"), "minhash-unsettled")
+    lone = lone_shingles(texts.join(state.select("node").distinct().hint("merge"), "node", "left_semi"))
+    state = state.join(materialize(lone, "minhash-lone").hint("merge"), "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0)))
+    state = materialize(state.where(100 * F.col("shared") >= percent * F.col("n")).drop("lone"), "minhash-hopeful")
+    sizes = state.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.sum("guest").alias("guests"), F.sum(F.col("n") * F.col("guest")).alias("guest_weight")).where("guests > 0")
+    sizes = sizes.select("key", blocks("members", "weight").alias("blocks"), blocks("guests", "guest_weight").alias("guest_blocks"))
+    state = state.join(materialize(sizes, "minhash-blocks"), "key").join(ahead.select("node", "bands"), "node")
     home = lambda count, seed: F.pmod(F.xxhash64("node", "key", F.lit(seed)), count)
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-    shown = ["node", "comp", "guest", "n", "bands"]
+    shown = ["node", "comp", "guest", "n", "shared", "bands"]
     guests = state.where("guest = 1").select("key", home(F.col("guest_blocks"), 1).alias("i"), every("blocks").alias("j"), F.lit(0).cast("long").alias("side"), *shown)
     others = state.select("key", every("guest_blocks").alias("i"), home(F.col("blocks"), 2).alias("j"), F.lit(1).cast("long").alias("side"), *shown)
     tiled = lambda df: df.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")

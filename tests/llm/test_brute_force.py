@@ -306,6 +306,26 @@ def test_links_at_the_threshold(spark):
     assert common_counts(some[:2], some[1:]).tolist() == [[len(np.intersect1d(a, b)) for b in some[1:]] for a in some[:2]]
 
 
+def test_near_copies_are_not_all_paired(spark, monkeypatch):
+    """Near copies with edits of their own: components as by brute force, and few of their pairs need their texts."""
+    from probity.llm import minhash
+
+    made, write = {}, minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, name: made.setdefault(name, write(df, name)))
+    r = np.random.default_rng(21)
+    base, texts = [f"t{x}" for x in r.integers(0, 5000, 200)], []
+    for i in range(300):  # the more edits, the earlier the row
+        own = list(base)
+        for at in r.choice(200, 12 - i // 25, replace=False):
+            own[at] = f"n{i}x{at}"
+        texts.append(" ".join(own))
+    want = components([shingles(t) for t in texts], 80)
+    assert 20 < len(set(want)) < 250
+    got = {x["doc_id"]: x["component_id"] for x in minhash.minhash_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 80).collect()}
+    assert [got[i] for i in range(300)] == want
+    assert made["minhash-links"].count() > 40 and made["minhash-open"].count() < 600
+
+
 def test_language_model_is_a_distribution():
     """Probabilities of all symbols sum to one, with and without a match, and of a byte's values in its context."""
     from probity.llm.context_mixing import SLOTS, Matches, Mixer, Words, packed_odds, spell
