@@ -362,6 +362,37 @@ def test_copies_are_likelier(spark):
     assert np.mean([got[i] for i in told]) > np.mean([got[i] for i in range(30, 200)]) + 0.5
 
 
+def test_every_position_is_asked_for_matches(spark, monkeypatch):
+    """Each word behind four that another training text holds gets a guess: that text's most frequent one."""
+    from probity.llm import context_mixing
+
+    made, write = {}, context_mixing.materialize
+    monkeypatch.setattr(context_mixing, "materialize", lambda df, name: made.setdefault(name, write(df, name)))
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(r.choice(list("abcde"), 60))) for i in range(40)]
+    context_mixing.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    held, want = {}, []
+    for i, text in rows:
+        words = [*text.split(), ""]
+        for at in range(4, len(words)):
+            if zlib.crc32(str(i).encode()) % 5 != 1:
+                held.setdefault(tuple(words[at - 4 : at]), {}).setdefault(i, words[at])
+    for i, text in rows:
+        words, n, right = [*text.split(), ""], 0, 0
+        for at in range(4, len(words)):
+            others = Counter(w for d, w in held.get(tuple(words[at - 4 : at]), {}).items() if d != i)
+            n += bool(others)
+            first = others.most_common(1)
+            right += bool(others) and words[at] == first[0][0] and list(others.values()).count(first[0][1]) == 1
+        want.append((n, right))
+    got = []
+    for x in made["lm-matches"].collect():
+        guess, word = (context_mixing.symbols_of(bytes(x[c])) for c in ("guess", "word"))
+        got.append((len(x["run"]), int((guess == word).sum())))
+    assert sorted(n for n, _ in got) == sorted(n for n, _ in want if n)
+    assert sum(x for _, x in got) >= sum(x for _, x in want) > 0
+
+
 def water_level(sizes, weights, cap):
     """Targets by bisection over the common level."""
     lo, hi = 0.0, 1e12
