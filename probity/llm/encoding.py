@@ -120,6 +120,11 @@ def encoder(tokenizer_path: str) -> WordEncoder:
     return _encoders[tokenizer_path]
 
 
+def forget() -> None:
+    """Drop this worker process's encoders: one process runs the tasks of all stages, and others need the memory."""
+    _encoders.clear()
+
+
 def id_width(tokenizer_path: str) -> str:
     """Little-endian type of ids between stages: two bytes where the vocabulary fits."""
     return "<u2" if encoder(tokenizer_path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"

@@ -47,6 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probity.llm import encoding
 from probity.operators.graph import connected_components, forest
 from probity.llm.shared import materialize, parallelism, runs
 from probity.llm.shingles import mix64, overlap, shingle_sets
@@ -94,6 +95,7 @@ def band_rows(percent: int) -> int:
 
 def _describe(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """A row of _ROW_SCHEMA for each document."""
+    encoding.forget()
     height = band_rows(percent)
     width = COORDINATES // height
     for batch in batches:

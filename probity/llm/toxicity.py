@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probity.llm import encoding
+
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, GRAM_ROWS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 15, 8, 8, 8
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 LEAST_DOCS = 4  # of the sample, to learn a feature
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -348,6 +350,7 @@ def drop_toxic(docs: DataFrame, net: Net, threshold: float = 0.5) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding.forget()
         scorer = Scorer(net)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -4,6 +4,7 @@ operator gives its stated result."""
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,18 @@ def test_near_duplicates_stage_links_at_080(spark):
     assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, pair, "").collect()] == [1]
     assert [r["component_id"] for r in minhash.minhash_classes(pair).orderBy("doc_id").collect()] == [1, 2]
     assert (minhash.band_rows(85), minhash.band_rows(80)) == (5, 4)
+
+
+def test_worker_keeps_little_between_stages(spark, monkeypatch):
+    """Tables of shingles' powers stay small, and stages before packing drop its encoders: one process runs all."""
+    from probity.llm import encoding, shingles
+
+    shingles._powers_of.clear()
+    text = b"some words of a text " * 5000
+    sets = shingles.shingle_sets([text] * 20 + [text * 30])
+    assert len({x.tobytes() for x in sets[:20]}) == 1
+    assert sum(x.nbytes for x in shingles._powers_of.values()) < 1 << 24
+    monkeypatch.setitem(encoding._encoders, "a path", None)
+    assert [x for x in minhash._describe(iter([]), 80)] == [] and not encoding._encoders
+    corpus_pipeline.redact_personal_data(spark, spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
