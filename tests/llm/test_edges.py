@@ -221,3 +221,16 @@ def test_worker_keeps_little_between_stages(spark, monkeypatch):
     assert [x for x in minhash._describe(iter([]), 80)] == [] and not encoding._encoders
     corpus_pipeline.redact_personal_data(spark, spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+
+
+def test_match_questions_are_small():
+    """A part asks with fewer than seven bytes a context, and little comes back of contexts that no other part holds."""
+    from probity.llm.context_mixing import _answer, _ask, shrunk
+
+    r = np.random.default_rng(5)
+    parts = [r.integers(0, 3000, 40_000) for _ in range(4)]
+    hashes = np.append(r.integers(-(1 << 62), 1 << 62, 3000), 0)
+    columns = zip(*((p, shrunk(np.full(100, 400, "<u4")), shrunk(np.zeros(100, "u1")), shrunk(x.astype("<u4")), shrunk(np.zeros(0, "<i8"))) for p, x in enumerate(parts)), strict=True)
+    asked = list(_ask(hashes, 1, 64 - 20 - 18)(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["part", *"abce"])])))
+    size = lambda batches: sum(len(x or b"") for b in batches for c in "abcde" for x in b.column(c).to_pylist())
+    assert size(asked) < 7 * 160_000 and size(_answer(iter(asked))) < 160_000 // 4
