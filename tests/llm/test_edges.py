@@ -234,3 +234,20 @@ def test_match_questions_are_small():
     asked = list(_ask(hashes, 1, 64 - 20 - 18)(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["part", *"abce"])])))
     size = lambda batches: sum(len(x or b"") for b in batches for c in "abcde" for x in b.column(c).to_pylist())
     assert size(asked) < 7 * 160_000 and size(_answer(iter(asked))) < 160_000 // 4
+
+
+def test_code_travels_small():
+    """What tasks get of a code is less than half its arrays, and the same code."""
+    import pickle
+
+    from probity.llm.context_mixing import Code, Matches, Words
+
+    words = Words.fit(np.zeros((2, 5000)), np.tile(1e6 / np.arange(1, 5001), (2, 1)).astype(int))[1]
+    code = words.code
+    sent = pickle.dumps(code)
+    got: Code = pickle.loads(sent)
+    assert 2 * len(sent) < code.node.nbytes + code.begin.nbytes + code.bit.nbytes
+    assert all((getattr(got, k) == getattr(code, k)).all() and getattr(got, k).dtype == getattr(code, k).dtype for k in ("begin", "node", "bit"))
+    assert len(pickle.dumps(Matches.new(words))) < len(pickle.dumps(Matches.new(words).words))
+    empty = pickle.loads(pickle.dumps(Code.of(np.ones(1))))
+    assert len(empty.begin) == 2 and not len(empty.node)
