@@ -251,3 +251,34 @@ def test_code_travels_small():
     assert len(pickle.dumps(Matches.new(words))) < len(pickle.dumps(Matches.new(words).words))
     empty = pickle.loads(pickle.dumps(Code.of(np.ones(1))))
     assert len(empty.begin) == 2 and not len(empty.node)
+
+
+def test_finished_jobs_keep_no_shuffle_files(spark, monkeypatch):
+    """Once answers are written, the questions' shuffle files go; the last join runs with the session's own setting, and again."""
+    import time
+
+    def held() -> dict[str, int]:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        files = [files.apply(i) for i in range(files.size())]
+        return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    seen, write = {}, context_mixing.materialize
+
+    def written(df, name):
+        before = set(held())
+        out = write(df, name)
+        for _ in range(100):  # executors delete files in the background
+            if not set(held()) - before:
+                break
+            time.sleep(0.1)
+        seen[name] = set(held()) - before
+        return out
+
+    monkeypatch.setattr(context_mixing, "materialize", written)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, f"a b c d e f{i % 7} g h") for i in range(50)], "doc_id long, text string")
+    out = context_mixing.score_documents(docs)
+    assert {"lm-counts", "lm-answers", "lm-matches"} <= set(seen) and not any(seen.values())
+    assert spark.conf.get(name) == was
+    assert out.count() == 50 and sorted(out.collect()) == sorted(out.collect())
