@@ -78,7 +78,7 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.zeros(len(data), np.uint64)
     for n in range(1, 6):
         shifted = np.zeros(len(data), np.uint64)
-        shifted[: len(data) - n + 1] = data[n - 1 :]
+        shifted[: max(0, len(data) - n + 1)] = data[n - 1 :]  # a single short word has fewer bytes than n
         code = (code + shifted + np.uint64(n)) * _MIX
         code ^= code >> np.uint64(29)
         if n >= 3:

@@ -146,6 +146,18 @@ def test_toxicity(spark, docs, none):
     assert {r["score"] for r in toxicity.score(docs, blank).collect()} == {0.0} or blank.share == 0
 
 
+def test_toxicity_meets_a_lone_word_of_one_letter(spark):
+    # the batches after the first bring one new word each
+    net = toxicity.Net.new(1)
+    rows = [(i, "some words that are known") for i in range(256)] + [(i, "some words") for i in range(256, 511)] + [(511, "x"), (512, "x 7")]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), net).collect()
+    assert len(got) == 513 and all(0 <= r["score"] <= 1 for r in got)
+    _, together, _ = toxicity.features([b"x", b"known"])
+    assert toxicity.features([b"x"])[1].tolist() == together[:1].tolist()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(513)], "doc_id long, toxic int")
+    assert toxicity.fit(spark.createDataFrame(rows[-3:], "doc_id long, text string"), labels).share > 0
+
+
 def test_context_mixing(docs, none):
     got = context_mixing.score_documents(docs).collect()
     assert len(got) == len(ROWS) and all(r["score"] < 0 for r in got)
