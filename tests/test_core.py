@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from probity.functions.scalars import padded_id, status_tier
 from probity.functions.vectors import cosine, softmax
 from probity.operators import contributors as C
-from probity.operators import evaluation, ledger, neighbours, poison
+from probity.operators import audits, evaluation, ledger, neighbours, poison
 from probity.operators.graph import connected_components
 from probity.operators.ordering import dense_index
 from probity.plans import vectors as V
@@ -116,6 +116,13 @@ def test_scalars(spark):
     assert (row["a"], row["b"], row["c"], row["d"], row["e"], row["f"]) == ("ev-000012", "ev-12345678", "review", "pending", [0.5, 0.5], -1)
 
 
+@pytest.mark.parametrize("order", [[6, 1, 3], [3, 1, 6], [1, 6, 3]])
+def test_the_first_of_equal_flagged_classes_is_the_target(spark, order):
+    found = spark.createDataFrame([("m", c, 9.0 if c == 3 else 2.0, 5.0, c != 3) for c in order], "model string, class int, l1 double, anomaly_index double, flagged boolean").coalesce(1)
+    models = spark.createDataFrame([("m", 0.95, None, True, True)], "model string, agreement double, kl double, signed boolean, white_box boolean")
+    assert audits.model_verdicts(models, found, "model", "class", "l1").first()["target"] == 1
+
+
 def test_planted_attacks_are_found(spark):
     found = {r["detector"]: r for r in V._detection(spark, "/root/testdata/sf0.1").collect()}
     assert found["duplicates"]["recall"] >= 0.79 and found["poison"]["recall"] >= 0.85 and found["labels"]["recall"] >= 0.87, found
