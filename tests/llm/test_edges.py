@@ -2,6 +2,7 @@
 operator gives its stated result."""
 
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,16 @@ def test_context_mixing(docs, none):
     assert context_mixing.score_documents(docs.select("doc_id", "text").where("doc_id = 5")).count() == 1
 
 
+def test_byte_tables_sum_all_tasks(spark, monkeypatch):
+    """Also where tasks are more than a plan made before the run says."""
+    monkeypatch.setattr(context_mixing, "FAN_IN", 2)
+    words = [(f"w{i % 7}x{i}".encode(), 1 + i % 3, i % 2) for i in range(60)]
+    rows = spark.createDataFrame(words, "word binary, other long, mixers long")
+    one, many = rows.coalesce(1), rows.repartition(9)
+    monkeypatch.setattr(type(many), "rdd", property(lambda _: SimpleNamespace(getNumPartitions=lambda: 1)))
+    assert context_mixing._byte_tables(many) == context_mixing._byte_tables(one)
+
+
 VECTORS = [(i, [float(np.sin(i * 3.1 + j)) for j in range(8)], i % 2) for i in range(40)]
 VECTORS += [(100, VECTORS[0][1], 0), (101, [2 * x for x in VECTORS[0][1]], 0), (102, None, 0), (103, [0.0] * 8, 0), (104, [float("nan")] * 8, 0), (105, VECTORS[0][1], None), (106, [1.0, None] * 4, 1), (None, VECTORS[0][1], 0), (0, VECTORS[0][1], 0), (107, [], 1), (108, [1.0, 2.0], 1)]
 
