@@ -257,6 +257,35 @@ def test_batches_of_signatures(monkeypatch):
     assert [i for i, v in enumerate(S.verdicts(few)) if v == "altered"] == [3, 9, 12, 77]
 
 
+def test_signatures_of_a_frequent_key(monkeypatch):
+    from probity.operators import signatures as S
+
+    seed = b"k" * 32
+    (a, _), key = S._secret(seed), S.public_key(seed)
+    rows = [(key, b"row %d" % i, S.sign(seed, b"row %d" % i, key)) for i in range(80)]
+    body, made = rows[0][1:]
+    rows += [(key, b"x", made), (key, body, made[:63]), (key, None, made), (key, body, made[:32] + S.ORDER.to_bytes(32, "little")), (key, body, bytes([255] * 31 + [127]) + made[32:]), (key, body, bytes([2]) + bytes(31) + made[32:])]
+    # a nonce that differs by a point of order two holds by the cofactor
+    point = S._pack(S._affine(S._add(S._base().times(12345), S._lift((0, S.P - 1)))))
+    rows.append((key, b"cofactor", point + ((12345 + S._scalar(point, key, b"cofactor") * a) % S.ORDER).to_bytes(32, "little")))
+    rows += [(b"\x02" + bytes(31), body, made)] * 70 + [(b"short", body, made)] * 70
+    want = [S.verdict(*r) for r in rows[:90]] + ["malformed"] * (len(rows) - 90)
+    assert want[80] == "altered" and set(want[81:86]) == {"malformed"} and want[86] == "valid"
+    done, add = [0], S._add
+
+    def counted(p, q):
+        done[0] += 1
+        return add(p, q)
+
+    monkeypatch.setattr(S, "_add", counted)
+    tables = {}
+    assert S.verdicts(rows, tables) == want and len(tables) == 3
+    # one bad signature costs no second look at the others
+    assert S.verdicts(rows[:80] * 20, tables) == want[:80] * 20 and tables[key].width == 8
+    done[0] = 0
+    assert S.verdicts(rows[:87] * 20, tables) == want[:87] * 20 and done[0] < 87 * 20
+
+
 def test_detectors_agree_on_most(spark):
     from probity.plans.catalog import QUERIES
 
