@@ -8,6 +8,7 @@ State lives in RocksDB: call keep_state_in_rocksdb() before a query starts.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 from typing import Any
@@ -91,56 +92,96 @@ def chain_verdicts(records: DataFrame, chain: str, place: str, own: str, prev: s
     return rows.groupBy("chain").transformWithState(_Chain(first, idle_ms), schema, "Update", "EventTime")
 
 
-class _Nonce(StatefulProcessor):
-    """State: when the nonce was issued, whether it is consumed, and uses that wait for the
-    watermark to pass them."""
+class _Nonces(StatefulProcessor):
+    """A bucket of nonces. State: of each nonce when it was issued, whether it is consumed,
+    until when it is kept and up to HELD uses that wait for the watermark to pass them, as
+    JSON; any more of them have rows of their own. Each call on the state is a message to
+    Spark and takes longer than a hundred nonces here, so a bucket is read and written once
+    and has one timer, for what comes next."""
+
+    HELD = 64
 
     def __init__(self, ttl_ms: int, keep_ms: int) -> None:
         self.ttl_ms, self.keep_ms = ttl_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("nonce", "issued long, consumed boolean, until long")
-        self.waiting = handle.getMapState("uses", "at_ms long, use_id string", "seen boolean")
+        self.state = handle.getValueState("nonces", "nonces string, timer long, more boolean")
+        self.waiting = handle.getMapState("uses", "nonce string, at_ms long, use_id string", "seen boolean")
+
+    def _load(self) -> tuple[dict, int | None, bool]:
+        """nonce -> [issued, consumed, until, waiting uses]; the next timer; whether uses have rows of their own."""
+        if not self.state.exists():
+            return {}, None, False
+        text, timer, more = self.state.get()
+        return {nonce: [issued, consumed, until, {tuple(u) for u in uses}] for nonce, issued, consumed, until, uses in json.loads(text)}, timer, more
+
+    def _keep(self, nonces: dict, timer: int, more: bool) -> None:
+        self.state.update((json.dumps([[nonce, *kept, sorted(uses)] for nonce, (*kept, uses) in nonces.items()]), timer, more))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802,N803
-        issued, consumed, until = self.state.get() if self.state.exists() else (None, False, 0)
+        nonces, timer, more = self._load()
+        ahead = []
         for r in rows:
-            if r["use_id"] is None:
-                issued = r["at_ms"] if issued is None else min(issued, r["at_ms"])
-            else:
-                self.waiting.updateValue((r["at_ms"], r["use_id"]), (True,))
-                self.handle.registerTimer(r["at_ms"] + 1)
-            until = max(until, r["at_ms"] + self.keep_ms)
-        self.handle.registerTimer(until)
-        self.state.update((issued, consumed, until))
+            at, use_id = r["at_ms"], r["use_id"]
+            own = nonces.setdefault(r["nonce"], [None, False, 0, set()])
+            if use_id is None:
+                own[0] = at if own[0] is None else min(own[0], at)
+            elif len(own[3]) < self.HELD:
+                own[3].add((at, use_id))
+            elif (at, use_id) not in own[3]:
+                self.waiting.updateValue((r["nonce"], at, use_id), (True,))
+                more = True
+            own[2] = max(own[2], at + self.keep_ms)
+            ahead.append(own[2] if use_id is None else at + 1)
+        if ahead and (timer is None or min(ahead) < timer):
+            timer = min(ahead)
+            self.handle.registerTimer(timer)
+        self._keep(nonces, timer, more)
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802,N803
-        if not self.state.exists():
-            return
-        issued, consumed, until = self.state.get()
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for at_ms, use_id in sorted(tuple(k) for k in self.waiting.keys()):
-            if at_ms < now:
-                self.waiting.removeKey((at_ms, use_id))
-                known = issued is not None and issued <= at_ms
-                verdict = "unknown" if not known else "replayed" if consumed else "expired" if at_ms - issued > self.ttl_ms else "released"
+        """Settle all that the watermark has passed, forget what needn't be kept."""
+        nonces, _, more = self._load()
+        now, ahead, left = timerValues.getCurrentWatermarkInMs(), [], False
+        others: dict[Any, set] = {}
+        for nonce, at, use_id in self.waiting.keys() if more else ():
+            others.setdefault(nonce, set()).add((at, use_id))
+        for nonce, own in list(nonces.items()):
+            issued, consumed, until, held = own
+            apart = others.get(nonce, set())
+            waits = held | apart
+            due = sorted(use for use in waits if use[0] < now)
+            for use in due:
+                if use in apart:
+                    self.waiting.removeKey((nonce, *use))
+                known = issued is not None and issued <= use[0]
+                verdict = "unknown" if not known else "replayed" if consumed else "expired" if use[0] - issued > self.ttl_ms else "released"
                 consumed = consumed or known
-                yield Row(nonce=key[0], use_id=use_id, verdict=verdict)
-        if now >= until and not any(True for _ in self.waiting.keys()):
+                yield Row(nonce=nonce, use_id=use[1], verdict=verdict)
+            own[1], own[3] = consumed, held.difference(due)
+            left = left or len(apart.difference(due)) > 0
+            after = min((at + 1 for at, _ in waits.difference(due)), default=until)
+            if after > now:
+                ahead.append(after)
+            else:
+                del nonces[nonce]
+        if not nonces:
             self.state.clear()
-        else:
-            self.state.update((issued, consumed, until))
+            return
+        self.handle.registerTimer(min(ahead))
+        self._keep(nonces, min(ahead), left)
 
 
-def nonce_verdicts(issues: DataFrame, uses: DataFrame, nonce: str, at: str, use_id: str, ttl_ms: int, keep_ms: int | None = None, late: str = "10 minutes") -> DataFrame:
+def nonce_verdicts(issues: DataFrame, uses: DataFrame, nonce: str, at: str, use_id: str, ttl_ms: int, keep_ms: int | None = None, late: str = "10 minutes", buckets: int = 2048) -> DataFrame:
     """(nonce, use_id, verdict) of each use of issues (nonce, at) and uses (nonce, use_id, at),
     once the watermark has passed it (append mode): unknown (not issued by then), expired
     (first use, later than the time to live), released (first use) or replayed. A nonce
     is forgotten keep_ms after its last record, four times the time to live by default; its
-    later uses are unknown. Equal to operators.ledger.nonce_verdicts() but for that."""
+    later uses are unknown. Equal to operators.ledger.nonce_verdicts() but for that. State
+    is kept by buckets of nonces' hashes; their number holds for a stream's whole life."""
     part = lambda df, use: df.select(F.col(nonce).cast("string").alias("nonce"), use.cast("string").alias("use_id"), F.col(at).alias("at"))
     both = part(issues, F.lit(None)).unionByName(part(uses, F.col(use_id))).withWatermark("at", late)
-    processor = _Nonce(ttl_ms, 4 * ttl_ms if keep_ms is None else keep_ms)
-    return both.select("*", _ms(F.col("at"))).groupBy("nonce").transformWithState(processor, "nonce string, use_id string, verdict string", "Append", "EventTime")
+    processor = _Nonces(ttl_ms, 4 * ttl_ms if keep_ms is None else keep_ms)
+    bucket = F.pmod(F.xxhash64("nonce"), F.lit(buckets)).alias("bucket")
+    return both.select("*", _ms(F.col("at")), bucket).groupBy("bucket").transformWithState(processor, "nonce string, use_id string, verdict string", "Append", "EventTime")

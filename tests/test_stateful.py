@@ -84,6 +84,27 @@ def test_nonces_are_used_once(spark, tmp_path):
     assert spark.createDataFrame([], "nonce string, at timestamp").transform(lambda d: ledger.nonce_verdicts(d, frame(used, "nonce string, use_id string, at timestamp"), "nonce", "at", "use_id", 1)).where(F.col("verdict") != "unknown").count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_nonces_of_a_bucket_are_apart(spark, tmp_path, buckets):
+    """One nonce has more uses than its bucket holds; batches come out of order."""
+    r = random.Random(6)
+    at = lambda s: START + timedelta(seconds=s)
+    issued = [(f"n{i}", at(r.randrange(500))) for i in range(40)] + [("hot", at(100)), ("null", at(9))]
+    used = [(f"n{r.randrange(50)}", f"u{i}", at(r.randrange(1000))) for i in range(300)] + [("hot", f"h{i}", at(80 + i)) for i in range(3 * stateful._Nonces.HELD)]
+    used += [used[0], used[-1], ("null", "z1", at(10)), (None, "z2", at(10))]
+    r.shuffle(used)
+    mark = [("end", at(90_000))]
+    issues = files(spark, tmp_path / "i", [issued[20:], issued[:20], mark, mark], "nonce string, at timestamp")
+    uses = files(spark, tmp_path / "u", [used[:200], used[200:], [("end", "e1", at(90_000))], [("end", "e2", at(90_001))]], "nonce string, use_id string, at timestamp")
+    verdicts = stateful.nonce_verdicts(issues, uses, "nonce", "at", "use_id", ttl_ms=60_000, keep_ms=3_600_000, late="30 minutes", buckets=buckets)
+    got = [x for x in finish(verdicts, f"nonces_{buckets}", "append", tmp_path) if x["nonce"] != "end"]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    batch = ledger.nonce_verdicts(frame(issued, "nonce string, at timestamp"), frame(list(set(used)), "nonce string, use_id string, at timestamp"), "nonce", "at", "use_id", 60_000)
+    want = {x["use_id"]: x["verdict"] for x in batch.collect()}
+    assert {x["use_id"]: x["verdict"] for x in got} == want and len(got) == len(want)
+    assert sum(x["nonce"] == "hot" and x["verdict"] == "released" for x in got) == 1
+
+
 def test_trust_over_windows(spark, tmp_path):
     """Three days of samples in four batches, late ones among them; the last window stays open."""
     r = random.Random(2)
