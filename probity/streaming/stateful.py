@@ -96,8 +96,7 @@ class _Nonces(StatefulProcessor):
     """A bucket of nonces. State: of each nonce when it was issued, whether it is consumed,
     until when it is kept and up to HELD uses that wait for the watermark to pass them, as
     JSON; any more of them have rows of their own. Each call on the state is a message to
-    Spark and takes longer than a hundred nonces here, so a bucket is read and written once
-    and has one timer, for what comes next."""
+    Spark, so a bucket is read and written once and has one timer, for what comes next."""
 
     HELD = 64
 
